@@ -88,6 +88,8 @@ def with_fixtures(names, body: str) -> str:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
     body = body.strip()
+    if not order:
+        return body
     if body.startswith(","):
         return f"WITH {ctes}{body}"
     return f"WITH {ctes}\n{body}"

@@ -1 +1,217 @@
-"""placeholder"""
+"""Registered queries: event-log analytics and the report derived from it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import calllog as C
+from ..operators import scoring as S
+from ..sources import testdata as td
+from .oracle_fixtures import with_fixtures
+from .registry import query, r6
+
+AS_OF = td.AS_OF_DAY
+AS_OF_30 = td.AS_OF_MONTH
+DAY_LO, DAY_HI = C.day_bounds(AS_OF)
+H_LO = C.window_start(AS_OF, C.HOURLY_DAYS)
+D_LO = C.window_start(AS_OF_30, C.DAILY_DAYS)
+
+
+def _calls(spark, sf_dir):
+    return td.api_calls(spark, sf_dir)
+
+
+def _pings(spark, sf_dir):
+    return td.extension_pings(spark, sf_dir)
+
+
+def _q(name, fixtures, sql):
+    return query(name, with_fixtures(fixtures, sql))
+
+
+@_q("total_calls", ["api_calls"], "SELECT COUNT(*) AS total_calls FROM api_calls WHERE error = 0")
+def total_calls(spark, sf_dir):
+    return C.total_calls(_calls(spark, sf_dir))
+
+
+@_q("calls_today", ["api_calls"], f"""SELECT COUNT(*) AS calls_today FROM api_calls
+WHERE error = 0 AND timestamp >= TIMESTAMP '{DAY_LO}' AND timestamp < TIMESTAMP '{DAY_HI}'""")
+def calls_today(spark, sf_dir):
+    return C.calls_today(_calls(spark, sf_dir), AS_OF)
+
+
+@_q("avg_bot_last1000", ["api_calls"], """SELECT ROUND(AVG(bot_probability), 6) AS avg_bot_probability
+FROM (SELECT bot_probability FROM api_calls WHERE bot_probability IS NOT NULL ORDER BY id DESC LIMIT 1000) x""")
+def avg_bot_last1000(spark, sf_dir):
+    return C.avg_bot_last(_calls(spark, sf_dir)).select(r6("avg_bot_probability").alias("avg_bot_probability"))
+
+
+@_q("avg_rt_last1000", ["api_calls"], """SELECT ROUND(AVG(response_time_ms), 6) AS avg_response_time_ms
+FROM (SELECT response_time_ms FROM api_calls WHERE error = 0 ORDER BY id DESC LIMIT 1000) x""")
+def avg_rt_last1000(spark, sf_dir):
+    return C.avg_rt_last(_calls(spark, sf_dir)).select(r6("avg_response_time_ms").alias("avg_response_time_ms"))
+
+
+@_q("unique_installs", ["extension_pings"],
+    "SELECT COUNT(DISTINCT extension_id) AS unique_installs FROM extension_pings WHERE extension_id IS NOT NULL")
+def unique_installs(spark, sf_dir):
+    return C.unique_installs(_pings(spark, sf_dir))
+
+
+@_q("total_pings", ["extension_pings"], "SELECT COUNT(*) AS total_pings FROM extension_pings")
+def total_pings(spark, sf_dir):
+    return C.total_pings(_pings(spark, sf_dir))
+
+
+@_q("risk_breakdown", ["api_calls"], """SELECT risk_level, COUNT(*) AS "count" FROM api_calls
+WHERE risk_level IS NOT NULL GROUP BY risk_level""")
+def risk_breakdown(spark, sf_dir):
+    return C.risk_breakdown(_calls(spark, sf_dir))
+
+
+@_q("daily_calls", ["api_calls"], f"""SELECT strftime(timestamp, '%Y-%m-%d') AS day, COUNT(*) AS "count"
+FROM api_calls WHERE timestamp >= TIMESTAMP '{D_LO}' GROUP BY 1 ORDER BY 1""")
+def daily_calls(spark, sf_dir):
+    return C.daily_calls(_calls(spark, sf_dir), AS_OF_30)
+
+
+@_q("hourly_calls", ["api_calls"], f"""SELECT strftime(timestamp, '%Y-%m-%dT%H:00:00') AS hour, COUNT(*) AS "count"
+FROM api_calls WHERE timestamp >= TIMESTAMP '{H_LO}' GROUP BY 1 ORDER BY 1""")
+def hourly_calls(spark, sf_dir):
+    return C.hourly_calls(_calls(spark, sf_dir), AS_OF)
+
+
+_RT_TREND_SQL = f"""SELECT strftime(timestamp, '%Y-%m-%dT%H:00:00') AS hour, ROUND(AVG(response_time_ms), 6) AS avg_ms
+FROM api_calls WHERE timestamp >= TIMESTAMP '{H_LO}' AND error = 0 GROUP BY 1"""
+
+
+@_q("rt_trend", ["api_calls"], _RT_TREND_SQL)
+def rt_trend(spark, sf_dir):
+    return C.rt_trend(_calls(spark, sf_dir), AS_OF, digits=6)
+
+
+@_q("slow_hours", ["api_calls"], f"SELECT * FROM ({_RT_TREND_SQL}) x WHERE avg_ms > 200")
+def slow_hours(spark, sf_dir):
+    return C.slow_hours(C.rt_trend(_calls(spark, sf_dir), AS_OF, digits=6))
+
+
+def _last_sql(col, n=500):
+    return f"""SELECT id, {col} FROM api_calls WHERE {col} IS NOT NULL ORDER BY id DESC LIMIT {n}"""
+
+
+@_q("last_bot_probs", ["api_calls"], _last_sql("bot_probability"))
+def last_bot_probs(spark, sf_dir):
+    return C.last_scores(_calls(spark, sf_dir), "bot_probability")
+
+
+@_q("last_image_risks", ["api_calls"], _last_sql("image_risk_score"))
+def last_image_risks(spark, sf_dir):
+    return C.last_scores(_calls(spark, sf_dir), "image_risk_score")
+
+
+@_q("recent_calls", ["api_calls"], """SELECT id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, endpoint,
+  bot_probability, image_risk_score, risk_level, response_time_ms, error
+FROM api_calls ORDER BY id DESC LIMIT 25""")
+def recent_calls(spark, sf_dir):
+    r = C.recent_calls(_calls(spark, sf_dir))
+    return r.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+@query("recent_calls_report")
+def recent_calls_report(spark, sf_dir):
+    return C.recent_calls_report(C.recent_calls(_calls(spark, sf_dir)))
+
+
+@_q("stats_summary", ["api_calls", "extension_pings"], f"""SELECT
+  (SELECT COUNT(*) FROM api_calls WHERE error = 0) AS total_calls,
+  (SELECT COUNT(*) FROM api_calls WHERE error = 0 AND timestamp >= TIMESTAMP '{DAY_LO}'
+          AND timestamp < TIMESTAMP '{DAY_HI}') AS calls_today,
+  (SELECT COALESCE(ROUND(AVG(bot_probability), 6), 0.0) FROM (SELECT bot_probability FROM api_calls
+          WHERE bot_probability IS NOT NULL ORDER BY id DESC LIMIT 1000) x) AS avg_bot_probability,
+  (SELECT COALESCE(ROUND(AVG(response_time_ms), 6), 0.0) FROM (SELECT response_time_ms FROM api_calls
+          WHERE error = 0 ORDER BY id DESC LIMIT 1000) y) AS avg_response_time_ms,
+  (SELECT COUNT(DISTINCT extension_id) FROM extension_pings) AS unique_installs,
+  (SELECT COUNT(*) FROM extension_pings) AS total_pings""")
+def stats_summary(spark, sf_dir):
+    return C.stats_summary(_calls(spark, sf_dir), _pings(spark, sf_dir), AS_OF, digits=(6, 6))
+
+
+@_q("ping_activity", ["extension_pings"], """SELECT COUNT(*) AS total_pings,
+  COUNT(DISTINCT extension_id) AS unique_installs FROM extension_pings""")
+def ping_activity(spark, sf_dir):
+    return _pings(spark, sf_dir).agg(F.count(F.lit(1)).alias("total_pings"),
+                                     F.count_distinct("extension_id").alias("unique_installs"))
+
+
+def _hist_sql(col):
+    return f"""SELECT CAST(LEAST(FLOOR({col} * 25), 24) AS INTEGER) AS bin, COUNT(*) AS "count"
+FROM ({_last_sql(col)}) x GROUP BY 1"""
+
+
+@_q("hist_bot_probability", ["api_calls"], _hist_sql("bot_probability"))
+def hist_bot_probability(spark, sf_dir):
+    return C.histogram(C.last_scores(_calls(spark, sf_dir), "bot_probability"), "bot_probability")
+
+
+@_q("hist_image_risk", ["api_calls"], _hist_sql("image_risk_score"))
+def hist_image_risk(spark, sf_dir):
+    return C.histogram(C.last_scores(_calls(spark, sf_dir), "image_risk_score"), "image_risk_score")
+
+
+@_q("flagged_share", ["api_calls"], f"""SELECT COUNT(*) FILTER (WHERE bot_probability >= 0.30) AS flagged,
+  COUNT(*) AS total, ROUND(COUNT(*) FILTER (WHERE bot_probability >= 0.30) / COUNT(*), 6) AS share
+FROM ({_last_sql('bot_probability')}) x""")
+def flagged_share(spark, sf_dir):
+    f = C.flagged_share(C.last_scores(_calls(spark, sf_dir), "bot_probability"))
+    return f.select("flagged", "total", r6("share").alias("share"))
+
+
+@_q("high_image_count", ["api_calls"], f"""SELECT COUNT(*) FILTER (WHERE image_risk_score >= 0.60) AS high,
+  COUNT(*) AS total FROM ({_last_sql('image_risk_score')}) x""")
+def high_image_count(spark, sf_dir):
+    f = C.flagged_share(C.last_scores(_calls(spark, sf_dir), "image_risk_score"), "image_risk_score",
+                        C.HIGH_IMAGE)
+    return f.select(F.col("flagged").alias("high"), "total")
+
+
+@_q("risk_share", ["api_calls"], """SELECT risk_level, "count", ROUND("count" / SUM("count") OVER (), 6) AS share
+FROM (SELECT risk_level, COUNT(*) AS "count" FROM api_calls WHERE risk_level IS NOT NULL GROUP BY 1) x""")
+def risk_share(spark, sf_dir):
+    s = C.risk_share(C.risk_breakdown(_calls(spark, sf_dir)))
+    return s.select("risk_level", "count", r6("share").alias("share"))
+
+
+# ---- call-log sink projections (S8 / B3, S9) ----------------------------------
+
+@_q("log_calls_projection", ["scored"], """SELECT id, 'analyze_user' AS endpoint,
+  ROUND(followers_count * 1.25e0, 2) AS response_time_ms, p AS bot_probability,
+  CAST(NULL AS DOUBLE) AS image_risk_score,
+  CASE WHEN p >= 0.60 THEN 'High' WHEN p >= 0.30 THEN 'Medium' ELSE 'Low' END AS risk_level,
+  CASE WHEN p >= 0.30 THEN 1 ELSE 0 END AS is_bot, 0 AS error
+FROM scored""")
+def log_calls_projection(spark, sf_dir):
+    s = td.scored_accounts(spark, sf_dir)
+    batch = s.select("id", (F.col("followers_count") * 1.25).alias("response_time_ms"),
+                     F.col("p").alias("bot_probability"), S.risk_level("p").alias("risk_level"),
+                     S.is_bot("p").alias("is_bot"))
+    return C.call_log_rows(batch).drop("timestamp")
+
+
+@_q("ping_normalise", [], """SELECT event_id AS id,
+  COALESCE(NULLIF(CASE WHEN user_id % 3 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END, ''),
+           NULLIF(CASE WHEN user_id % 2 = 0 THEN CONCAT('hdr-', CAST(user_id AS VARCHAR)) WHEN user_id % 5 = 0 THEN '' END, '')) AS extension_id,
+  COALESCE(NULLIF(CASE WHEN user_id % 4 = 0 THEN '' ELSE '1.1' END, ''),
+           NULLIF(CASE WHEN user_id % 8 = 0 THEN '1.0' END, '')) AS version
+FROM events WHERE event_type = 'signup'""")
+def ping_normalise(spark, sf_dir):
+    e = td.table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    u = F.col("user_id")
+    raw = e.select(
+        F.col("event_id").alias("id"), F.col("ts").alias("timestamp"),
+        F.when(u % 3 == 0, F.lit("")).otherwise(u.cast("string")).alias("extension_id"),
+        F.when(u % 2 == 0, F.concat(F.lit("hdr-"), u.cast("string")))
+         .when(u % 5 == 0, F.lit("")).alias("hdr_extension_id"),
+        F.when(u % 4 == 0, F.lit("")).otherwise(F.lit("1.1")).alias("version"),
+        F.when(u % 8 == 0, F.lit("1.0")).alias("hdr_version"),
+    )
+    return C.normalise_pings(raw).drop("timestamp")
