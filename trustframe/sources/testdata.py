@@ -146,8 +146,8 @@ def image_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(60) + d * 7 % 700).alias("width"),
         (F.lit(60) + d * 13 % 500).alias("height"),
         (d * 31 % 400).cast("double").alias("laplacian_variance"),
-        (d * 17 % 150).cast("double").divide(1000).alias("compression_proxy"),
-        (d * 29 % 400).cast("double").divide(1000).alias("edge_density"),
+        ((d * 17 % 150).cast("double") / 1000).alias("compression_proxy"),
+        ((d * 29 % 400).cast("double") / 1000).alias("edge_density"),
         (d * 37 % 6000).cast("double").alias("hsv_variance"),
     )
 
