@@ -70,6 +70,27 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             CASE WHEN page_id % 3 = 0 THEN CONCAT('https://site.example/User', CAST(page_id AS VARCHAR))
                  WHEN page_id % 3 = 1 THEN 'https://site.example/Home' ELSE url END AS url
         FROM pages"""),
+    "raw_labels": ((), """SELECT c_custkey AS id, CASE WHEN c_acctbal < 2000 THEN 'bot'
+            WHEN c_mktsegment = 'AUTOMOBILE' THEN 'others' ELSE 'human' END AS label
+        FROM customer WHERE c_acctbal >= 0"""),
+    "splits": ((), """SELECT c_custkey AS id, CASE WHEN c_nationkey < 15 THEN 'train'
+            WHEN c_nationkey < 20 THEN 'val' ELSE 'test' END AS split FROM customer"""),
+    "requests": (("accounts",), """SELECT id, followers_count - 3 AS followers_count, following_count,
+            CASE WHEN id % 13 = 0 THEN NULL ELSE tweet_count END AS tweet_count, listed_count,
+            account_age_days - 300 AS account_age_days, has_profile_image, has_description, verified,
+            has_location, has_url, CASE WHEN id % 7 = 0 THEN NULL ELSE favourites_count END AS favourites_count,
+            CASE WHEN id % 11 = 0 THEN NULL ELSE default_profile END AS default_profile FROM accounts"""),
+    "profile_text": ((), """SELECT c_custkey AS id,
+            CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN concat('  ', chr(10), ' ') ELSE c_name END AS description,
+            CASE WHEN n_regionkey = 0 THEN '' ELSE n_name END AS location,
+            CASE WHEN c_acctbal < 0 THEN NULL ELSE concat('https://example.com/', CAST(c_custkey AS VARCHAR)) END AS url,
+            CASE WHEN c_custkey % 5 = 0 THEN strftime(ts, '%a %b %d %H:%M:%S +0000 %Y')
+                 WHEN c_custkey % 5 = 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S+00:00')
+                 WHEN c_custkey % 5 = 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+                 WHEN c_custkey % 5 = 3 THEN '' ELSE 'not a date' END AS created_at
+        FROM (SELECT *, make_timestamp(2006 + c_custkey % 20, 1 + c_custkey % 12, 1 + c_custkey % 28,
+                                       c_custkey % 24, c_custkey % 60, CAST(c_nationkey AS DOUBLE)) AS ts
+              FROM customer JOIN nation ON n_nationkey = c_nationkey) c"""),
 }
 
 

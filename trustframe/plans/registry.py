@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("q_accounts", "q_calllog", "q_images", "q_metrics", "q_models",
+MODULES = ("q_accounts", "q_calllog", "q_images", "q_metrics", "q_tables", "q_models",
            "q_scraped", "q_streams")
 
 QUERIES: dict[str, QueryFn] = {}

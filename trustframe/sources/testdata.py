@@ -182,3 +182,56 @@ def scraped_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(p % 3 == 1, F.lit("https://site.example/Home"))
          .otherwise(F.col("url")).alias("url"),
     )
+
+
+def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label file: human / bot / others per customer with a non-negative balance."""
+    c = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
+    return c.select(
+        F.col("c_custkey").alias("id"),
+        F.when(F.col("c_acctbal") < 2000, "bot")
+         .when(F.col("c_mktsegment") == "AUTOMOBILE", "others").otherwise("human").alias("label"))
+
+
+def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split file: train / val / test by nation."""
+    n = F.col("c_nationkey")
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.when(n < 15, "train").when(n < 20, "val").otherwise("test").alias("split"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring requests: accounts shifted so that some counts/ages are invalid."""
+    a = accounts(spark, sf_dir)
+    i = F.col("id")
+    return a.select(
+        "id", (F.col("followers_count") - 3).alias("followers_count"), "following_count",
+        F.when(i % 13 == 0, F.lit(None)).otherwise(F.col("tweet_count")).alias("tweet_count"),
+        "listed_count", (F.col("account_age_days") - 300).alias("account_age_days"),
+        "has_profile_image", "has_description", "verified", "has_location", "has_url",
+        F.when(i % 7 == 0, F.lit(None)).otherwise(F.col("favourites_count")).alias("favourites_count"),
+        F.when(i % 11 == 0, F.lit(None)).otherwise(F.col("default_profile")).alias("default_profile"),
+    )
+
+
+def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw profile text fields (description, location, url, created_at) per customer."""
+    c = table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    k = F.col("c_custkey")
+    ts = F.make_timestamp(F.lit(2006) + k % 20, F.lit(1) + k % 12, F.lit(1) + k % 28,
+                          k % 24, k % 60, F.col("c_nationkey").cast("decimal(16,6)"))
+    return c.select(
+        k.alias("id"),
+        F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.lit("  \n ")).otherwise(F.col("c_name"))
+         .alias("description"),
+        F.when(F.col("n_regionkey") == 0, F.lit("")).otherwise(F.col("n_name")).alias("location"),
+        F.when(F.col("c_acctbal") < 0, F.lit(None))
+         .otherwise(F.concat(F.lit("https://example.com/"), k.cast("string"))).alias("url"),
+        F.when(k % 5 == 0, F.date_format(ts, "EEE MMM dd HH:mm:ss '+0000' yyyy"))
+         .when(k % 5 == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss'+00:00'"))
+         .when(k % 5 == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
+         .when(k % 5 == 3, F.lit(""))
+         .otherwise(F.lit("not a date")).alias("created_at"),
+    )
