@@ -91,6 +91,29 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, make_timestamp(2006 + c_custkey % 20, 1 + c_custkey % 12, 1 + c_custkey % 28,
                                        c_custkey % 24, c_custkey % 60, CAST(c_nationkey AS DOUBLE)) AS ts
               FROM customer JOIN nation ON n_nationkey = c_nationkey) c"""),
+    "scraped_profiles": ((), """SELECT c_custkey AS id,
+            [CASE WHEN ((c_custkey + 0) % 8) = 0 THEN concat(CAST(c_nationkey AS VARCHAR), '.', CAST(c_custkey % 10 AS VARCHAR), 'K') WHEN ((c_custkey + 0) % 8) = 1 THEN concat(CAST(c_nationkey AS VARCHAR), 'M') WHEN ((c_custkey + 0) % 8) = 2 THEN concat(CAST(c_custkey AS VARCHAR), ',', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')) WHEN ((c_custkey + 0) % 8) = 3 THEN '1.2.3' WHEN ((c_custkey + 0) % 8) = 4 THEN concat(CAST(c_custkey % 50 AS VARCHAR), ' k') WHEN ((c_custkey + 0) % 8) = 5 THEN '' WHEN ((c_custkey + 0) % 8) = 6 THEN c_mktsegment ELSE concat(CAST(c_nationkey AS VARCHAR), '.4B') END, CASE WHEN ((c_custkey + 3) % 8) = 0 THEN concat(CAST(c_nationkey AS VARCHAR), '.', CAST(c_custkey % 10 AS VARCHAR), 'K') WHEN ((c_custkey + 3) % 8) = 1 THEN concat(CAST(c_nationkey AS VARCHAR), 'M') WHEN ((c_custkey + 3) % 8) = 2 THEN concat(CAST(c_custkey AS VARCHAR), ',', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')) WHEN ((c_custkey + 3) % 8) = 3 THEN '1.2.3' WHEN ((c_custkey + 3) % 8) = 4 THEN concat(CAST(c_custkey % 50 AS VARCHAR), ' k') WHEN ((c_custkey + 3) % 8) = 5 THEN '' WHEN ((c_custkey + 3) % 8) = 6 THEN c_mktsegment ELSE concat(CAST(c_nationkey AS VARCHAR), '.4B') END, CASE WHEN ((c_custkey + 5) % 8) = 0 THEN concat(CAST(c_nationkey AS VARCHAR), '.', CAST(c_custkey % 10 AS VARCHAR), 'K') WHEN ((c_custkey + 5) % 8) = 1 THEN concat(CAST(c_nationkey AS VARCHAR), 'M') WHEN ((c_custkey + 5) % 8) = 2 THEN concat(CAST(c_custkey AS VARCHAR), ',', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')) WHEN ((c_custkey + 5) % 8) = 3 THEN '1.2.3' WHEN ((c_custkey + 5) % 8) = 4 THEN concat(CAST(c_custkey % 50 AS VARCHAR), ' k') WHEN ((c_custkey + 5) % 8) = 5 THEN '' WHEN ((c_custkey + 5) % 8) = 6 THEN c_mktsegment ELSE concat(CAST(c_nationkey AS VARCHAR), '.4B') END] AS followers_texts,
+            [CASE WHEN ((c_custkey + 1) % 8) = 0 THEN concat(CAST(c_nationkey AS VARCHAR), '.', CAST(c_custkey % 10 AS VARCHAR), 'K') WHEN ((c_custkey + 1) % 8) = 1 THEN concat(CAST(c_nationkey AS VARCHAR), 'M') WHEN ((c_custkey + 1) % 8) = 2 THEN concat(CAST(c_custkey AS VARCHAR), ',', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')) WHEN ((c_custkey + 1) % 8) = 3 THEN '1.2.3' WHEN ((c_custkey + 1) % 8) = 4 THEN concat(CAST(c_custkey % 50 AS VARCHAR), ' k') WHEN ((c_custkey + 1) % 8) = 5 THEN '' WHEN ((c_custkey + 1) % 8) = 6 THEN c_mktsegment ELSE concat(CAST(c_nationkey AS VARCHAR), '.4B') END, CASE WHEN ((c_custkey + 2) % 8) = 0 THEN concat(CAST(c_nationkey AS VARCHAR), '.', CAST(c_custkey % 10 AS VARCHAR), 'K') WHEN ((c_custkey + 2) % 8) = 1 THEN concat(CAST(c_nationkey AS VARCHAR), 'M') WHEN ((c_custkey + 2) % 8) = 2 THEN concat(CAST(c_custkey AS VARCHAR), ',', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')) WHEN ((c_custkey + 2) % 8) = 3 THEN '1.2.3' WHEN ((c_custkey + 2) % 8) = 4 THEN concat(CAST(c_custkey % 50 AS VARCHAR), ' k') WHEN ((c_custkey + 2) % 8) = 5 THEN '' WHEN ((c_custkey + 2) % 8) = 6 THEN c_mktsegment ELSE concat(CAST(c_nationkey AS VARCHAR), '.4B') END] AS following_texts,
+            CASE WHEN c_custkey % 6 = 0 THEN concat('Joined ', ['January','February','March','April','May','June','July','August','September','October','November','December'][c_custkey % 12 + 1], ' ', CAST(2006 + c_custkey % 18 AS VARCHAR))
+                 WHEN c_custkey % 6 = 1 THEN concat('joined ', substr(['January','February','March','April','May','June','July','August','September','October','November','December'][c_custkey % 12 + 1], 1, 3), ' ', CAST(2006 + c_custkey % 18 AS VARCHAR))
+                 WHEN c_custkey % 6 = 3 THEN concat('Joined Foo ', CAST(2006 + c_custkey % 18 AS VARCHAR))
+                 WHEN c_custkey % 6 = 4 THEN concat('Joined ', lower(['January','February','March','April','May','June','July','August','September','October','November','December'][c_custkey % 12 + 1]), ' ', CAST(2006 + c_custkey % 18 AS VARCHAR))
+                 WHEN c_custkey % 6 = 5 THEN concat('Member since ', CAST(2006 + c_custkey % 18 AS VARCHAR)) END AS join_text,
+            [concat(c_name, ' profile'),
+             CASE WHEN c_custkey % 4 = 0 THEN concat(CAST(c_custkey AS VARCHAR), ' posts')
+                  WHEN c_custkey % 4 = 1 THEN concat(CAST(c_nationkey AS VARCHAR), '.5K Posts')
+                  WHEN c_custkey % 4 = 2 THEN '0 posts'
+                  ELSE concat(CAST(c_custkey % 7 AS VARCHAR), ',100 posts') END,
+             concat(CAST(c_custkey * 3 AS VARCHAR), ' post')] AS aria_labels,
+            CASE WHEN c_custkey % 4 = 0 THEN concat('https://pbs.twimg.com/profile_images/', CAST(c_custkey AS VARCHAR), '/a_normal.jpg')
+                 WHEN c_custkey % 4 = 1 THEN concat('https://pbs.twimg.com/profile_images/', CAST(c_custkey AS VARCHAR), '/x_bigger_normal.png')
+                 WHEN c_custkey % 4 = 2 THEN 'https://abs.twimg.com/sticky/default_profile_images/default_profile_mini.png' END AS avatar_url,
+            CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN concat('  ', chr(10), ' ') ELSE c_name END AS bio,
+            CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS location,
+            CASE WHEN c_acctbal < 0 THEN NULL ELSE 'example.com' END AS url,
+            CASE WHEN c_custkey % 9 = 0 THEN 'badge' END AS badge,
+            CASE WHEN c_custkey % 2 = 0 THEN 'banner' END AS banner
+        FROM customer"""),
 }
 
 

@@ -235,3 +235,63 @@ def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k % 5 == 3, F.lit(""))
          .otherwise(F.lit("not a date")).alias("created_at"),
     )
+
+
+# ---- fixed values: month names of the generated join texts ------------------
+MONTHS = ("January", "February", "March", "April", "May", "June", "July",
+          "August", "September", "October", "November", "December")
+# ---------------------------------------------------------------------------
+
+
+def _count_text(k: Column, shift: int) -> Column:
+    """Scraped count text in eight shapes (abbreviated, grouped, junk ...)."""
+    v = (k + shift) % 8
+    nat = F.col("c_nationkey").cast("string")
+    return (F.when(v == 0, F.concat(nat, F.lit("."), (k % 10).cast("string"), F.lit("K")))
+            .when(v == 1, F.concat(nat, F.lit("M")))
+            .when(v == 2, F.concat(k.cast("string"), F.lit(","), F.lpad((k % 1000).cast("string"), 3, "0")))
+            .when(v == 3, F.lit("1.2.3"))
+            .when(v == 4, F.concat((k % 50).cast("string"), F.lit(" k")))
+            .when(v == 5, F.lit(""))
+            .when(v == 6, F.col("c_mktsegment"))
+            .otherwise(F.concat(nat, F.lit(".4B"))))
+
+
+def scraped_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scraped profile-page fields per customer (display strings, as a page shows them)."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), (k % 12 + 1).cast("int"))
+    year = (F.lit(2006) + k % 18).cast("string")
+    jv = k % 6
+    join_text = (F.when(jv == 0, F.concat(F.lit("Joined "), month, F.lit(" "), year))
+                 .when(jv == 1, F.concat(F.lit("joined "), F.substring(month, 1, 3), F.lit(" "), year))
+                 .when(jv == 3, F.concat(F.lit("Joined Foo "), year))
+                 .when(jv == 4, F.concat(F.lit("Joined "), F.lower(month), F.lit(" "), year))
+                 .when(jv == 5, F.concat(F.lit("Member since "), year)))
+    av = k % 4
+    aria = F.array(
+        F.concat(F.col("c_name"), F.lit(" profile")),
+        F.when(k % 4 == 0, F.concat(k.cast("string"), F.lit(" posts")))
+         .when(k % 4 == 1, F.concat(F.col("c_nationkey").cast("string"), F.lit(".5K Posts")))
+         .when(k % 4 == 2, F.lit("0 posts"))
+         .otherwise(F.concat((k % 7).cast("string"), F.lit(",100 posts"))),
+        F.concat((k * 3).cast("string"), F.lit(" post")),
+    )
+    return c.select(
+        k.alias("id"),
+        F.array(_count_text(k, 0), _count_text(k, 3), _count_text(k, 5)).alias("followers_texts"),
+        F.array(_count_text(k, 1), _count_text(k, 2)).alias("following_texts"),
+        join_text.alias("join_text"),
+        aria.alias("aria_labels"),
+        F.when(av == 0, F.concat(F.lit("https://pbs.twimg.com/profile_images/"), k.cast("string"), F.lit("/a_normal.jpg")))
+         .when(av == 1, F.concat(F.lit("https://pbs.twimg.com/profile_images/"), k.cast("string"),
+                                 F.lit("/x_bigger_normal.png")))
+         .when(av == 2, F.lit("https://abs.twimg.com/sticky/default_profile_images/default_profile_mini.png"))
+         .alias("avatar_url"),
+        F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.lit("  \n ")).otherwise(F.col("c_name")).alias("bio"),
+        F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("c_nationkey").cast("string")).alias("location"),
+        F.when(F.col("c_acctbal") < 0, F.lit(None)).otherwise(F.lit("example.com")).alias("url"),
+        F.when(k % 9 == 0, F.lit("badge")).alias("badge"),
+        F.when(k % 2 == 0, F.lit("banner")).alias("banner"),
+    )
