@@ -204,3 +204,19 @@ def fold_sizes(spark, sf_dir):
 def impute_median(spark, sf_dir):
     r = td.requests(spark, sf_dir)
     return M.impute_median(r, ["tweet_count", "favourites_count"]).select("id", "tweet_count", "favourites_count")
+
+
+# ---- raw JSON flattening (rows-only; VARIANT has no DuckDB twin) -------------------------
+
+@query("flatten_accounts")
+def flatten_accounts(spark, sf_dir):
+    from ..operators.flatten import flatten_accounts as flat
+    from ..sources.raw_json import unwrap_accounts
+    return flat(unwrap_accounts(td.raw_account_json(spark, sf_dir)), AS_OF)
+
+
+@query("rejected_raw")
+def rejected_raw(spark, sf_dir):
+    from ..sources.raw_json import rejected_raw as rej
+    from ..sources.raw_json import unwrap_accounts
+    return rej(unwrap_accounts(td.raw_account_json(spark, sf_dir)))

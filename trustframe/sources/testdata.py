@@ -295,3 +295,37 @@ def scraped_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 9 == 0, F.lit("badge")).alias("badge"),
         F.when(k % 2 == 0, F.lit("banner")).alias("banner"),
     )
+
+
+def raw_account_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw JSON element per account in six shapes (object, [id, obj], [obj],
+    nested ``profile``, explicit nulls, junk), as an NDJSON dump would hold."""
+    a = accounts(spark, sf_dir)
+    t = profile_text(spark, sf_dir).select("id", "description", "location", "url", "created_at")
+    j = a.join(t, "id")
+    k = F.col("id")
+    base = F.struct(
+        k.alias("id"), F.col("followers_count").cast("bigint").alias("followers_count"),
+        F.col("following_count").cast("bigint").alias("friends_count"),
+        F.col("tweet_count").cast("bigint").alias("statuses_count"),
+        F.col("listed_count").cast("bigint").alias("listed_count"),
+        "description", "location", "url", "created_at",
+        (F.col("verified") == 1).alias("verified"),
+        (F.col("has_profile_image") == 0).alias("default_profile_image"),
+        (F.col("default_profile") == 1).alias("default_profile"),
+        F.col("favourites_count").alias("favourites_count"))
+    alt = F.struct(
+        k.alias("id"), F.col("followers_count").cast("bigint").alias("followers_count"),
+        F.col("tweet_count").cast("bigint").alias("tweet_count"),
+        F.when(F.col("verified") == 1, "True").otherwise("False").alias("verified"),
+        F.col("favourites_count").alias("favorite_count"), "description")
+    v = k % 6
+    doc = (F.when(v == 0, F.to_json(base))
+           .when(v == 1, F.concat(F.lit("["), k.cast("string"), F.lit(","), F.to_json(alt), F.lit("]")))
+           .when(v == 2, F.concat(F.lit('[{"id":'), k.cast("string"), F.lit(',"profile":'), F.to_json(base),
+                                  F.lit("}]")))
+           .when(v == 3, F.lit("[1,2]"))
+           .when(v == 4, F.concat(F.lit('{"id":'), k.cast("string"),
+                                  F.lit(',"default_profile_image":null,"default_profile":null,"description":"  "}')))
+           .otherwise(F.lit('"junk"')))
+    return j.select(k.alias("idx"), F.try_parse_json(doc).alias("v"))
