@@ -1 +1,68 @@
-"""placeholder"""
+"""Registered queries: Structured Streaming jobs run with ``availableNow``.
+
+Each query streams the Parquet test table, runs to completion and returns
+the sink's content as a batch DataFrame (rows-only checks; the streaming
+results equal the batch queries on the same rows, see tests).
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import scoring as S
+from ..operators.validation import validate_accounts
+from ..session import scratch_path
+from ..sources import testdata as td
+from ..streaming import streams as R
+from .registry import query, r6
+
+
+def _window_rows(df):
+    return df.select(F.date_format("w.start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"),
+                     F.date_format("w.end", "yyyy-MM-dd'T'HH:mm:ss").alias("window_end"),
+                     "count", r6("avg_ms").alias("avg_ms"))
+
+
+@query("stream_hourly")
+def stream_hourly(spark, sf_dir):
+    calls = td.calls_from_events(R.file_stream(spark, sf_dir, "events"))
+    res = R.run_available(_window_rows(R.windowed_calls(calls, "1 hour")), "hourly",
+                          key_cols=["window_start"])
+    return res
+
+
+@query("stream_daily")
+def stream_daily(spark, sf_dir):
+    calls = td.calls_from_events(R.file_stream(spark, sf_dir, "events"))
+    return R.run_available(_window_rows(R.windowed_calls(calls, "1 day")), "daily",
+                           key_cols=["window_start"])
+
+
+@query("stream_installs")
+def stream_installs(spark, sf_dir):
+    pings = td.pings_from_events(R.file_stream(spark, sf_dir, "events"))
+    firsts = R.unique_install_events(pings).select(
+        "extension_id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("first_seen"), "version")
+    return R.run_available(firsts, "installs", mode="append")
+
+
+@query("stream_scoring")
+def stream_scoring(spark, sf_dir):
+    """New customers arrive as a stream; each micro-batch is joined to the static
+    order aggregates (stream-static join), validated, scored and written to the
+    scored table and the call log."""
+    cust = R.file_stream(spark, sf_dir, "customer")
+    acc = td.accounts(spark, sf_dir, customers=cust)
+    v = validate_accounts(acc)
+    p = td.probability_of(F.col("id"))
+    scored = v.filter(F.col("status") == "accepted").select(
+        "id", p.alias("bot_probability"), S.risk_level(p).alias("risk_level"), S.is_bot(p).alias("is_bot"),
+        r6(S.heuristic_score()).alias("heuristic_score"),
+        r6(S.trust_score_raw(p, S.heuristic_score())).alias("trust_score"))
+    base = scratch_path(spark, f"streams/scoring-{uuid.uuid4().hex}")
+    q = (scored.writeStream.foreachBatch(R.scoring_batch_writer(f"{base}/scored", f"{base}/calls"))
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/scored").drop("batch_id")

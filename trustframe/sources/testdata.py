@@ -45,7 +45,7 @@ def image_risk_of(id_col: Column) -> Column:
     return _grid(id_col, IMG_MULT)
 
 
-def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def accounts(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
     """B1: one account per customer (followers = orders, tweets = line items ...).
 
     Plan: line items are pre-aggregated per order (partial aggregation before
@@ -64,7 +64,8 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.sum(F.coalesce("li_n", F.lit(0))).alias("n_li"),
               F.sum(F.coalesce("li_qty", F.lit(0.0))).alias("qty"),
               F.min(F.to_date("o_orderdate")).alias("first_day")))
-    c = (table(spark, sf_dir, "customer")
+    cust = customers if customers is not None else table(spark, sf_dir, "customer")
+    c = (cust
          .join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
          .join(o, F.col("o_custkey") == F.col("c_custkey"), "left"))
     k = F.col("c_custkey")
@@ -105,7 +106,11 @@ def label_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def api_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2: scoring-call log derived from ``events``."""
-    e = table(spark, sf_dir, "events")
+    return calls_from_events(table(spark, sf_dir, "events"))
+
+
+def calls_from_events(e: DataFrame) -> DataFrame:
+    """Row-wise projection events -> call log (works on batch and streaming frames)."""
     eid, et = F.col("event_id"), F.col("event_type")
     user_call = et.isin("view", "click")
     image_call = et.isin("signup", "purchase")
@@ -128,7 +133,11 @@ def api_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extension_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B3: extension pings (one per signup event)."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    return pings_from_events(table(spark, sf_dir, "events"))
+
+
+def pings_from_events(e: DataFrame) -> DataFrame:
+    e = e.filter(F.col("event_type") == "signup")
     u = F.col("user_id")
     return e.select(
         F.col("event_id").alias("id"),
