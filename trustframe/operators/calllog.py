@@ -91,8 +91,8 @@ def avg_rt_last(calls: DataFrame, n: int = LAST_AVG_RT) -> DataFrame:
 
 
 def or_zero(x: Column, digits: int) -> Column:
-    """``round(x, d) if x else 0.0``."""
-    return F.when(x.isNull() | (x == 0), F.lit(0.0)).otherwise(F.round(x, digits))
+    """``round(x, d) if x else 0.0`` with a single reference to ``x`` (one subquery)."""
+    return F.coalesce(F.round(F.nullif(x, F.lit(0.0)), digits), F.lit(0.0))
 
 
 def unique_installs(pings: DataFrame) -> DataFrame:

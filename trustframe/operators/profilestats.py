@@ -43,15 +43,16 @@ def exact_quantiles(long: DataFrame, probs=DESCRIBE_PROBS, group: str = "feature
     targets = targets.withColumns({"lo": F.floor("pos"), "hi": F.ceil("pos")})
     start = F.col("cum_c") - F.col("c")
 
-    def pick(rank: str, name: str) -> DataFrame:
-        t = targets.select(group, "q", "pos", "lo", F.col(rank).alias("_r"))
-        # the target table has (#groups x #probs) rows: broadcast by the size check
-        j = cum.join(F.broadcast(t), on=[group])
-        return (j.filter((start <= F.col("_r")) & (F.col("_r") < F.col("cum_c")))
-                .select(group, "q", "pos", "lo", F.col(value).alias(name)))
+    def at(rank: str):
+        # value whose rank range [cum_c - c, cum_c) holds the target rank
+        return F.max(F.when((start <= F.col(rank)) & (F.col(rank) < F.col("cum_c")), F.col(value)))
 
-    lo, hi = pick("lo", "v_lo"), pick("hi", "v_hi").drop("pos", "lo")
-    r = lo.join(hi, [group, "q"])
+    # one join against the (#groups x #probs) target table, broadcast by size;
+    # both neighbours are picked in the same aggregate
+    j = cum.join(F.broadcast(targets), on=[group])
+    j = j.filter(((start <= F.col("lo")) & (F.col("lo") < F.col("cum_c")))
+                 | ((start <= F.col("hi")) & (F.col("hi") < F.col("cum_c"))))
+    r = j.groupBy(group, "q", "pos", "lo").agg(at("lo").alias("v_lo"), at("hi").alias("v_hi"))
     frac = F.col("pos") - F.col("lo")
     return r.select(group, "q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("quantile"))
 
