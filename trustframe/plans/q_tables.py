@@ -54,7 +54,7 @@ def label_dropna(spark, sf_dir):
 
 
 @_q("eda_label_counts", ["accounts", "raw_labels"], """SELECT l.label, COUNT(*) AS "count",
-  SUM(COUNT(*)) OVER () AS n_rows
+  CAST(SUM(COUNT(*)) OVER () AS BIGINT) AS n_rows
 FROM accounts a LEFT JOIN raw_labels l ON l.id = a.id GROUP BY l.label""")
 def eda_label_counts(spark, sf_dir):
     a = td.accounts(spark, sf_dir).drop("label")
