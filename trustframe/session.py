@@ -43,6 +43,29 @@ def build_session(master: str | None = None, app: str = "trustframe",
     return spark
 
 
+def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20,
+                 executors: int = 1000, cores_per_executor: int = 4) -> dict:
+    """Settings for a large cluster, sized from the expected shuffle volume.
+
+    ``shuffle_bytes`` is the data crossing the largest exchange after
+    projection and partial aggregation (far below the raw input for these
+    jobs).  Shuffle partitions start at shuffle / 256 MiB, at least two waves
+    of the cluster's cores, and AQE coalesces them at run time toward the same
+    advisory size; scan splits use the same target; partitions more than 5x
+    the median and above 512 MiB are split by the skew-join rule.
+    """
+    cores = executors * cores_per_executor
+    parts = max(2 * cores, int(shuffle_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
