@@ -43,9 +43,19 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{m}")
 
 
+def _utc(fn: QueryFn) -> QueryFn:
+    """Pin the session time zone: day/hour texts and date parsing are UTC."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     load_all()
-    return dict(QUERIES)
+    return {k: _utc(v) for k, v in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
