@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .prefix import running_sums
 
 F1_EPS = 1e-9          # fixed value: added to P + R in the F1 of the threshold search
@@ -31,7 +32,7 @@ def class_totals(hist: DataFrame) -> DataFrame:
 def pr_curve(ls: DataFrame, label: str = "label", score: str = "score",
              n_buckets: int = 256) -> DataFrame:
     """Per distinct score s: tp/fp of the rule ``score >= s``, precision, recall, F1."""
-    h = score_histogram(ls, label, score)
+    h = materialize(score_histogram(ls, label, score))  # read three times below
     cum = running_sums(h, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
     tot = class_totals(h)
     P = tot.select("P").scalar()

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
 from .prefix import running_sums
 
 DESCRIBE_PROBS = (0.1, 0.5, 0.9)   # fixed value: percentiles of the describe table
@@ -34,8 +35,8 @@ def long_form(df: DataFrame, cols, id_cols=()) -> DataFrame:
 def exact_quantiles(long: DataFrame, probs=DESCRIBE_PROBS, group: str = "feature",
                     value: str = "value") -> DataFrame:
     """(group, q, quantile) with linear interpolation, NULLs skipped."""
-    h = (long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-         .groupBy(group, value).agg(F.count(F.lit(1)).alias("c")))
+    h = materialize(long.filter(F.col(value).isNotNull() & ~F.isnan(value))
+                    .groupBy(group, value).agg(F.count(F.lit(1)).alias("c")))  # read three times
     cum = running_sums(h, value, ["c"], groups=(group,), n_buckets=64)
     n = h.groupBy(group).agg(F.sum("c").alias("n"))
     qs = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")

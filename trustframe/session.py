@@ -88,3 +88,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for written intermediates."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Write a reused intermediate once to the shared checkpoint folder.
+
+    Used for small aggregated frames (score/value histograms) that several
+    later steps read: the upstream scan runs once, and the lineage is cut so
+    a lost executor recomputes from the checkpoint, not from the source.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
