@@ -232,3 +232,23 @@ def predict_calibrated(members, df: DataFrame, method: str = "sigmoid") -> DataF
         parts.append(F.col(f"_c{i}"))
     avg = sum(parts[1:], parts[0]) / len(parts)
     return out.withColumn("score", avg)
+
+
+def calibration_plan(train: DataFrame) -> tuple[str | None, int]:
+    """(method, folds) by the reference's rule: no calibration with < 10 rows or
+    one class (or a class under 2 rows); isotonic from 100 rows, else sigmoid;
+    folds = max(2, min(3, smallest class, rows))."""
+    counts = [r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()]
+    n = sum(counts)
+    if len(counts) < 2 or min(counts) < 2 or n < 10:
+        return None, 0
+    return ("isotonic" if n >= 100 else "sigmoid"), max(2, min(3, min(counts), n))
+
+
+def fit_calibrated(train: DataFrame, trees: int = TUNED_TREES):
+    """Calibrated forest following ``calibration_plan``; a plain fit when skipped."""
+    method, folds = calibration_plan(train)
+    if method is None:
+        pipe, _ = _forest_pipeline(trees)
+        return None, pipe.fit(weighted(train))
+    return method, calibrated_forest(train, method, folds, trees=trees)
