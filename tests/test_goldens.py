@@ -229,3 +229,21 @@ def test_text_presence_python_strip(spark):
     df = spark.createDataFrame([(None,), ("",), (" \n\t ",), (" x ",)], "t string")
     assert [r[0] for r in df.select(text_present("t")).collect()] == [0, 0, 0, 1]
     assert math.isclose(1.0, 1.0)
+
+
+def test_calibration_plan_rule(spark, sf_dir):
+    from trustframe.plans import training as T
+    from trustframe.sources import testdata as td
+    d = T.training_frame(td.accounts(spark, sf_dir))
+    assert T.calibration_plan(d) == ("isotonic", 3)
+    small = d.orderBy("id").limit(40)
+    method, folds = T.calibration_plan(small)
+    assert method == "sigmoid" and folds >= 2
+    assert T.calibration_plan(d.filter("label = 1")) == (None, 0)
+
+
+def test_cluster_conf_sizes_partitions():
+    from trustframe.session import cluster_conf
+    c = cluster_conf(10 << 40)
+    assert int(c["spark.sql.shuffle.partitions"]) == (10 << 40) // (256 << 20) + 1
+    assert int(cluster_conf(1 << 20)["spark.sql.shuffle.partitions"]) == 8000
