@@ -16,16 +16,25 @@ from ..operators.validation import validate_accounts
 from ..session import scratch_path
 from ..sources import testdata as td
 from ..streaming import streams as R
+from .oracle_fixtures import with_fixtures
 from .registry import query, r6
 
 
+def _window_sql(unit: str, step: str) -> str:
+    """Batch twin of the streamed tumbling windows (the stream sees every row once)."""
+    return with_fixtures(["api_calls"], f"""SELECT strftime(date_trunc('{unit}', timestamp), '%Y-%m-%dT%H:%M:%S') AS window_start,
+  strftime(date_trunc('{unit}', timestamp) + INTERVAL {step}, '%Y-%m-%dT%H:%M:%S') AS window_end,
+  COUNT(*) AS "count", ROUND(AVG(CASE WHEN error = 0 THEN response_time_ms END), 6) AS avg_ms
+FROM api_calls GROUP BY date_trunc('{unit}', timestamp)""")
+
+
 def _window_rows(df):
     return df.select(F.date_format("w.start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"),
                      F.date_format("w.end", "yyyy-MM-dd'T'HH:mm:ss").alias("window_end"),
                      "count", r6("avg_ms").alias("avg_ms"))
 
 
-@query("stream_hourly")
+@query("stream_hourly", _window_sql("hour", "1 HOUR"))
 def stream_hourly(spark, sf_dir):
     calls = td.calls_from_events(R.file_stream(spark, sf_dir, "events"))
     res = R.run_available(_window_rows(R.windowed_calls(calls, "1 hour")), "hourly",
@@ -33,7 +42,7 @@ def stream_hourly(spark, sf_dir):
     return res
 
 
-@query("stream_daily")
+@query("stream_daily", _window_sql("day", "1 DAY"))
 def stream_daily(spark, sf_dir):
     calls = td.calls_from_events(R.file_stream(spark, sf_dir, "events"))
     return R.run_available(_window_rows(R.windowed_calls(calls, "1 day")), "daily",
