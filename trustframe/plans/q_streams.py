@@ -57,7 +57,17 @@ def stream_installs(spark, sf_dir):
     return R.run_available(firsts, "installs", mode="append")
 
 
-@query("stream_scoring")
+def _scoring_sql() -> str:
+    from .q_accounts import HEUR_SQL
+    return with_fixtures(["scored"], f"""SELECT id, p AS bot_probability,
+  CASE WHEN p >= 0.60 THEN 'High' WHEN p >= 0.30 THEN 'Medium' ELSE 'Low' END AS risk_level,
+  p >= 0.30 AS is_bot, ROUND(heur, 6) AS heuristic_score,
+  ROUND(LEAST(GREATEST(0.6e0 * (1.0e0 - p) + 0.4e0 * heur, 0.0e0), 1.0e0), 6) AS trust_score
+FROM (SELECT *, {HEUR_SQL} AS heur FROM scored) s
+WHERE followers_count >= 0 AND following_count >= 0 AND tweet_count >= 0 AND account_age_days > 0""")
+
+
+@query("stream_scoring", _scoring_sql())
 def stream_scoring(spark, sf_dir):
     """New customers arrive as a stream; each micro-batch is joined to the static
     order aggregates (stream-static join), validated, scored and written to the
