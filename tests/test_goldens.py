@@ -247,3 +247,19 @@ def test_cluster_conf_sizes_partitions():
     c = cluster_conf(10 << 40)
     assert int(c["spark.sql.shuffle.partitions"]) == (10 << 40) // (256 << 20) + 1
     assert int(cluster_conf(1 << 20)["spark.sql.shuffle.partitions"]) == 8000
+
+
+def test_stratified_split_exact_and_disjoint(spark):
+    df = spark.range(0, 2000).withColumn("label", (F.col("id") % 4 == 0).cast("int"))
+    train, test = S.stratified_split(df)
+    t = {r["label"]: r["n"] for r in test.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert t == {1: 100, 0: 300}
+    assert train.count() + test.count() == 2000
+    assert train.join(test, "id").count() == 0
+
+
+def test_equal_sample_takes_min_of_cap_and_bots(spark):
+    df = spark.range(0, 3000).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
+    s = S.equal_sample(df)
+    counts = {r["label"]: r["n"] for r in s.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert counts == {1: 300, 0: 300}
