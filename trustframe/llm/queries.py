@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash, toxicity
+from . import bpe, decontaminate, pii, simhash, toxicity
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,3 +56,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id")
+
+
+@_query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document."""
+    found = pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+    count = [F.size(pii.of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *count, F.sha2(pii.listed(base), 256).alias("base_sha256"),
+                        pii.listed(F.col("pii")).alias("spans"),
+                        F.transform("pii", lambda s: s["score"]).alias("scores"))
