@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, simhash, toxicity
+from . import (bpe, decontaminate, html_text, licenses, order_minhash, pii, simhash, toxicity,
+               urls, warc)
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +26,35 @@ def in_fold(fold: int = 0, folds: int = 5, doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold
 
 
+@_query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document, with coverage and spans."""
+    found = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), "licenses")
+
+
+@_query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "html"), ["page_id"])
+
+
+@_query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives and back."""
+    path = warc.archive_path(spark)
+    warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return (warc.read(spark, path, payloads=False)
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+                    "complete"))
+
+
+@_query
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprint of every document and of its edited text."""
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @_query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; the held-out fold is never learnt from."""
@@ -67,3 +97,49 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(pii.listed(base), 256).alias("base_sha256"),
                         pii.listed(F.col("pii")).alias("spans"),
                         F.transform("pii", lambda s: s["score"]).alias("scores"))
+
+
+# verdict, host, start of the path
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"),
+         ("block", "com", "/de/"), ("allow", "example.org", "/en/1")]
+
+
+@_query
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), RULES, ["page_id"])
+
+
+def _found_sql(terms) -> str:
+    return ", ".join(f"CASE WHEN regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN '{t}' END"
+                     for t in sorted(terms))
+
+
+ORACLE["op9_urls"] = f"""
+WITH a AS (
+  SELECT page_id, url, translate(url, '{urls.UPPER}', '{urls.UPPER.lower()}') AS u,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+b AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.UPPER.lower()}'), '')
+           AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+         list_filter([{_found_sql(urls.STRICT)}], x -> x IS NOT NULL) AS strict_terms,
+         list_filter([{_found_sql(set(urls.SOFT) - set(urls.STRICT))}], x -> x IS NOT NULL) AS soft_terms
+  FROM a),
+c AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM b)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/', 'example.org/en/1') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN len(strict_terms) > 0 OR len(soft_terms) >= {urls.SOFT_HITS} THEN 'block'
+            ELSE 'allow' END AS verdict,
+       strict_terms, soft_terms
+FROM c"""
