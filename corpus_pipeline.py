@@ -19,8 +19,7 @@ from trustframe.llm.queries import RANKS, in_fold
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored below 0.5; the model learns from the labelled rows of ``docs``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), ~in_fold())
-    return (toxicity.score(docs, model, list(docs.columns)).where("predicted = 0")
-            .select(*docs.columns))
+    return toxicity.remove(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

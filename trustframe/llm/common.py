@@ -74,6 +74,19 @@ def append_columns(df: DataFrame, keep: list[str], text: str, fields: list[T.Str
     return df.select(*(f.name for f in kept), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
+def rows_where(df: DataFrame, text: str, make: Callable[[DataFrame, list[str], str], DataFrame],
+               condition: str) -> DataFrame:
+    """The rows of ``df``, unchanged, for which ``condition`` holds on the columns ``make`` adds.
+
+    ``make`` gets the columns under neutral names, so no name of ``df`` can
+    clash with an added one.
+    """
+    names = [f"__c{i}" for i in range(len(df.columns))]
+    safe = df.toDF(*names)
+    found = make(safe, names, names[df.columns.index(text)]).where(condition)
+    return found.select(*names).toDF(*df.columns)
+
+
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, salt_of: Column,
                   salts: int = 16) -> DataFrame:
     """Left join on ``key`` where one key may hold a third of the left rows.

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_batches, utf8, written
+from .common import bounded_batches, rows_where, utf8, written
 
 WINDOW = 10
 SHARD_WORDS = 1 << 21
@@ -310,5 +310,5 @@ def _add(doc, found, state, last):
 
 def remove(docs: DataFrame, bench: DataFrame, text: str = "text", **kw) -> DataFrame:
     """The rows of ``docs``, unchanged, that hold no window of the benchmark."""
-    cols = list(docs.columns)
-    return scan(docs, bench, cols, text, **kw).where("NOT contaminated").select(*cols)
+    return rows_where(docs, text, lambda df, keep, t: scan(df, bench, keep, t, **kw),
+                      "NOT contaminated")

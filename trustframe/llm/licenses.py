@@ -12,7 +12,7 @@ candidate; the template is then aligned with the document words around it
 inside that band (matches +1, everything else -1/2, best local path).  Reported are
 template, covered share of its words and the span in code points, end
 exclusive, where the share is ``COVERAGE`` or more.  A span inside another
-template's longer span is not reported.  All places of a text are found.
+template's span is not reported; of equal spans the one with more words is.  All places of a text are found.
 
 Words are letters and digits (non-ASCII characters count as letters), A-Z
 lower-cased.  Null and empty texts have no licence.
@@ -144,7 +144,7 @@ class Scanner:
         for t, low, high in self.candidates(ids):
             n, first, end = self.align(ids, t, low, high)
             if n >= COVERAGE * len(self.texts[t]):
-                found.append((first, end, n / len(self.texts[t]), t))
+                found.append((first, end, n, t))
         if not found:
             return []
         found.sort(key=lambda f: (f[0], -f[1], -f[2], f[3]))
@@ -154,9 +154,9 @@ class Scanner:
                 kept.append(f)
                 reach = f[1]
         spans = [m.span() for m in _WORD.finditer(text.decode("utf-8", "replace"))]
-        return [{"license": self.names[t], "coverage": round(share, 4),
+        return [{"license": self.names[t], "coverage": round(n / len(self.texts[t]), 4),
                  "start": spans[first][0], "end": spans[end - 1][1]}
-                for first, end, share, t in kept]
+                for first, end, n, t in kept]
 
 
 @lru_cache(maxsize=2)

@@ -125,8 +125,8 @@ b AS (
          coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.UPPER.lower()}'), '')
            AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-         list_filter([{_found_sql(urls.STRICT)}], x -> x IS NOT NULL) AS strict_terms,
-         list_filter([{_found_sql(set(urls.SOFT) - set(urls.STRICT))}], x -> x IS NOT NULL) AS soft_terms
+         list_filter([{_found_sql(urls.STRICT)}], lambda x: x IS NOT NULL) AS strict_terms,
+         list_filter([{_found_sql(set(urls.SOFT) - set(urls.STRICT))}], lambda x: x IS NOT NULL) AS soft_terms
   FROM a),
 c AS (
   SELECT *, CASE

@@ -4,8 +4,11 @@ Fit (labels are read here only): a sample of at most ``max_fit_rows`` labelled
 rows, the smallest hashes of doc_id, with repeated texts counted once.  Terms
 are words and the first four characters of longer words.  The vectors hold the
 terms that are over-represented among toxic rows by a G-squared test whose
-bound 2 ln(terms tested) grows with the vocabulary; without this selection the
-cosine of long texts is that of their filler.  Weights are (1 + ln tf) * idf,
+bound 2 ln(terms tested) + ``MARGIN`` grows with the vocabulary; without this
+selection the cosine of long texts is that of their filler.  Terms are taken
+by falling statistic, and a toxic row that already holds ``COVER`` of them no
+longer counts for the next ones: words that only copies of one toxic text share
+are not taken for toxic themselves.  Weights are (1 + ln tf) * idf,
 length 1.  Three quarters of the sample are the examples of the index, one
 quarter calibrates.
 
@@ -33,15 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_batches, utf8, written
+from .common import append_columns, bounded_batches, rows_where, utf8, written
 
 MAX_FIT_ROWS = 20_000
 MAX_TERMS = 4096
 NEIGHBOURS = 15
+MARGIN = 4
 BLOCK = 64
-SOFTEN = 0.1
+SOFTEN = 0.02
 PRIOR = 1.0
 MIN_ROWS = 3           # toxic sample rows a term must occur in
+PURITY = 0.8           # toxic share (one row of each label added) of the rows with the term
+COVER = 5              # chosen terms after which a toxic row supports no further term
 EVIDENCE = 3
 
 _WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32
@@ -239,15 +245,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_on, doc_id: str = "doc_id", text
                 .where(F.col("term").isNull() | (F.col("a") >= MIN_ROWS)))
     tested = [(r["term"], r["a"], r["b"]) for r in seen.collect()]  # terms of the bounded sample
     n1, n0 = next(((a, b) for t, a, b in tested if t is None), (0, 0))
-    idf = {}
-    if n1 and n0:
-        tested = [(bytes(t), a, b) for t, a, b in tested if t is not None and a * n0 > b * n1]
-        least = 2 * math.log(max(len(tested), 2)) + 4
-        chosen = sorted(((g_squared(a, b, n1, n0), t, a + b) for t, a, b in tested), reverse=True)
-        chosen = [x for x in chosen if x[0] >= least][:MAX_TERMS]
-        idf = {t: (i, math.log((1 + n1 + n0) / (1 + n)) + 1) for i, (_, t, n) in enumerate(chosen)}
-
-    probe = Model(idf, [], 0.0)
+    tested = [(bytes(t), a, b) for t, a, b in tested if t is not None and a * n0 > b * n1]
+    least = 2 * math.log(max(len(tested), 2)) + MARGIN
+    ranked = sorted(((-g_squared(a, b, n1, n0), t, a, b) for t, a, b in tested
+                     if (a + 1) / (a + b + 2) >= PURITY)) if n1 and n0 else []
+    ranked = [(t, a, b) for g, t, a, b in ranked if -g >= least][:MAX_TERMS]
+    probe = Model({t: (i, 1.0) for i, (t, _, _) in enumerate(ranked)}, [], 0.0)
 
     def reduce(batches):
         for batch in batches:
@@ -261,12 +264,29 @@ def fit(docs: DataFrame, labels: DataFrame, fit_on, doc_id: str = "doc_id", text
                  .mapInArrow(reduce, "id long, y int, term array<binary>, n array<int>"))
     got = [({bytes(t): n for t, n in zip(r["term"], r["n"])}, r["y"], r["id"])
            for r in small.orderBy("id").collect()]      # at most max_rows, selected terms only
+    idf = {t: (i, math.log((1 + n1 + n0) / (1 + n)) + 1)
+           for i, (t, n) in enumerate(_covering(ranked, got, n1, n0, least))}
     share = n1 / (n1 + n0) if n1 + n0 else 0.0
     model = Model(idf, [x for k, x in enumerate(got) if k % 4], share)
     model.calibrate([(c, y) for k, (c, y, _) in enumerate(got) if k % 4 == 0])
     return model
 
 
+def _covering(ranked: list, rows: list, n1: int, n0: int, least: float) -> list[tuple]:
+    """(term, rows with it) still significant on toxic rows with fewer than ``COVER`` terms."""
+    of_term: dict[bytes, list[int]] = {}
+    for k, (counts, y, _) in enumerate(rows):
+        for t in counts if y else ():
+            of_term.setdefault(t, []).append(k)
+    held, chosen = Counter(), []
+    for t, a, b in ranked:
+        new = sum(held[k] < COVER for k in of_term.get(t, ()))
+        if new >= MIN_ROWS and g_squared(new, b, n1, n0) >= least:
+            chosen.append((t, a + b))
+            held.update(of_term[t])
+    return chosen
+
+
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` plus score, predicted and evidence (id:label:cosine of the nearest)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -278,3 +298,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     return append_columns(docs, keep, text, [
         T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
         T.StructField("evidence", T.ArrayType(T.StringType()))], rows)
+
+
+def remove(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, that the model does not predict to be toxic."""
+    return rows_where(docs, text, lambda df, keep, t: score(df, model, keep, t), "predicted = 0")
