@@ -263,3 +263,103 @@ def test_equal_sample_takes_min_of_cap_and_bots(spark):
     s = S.equal_sample(df)
     counts = {r["label"]: r["n"] for r in s.groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert counts == {1: 300, 0: 300}
+
+
+# ---- round 2: one golden per corrected rule ---------------------------------------
+
+def test_no_break_space_is_blank(spark):
+    from trustframe.functions.text import strip_ws, text_present
+    rows = [(" ",), (" 　",), ("\x1c\x85",), (" x ",), ("​",)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r[0] for r in df.select(text_present("t")).collect()] == [int(bool(t.strip())) for t, in rows]
+    assert [r[0] for r in df.select(strip_ws("t")).collect()] == [t.strip() for t, in rows]
+
+
+def test_year_or_month_alone_is_no_date(spark):
+    df = spark.createDataFrame([("2020",), ("2020-01",), ("2020-01-01",)], "s string")
+    got = [r["a"] for r in df.select(account_age_days("s", "2024-01-30 12:00:00").alias("a")).collect()]
+    assert got == [0, 0, 1490]
+
+
+def test_average_precision_needs_both_classes(spark):
+    for rows in ([(1, 0.2), (1, 0.4)], [(0, 0.2)]):
+        ls = spark.createDataFrame(rows, "label int, score double")
+        assert M.average_precision(M.pr_curve(ls)).first()["average_precision"] is None
+
+
+def test_exact_median_of_an_even_count(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, 2.0, None), (3, None, None), (4, float("nan"), None)],
+                               "id int, x double, y double")
+    got = {r["id"]: (r["x"], r["y"]) for r in S.impute_median(df, ["x", "y"]).collect()}
+    assert got == {1: (1.0, None), 2: (2.0, None), 3: (1.5, None), 4: (1.5, None)}
+
+
+def test_fold_counts_and_stratified_folds(spark):
+    assert S.n_folds(1, 100) == 5 and S.n_folds(3, 100) == 3 and S.n_folds(9, 100) == 5 and S.n_folds(1, 2) == 2
+    df = spark.range(0, 1003).withColumn("label", (F.col("id") % 7 == 0).cast("int"))
+    n = {(r["label"], r["fold"]): r["n"] for r in S.fold_column(df, 3).groupBy("label", "fold")
+         .agg(F.count("*").alias("n")).collect()}
+    for label in (0, 1):
+        sizes = [n[label, f] for f in range(3)]
+        assert max(sizes) - min(sizes) <= 1 and sum(sizes) == df.filter(F.col("label") == label).count()
+
+
+def test_split_with_null_labels_and_repeated_ids(spark):
+    df = spark.createDataFrame([(i // 2, i // 2 % 3 == 0 and 1 or 0) for i in range(400)] + [(900, None)],
+                               "id long, label int")
+    train, test = S.stratified_split(df)
+    assert train.count() + test.count() == 401
+    assert train.join(test, "id").count() == 0
+    assert train.filter("label IS NULL").count() == 1
+
+
+def test_wide_ranges_leave_out_the_upper_end():
+    from pyspark.ml.classification import RandomForestClassifier
+    from trustframe.plans import training as T
+    rf = RandomForestClassifier()
+    for c in T.wide_candidates(400, rf):
+        assert 200 <= c[rf.numTrees] < 600 and 4 <= c[rf.maxDepth] < 20
+        assert 1 <= c[rf.minInstancesPerNode] < 10
+    assert T._forest_pipeline(5)[1].getMaxDepth() == 30
+
+
+def test_recent_calls_report_shows_dash_for_null(spark):
+    from trustframe.operators.calllog import recent_calls, recent_calls_report
+    df = spark.createDataFrame([(1, "a", None, 0.5, None, None, 0), (2, "b", 0.25, None, "Low", 12.4, 1)],
+                               "id long, endpoint string, bot_probability double, image_risk_score double, "
+                               "risk_level string, response_time_ms double, error int") \
+        .withColumn("timestamp", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
+    r = recent_calls(df)
+    assert len(r.columns) == 7
+    got = recent_calls_report(r).collect()
+    assert [x["Bot Prob"] for x in got] == ["25.0%", "—"] and got[1]["Response Time"] == "—"
+
+
+def test_slow_hours_finds_hours_above_the_target(spark):
+    from trustframe.operators.calllog import rt_trend, slow_hours
+    rows = [("2024-01-30 01:10:00", 100.0, 0), ("2024-01-30 01:50:00", 400.0, 0), ("2024-01-30 02:00:00", 200.0, 0),
+            ("2024-01-30 03:00:00", 900.0, 1)]
+    df = spark.createDataFrame(rows, "ts string, response_time_ms double, error int").select(
+        F.to_timestamp_ntz("ts").alias("timestamp"), "response_time_ms", "error")
+    got = slow_hours(rt_trend(df, "2024-01-30 12:00:00")).collect()
+    assert [(r["hour"], r["avg_ms"]) for r in got] == [("2024-01-30T01:00:00", 250.0)]
+
+
+def test_log_ids_grow_with_time_and_differ_per_call(spark):
+    from trustframe.operators.calllog import call_log_rows
+    df = spark.createDataFrame([(7, "2024-01-01 00:00:00"), (7, "2024-01-01 00:00:05"), (3, "2024-01-02 00:00:00")],
+                               "id long, ts string").select("id", F.to_timestamp("ts").alias("timestamp"),
+                                                            F.lit(1.0).alias("response_time_ms"))
+    ids = [r["id"] for r in call_log_rows(df).orderBy("timestamp").collect()]
+    assert ids == sorted(set(ids)) and len(ids) == 3
+
+
+def test_scoring_result_is_flat(spark):
+    from trustframe.plans import training as T
+    a = spark.createDataFrame([(1, 0.5, None), (2, 0.2, 0.5)], "id int, p double, img double")
+    base = {c: F.lit(400.0) for c in ("followers_count", "account_age_days")}
+    flags = {c: F.lit(1) for c in ("has_profile_image", "has_description", "verified")}
+    r = T.scored_result(a.withColumns({**base, **flags}), "p", "img", 0.3).orderBy("id").collect()
+    assert r[0]["user"].asDict() == {"is_bot": True, "bot_probability": 0.5, "risk_level": "Medium",
+                                     "threshold_used": 0.3, "combined_bot_probability": 0.5}
+    assert r[1]["user"]["combined_bot_probability"] == pytest.approx(0.26)

@@ -47,7 +47,7 @@ def test_save_and_load_run(spark, sf_dir):
                              LogisticRegression(maxIter=5)]).fit(a)
     run = _uniq(spark, "run")
     TB.save_run(model, {"optimal_threshold": 0.42, "n_features": 2}, run, spark)
-    m2, summary, th = TB.load_run(run, spark)
+    m2, summary, th, _ = TB.load_run(run, spark)
     assert th == 0.42 and summary["n_features"] == 2
     assert m2.transform(a).count() == a.count()
     run2 = _uniq(spark, "run")
@@ -94,3 +94,137 @@ def test_stream_installs_equal_distinct(spark, sf_dir):
     s = queries()["stream_installs"](spark, sf_dir)
     n = td.extension_pings(spark, sf_dir).agg(F.count_distinct("extension_id")).first()[0]
     assert s.count() == n
+
+
+# ---- round 2: folders, text ids, rejects, saved chain, late rows --------------------
+
+def test_streams_read_folder_tables_and_new_files(spark, sf_dir):
+    from trustframe.plans.registry import queries
+    folder = _uniq(spark, "folder")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3).write.parquet(f"{folder}/events.parquet")
+    got = queries()["stream_daily"](spark, folder)
+    assert got.agg(F.sum("count")).first()[0] == events.count()
+    events.limit(5).write.mode("append").parquet(f"{folder}/events.parquet")
+    assert queries()["stream_daily"](spark, folder).agg(F.sum("count")).first()[0] == events.count() + 5
+
+
+def test_text_ids_from_csv_to_labels(spark):
+    from trustframe.operators.labels import join_labels, train_labels
+    from trustframe.schemas import BIN_BASE, NUM_BASE
+    import os
+    path = _uniq(spark, "ids")
+    os.makedirs(path)
+    with open(f"{path}/users.csv", "w") as f:
+        f.write(",".join(["id", *NUM_BASE, *BIN_BASE, "label"]) + "\n")
+        f.write(",".join(["u123", *["1"] * 12, "1"]) + "\n")
+    for name, line in (("label", "id,label\nu123,bot\n"), ("split", "id,split\nu123,train\n")):
+        with open(f"{path}/{name}.csv", "w") as f:
+            f.write(line)
+    a = TB.read_accounts(spark, f"{path}/users.csv")
+    lab = train_labels(TB.read_labels(spark, f"{path}/label.csv"), TB.maybe_split(spark, f"{path}/split.csv"))
+    rows = join_labels(a, lab).collect()
+    assert [(r["id"], r["label"], r["followers_count"]) for r in rows] == [("u123", "bot", 1.0)]
+
+
+def test_unreadable_raw_files_become_rejects(spark):
+    import os
+    from trustframe.sources.raw_json import accepted_raw, read_raw_accounts, rejected_raw, unwrap_accounts
+    path = _uniq(spark, "raw")
+    os.makedirs(path)
+    files = {"array": '[{"id": 1}, [2, {"id": 2}], 5]', "object": '\n\n {"id": 3}', "truncated": '[{"id": 4}, {"id"',
+             "garbage": "not json", "empty": "[]", "lines": '\n [ {"id": 6} ] \n'}
+    for name, text in files.items():
+        with open(f"{path}/{name}.json", "w") as f:
+            f.write(text)
+    u = unwrap_accounts(read_raw_accounts(spark, path))
+    ids = sorted(r[0] for r in accepted_raw(u).select(F.try_variant_get("obj", "$.id", "int")).collect())
+    assert ids == [1, 2, 3, 6]
+    assert rejected_raw(u).count() == 3            # 5, the truncated file, the garbage file
+
+
+def test_checkpoint_folder_is_required_off_local():
+    import pytest
+    from trustframe import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+    assert session.is_local("local[4]") and not session.is_local("local-cluster[1,1,1024]")
+
+
+def test_production_chain_saves_loads_and_scores_alike(spark, sf_dir):
+    from trustframe.plans import training as T
+    acc = td.scored_accounts(spark, sf_dir)
+    members, summary = T.train_production(acc, n_iter=1, folds=2, trees=5)
+    run = _uniq(spark, "chain")
+    TB.save_run(members, summary, run, spark, list(T.FEATURES))
+    again, s2, th, schema = TB.load_run(run, spark)
+    assert th == summary["optimal_threshold"] and schema["feature_list"] == list(T.FEATURES)
+    assert s2["best_params"] == summary["best_params"] and set(s2["test_metrics"]) == {
+        "report", "confusion_matrix", "roc_auc"}
+    one = {r["id"]: r for r in T.score_accounts(acc, members, th).collect()}
+    two = {r["id"]: r for r in T.score_accounts(acc, again, th).collect()}
+    assert one and one == two
+    iso = T.calibrated_forest(T.training_frame(acc), "isotonic", folds=2, trees=5)
+    TB.save_run(iso, {}, run + "-iso", spark)
+    back = TB.load_run(run + "-iso", spark)
+    test = T.training_frame(acc)
+    assert T.predict_calibrated(iso, test, "isotonic").select("score").collect() == \
+        T.predict_calibrated(back[0], test, "isotonic").select("score").collect()
+    assert back[2] == 0.30
+
+
+def test_append_stream_drops_exactly_the_late_rows_and_restarts(spark):
+    from trustframe.streaming import streams as R
+    folder = _uniq(spark, "late")
+    out, ckpt = _uniq(spark, "late-out"), _uniq(spark, "late-ckpt")
+
+    def add(*times):
+        (spark.createDataFrame([(i, t, 0, 10.0) for i, t in enumerate(times)],
+                               "id long, t string, error int, response_time_ms double")
+         .select("id", F.to_timestamp_ntz("t").alias("timestamp"), "error", "response_time_ms")
+         .coalesce(1).write.mode("append").parquet(f"{folder}/calls.parquet"))
+
+    def run():
+        df = R.windowed_calls(R.file_stream(spark, folder, "calls"), "1 hour").select(
+            F.date_format("w.start", "HH:mm").alias("start"), "count")
+        q = (df.writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    add("2024-01-01 01:10:00", "2024-01-01 01:20:00")
+    run()
+    add("2024-01-01 05:00:00")          # moves the watermark to 04:00
+    run()
+    add("2024-01-01 01:30:00", "2024-01-01 05:10:00")    # the first is late now
+    run()
+    add("2024-01-01 09:00:00")
+    run()
+    got = {r["start"]: r["count"] for r in spark.read.parquet(out).collect()}
+    assert got["01:00"] == 2 and got["05:00"] == 2
+
+
+def test_stream_call_log_has_ids_days_and_no_invented_latency(spark):
+    from trustframe.streaming.streams import scoring_batch_writer
+    base = _uniq(spark, "scoring")
+    rows = spark.createDataFrame([(1, 0.5), (2, 0.7)], "id long, bot_probability double")
+    write = scoring_batch_writer(f"{base}/scored", f"{base}/calls")
+    write(rows, 0)
+    write(rows, 0)                      # a replayed batch overwrites itself
+    log = spark.read.parquet(f"{base}/calls")
+    assert log.count() == 2 and "day" in log.columns
+    assert log.filter("response_time_ms IS NOT NULL").count() == 0
+    assert log.select("id").distinct().count() == 2

@@ -57,6 +57,18 @@ def _ts_lt(bound: str) -> Column:
     return F.col(TS) < F.lit(bound).cast("timestamp_ntz")
 
 
+def since(calls: DataFrame, bound: str) -> DataFrame:
+    """Rows from ``bound`` on; a log partitioned by day is pruned to those days."""
+    out = calls.filter(_ts_ge(bound))
+    return out.filter(F.col("day") >= F.lit(bound[:10]).cast("date")) if "day" in calls.columns else out
+
+
+def before(calls: DataFrame, bound: str) -> DataFrame:
+    """Rows before the midnight ``bound``."""
+    out = calls.filter(_ts_lt(bound))
+    return out.filter(F.col("day") < F.lit(bound[:10]).cast("date")) if "day" in calls.columns else out
+
+
 def ok(calls: DataFrame) -> DataFrame:
     return calls.filter(F.col("error") == 0)
 
@@ -70,7 +82,7 @@ def total_calls(calls: DataFrame) -> DataFrame:
 
 def calls_today(calls: DataFrame, as_of: str) -> DataFrame:
     lo, hi = day_bounds(as_of)
-    return ok(calls).filter(_ts_ge(lo) & _ts_lt(hi)).agg(F.count(F.lit(1)).alias("calls_today"))
+    return before(since(ok(calls), lo), hi).agg(F.count(F.lit(1)).alias("calls_today"))
 
 
 def last_n(calls: DataFrame, n: int, cond: Column | None = None, cols=("*",)) -> DataFrame:
@@ -114,14 +126,14 @@ def risk_breakdown(calls: DataFrame) -> DataFrame:
 
 def daily_calls(calls: DataFrame, as_of: str, days: int = DAILY_DAYS) -> DataFrame:
     """Calls per UTC day since midnight of the boundary day (errors included)."""
-    return (calls.filter(_ts_ge(window_start(as_of, days)))
+    return (since(calls, window_start(as_of, days))
             .groupBy(F.date_format(TS, DAY_FMT).alias("day"))
             .agg(F.count(F.lit(1)).alias("count"))
             .orderBy("day"))
 
 
 def hourly_calls(calls: DataFrame, as_of: str, days: int = HOURLY_DAYS) -> DataFrame:
-    return (calls.filter(_ts_ge(window_start(as_of, days)))
+    return (since(calls, window_start(as_of, days))
             .groupBy(F.date_format(TS, HOUR_FMT).alias("hour"))
             .agg(F.count(F.lit(1)).alias("count"))
             .orderBy("hour"))
@@ -129,7 +141,7 @@ def hourly_calls(calls: DataFrame, as_of: str, days: int = HOURLY_DAYS) -> DataF
 
 def rt_trend(calls: DataFrame, as_of: str, days: int = HOURLY_DAYS, digits: int = 1) -> DataFrame:
     """Mean latency per hour of successful calls."""
-    return (ok(calls).filter(_ts_ge(window_start(as_of, days)))
+    return (since(ok(calls), window_start(as_of, days))
             .groupBy(F.date_format(TS, HOUR_FMT).alias("hour"))
             .agg(F.round(F.avg("response_time_ms"), digits).alias("avg_ms"))
             .orderBy("hour"))
@@ -145,22 +157,24 @@ def last_scores(calls: DataFrame, col: str, n: int = LAST_SCORES) -> DataFrame:
 
 
 def recent_calls(calls: DataFrame, n: int = LAST_CALLS) -> DataFrame:
-    return last_n(calls, n, None, ("id", TS, "endpoint", "bot_probability", "image_risk_score",
+    return last_n(calls, n, None, (TS, "endpoint", "bot_probability", "image_risk_score",
                                    "risk_level", "response_time_ms", "error"))
 
 
 def recent_calls_report(recent: DataFrame) -> DataFrame:
     """Display form of the recent-calls table (renamed, formatted, '—' for NULL)."""
+    def shown(c, form, value):      # format_string prints NULL as text
+        return F.when(F.col(c).isNotNull(), F.format_string(form, value)).otherwise("—")
+
     def pct(c):
-        return F.coalesce(F.format_string("%.1f%%", F.col(c) * 100), F.lit("—"))
+        return shown(c, "%.1f%%", F.col(c) * 100)
     return recent.select(
-        F.col("id"),
         F.date_format(TS, "yyyy-MM-dd HH:mm:ss").alias("Time (UTC)"),
         F.col("endpoint").alias("Endpoint"),
         pct("bot_probability").alias("Bot Prob"),
         pct("image_risk_score").alias("Image Risk"),
         F.col("risk_level").alias("Risk Level"),
-        F.coalesce(F.format_string("%.0f ms", F.col("response_time_ms")), F.lit("—")).alias("Response Time"),
+        shown("response_time_ms", "%.0f ms", F.col("response_time_ms")).alias("Response Time"),
         F.when(F.coalesce(F.col("error"), F.lit(0)) != 0, "Yes").otherwise("No").alias("Error"),
     )
 
@@ -209,16 +223,58 @@ def stats_summary(calls: DataFrame, pings: DataFrame, as_of: str, digits=(4, 1))
     )
 
 
+def stats_report(calls: DataFrame, pings: DataFrame, as_of: str, month_as_of: str | None = None,
+                 digits=(4, 1)) -> DataFrame:
+    """The whole statistics record as one row of 13 parts.
+
+    The six figures of ``stats_summary``, the risk map, the daily, hourly and
+    latency lists, the newest scores and the newest calls.  Every list is
+    bounded by its window or limit before it is gathered.
+    """
+    def listed(df: DataFrame, order: str, *cols: str):
+        row = F.struct(F.col(order).alias("o"), F.struct(*cols).alias("r"))
+        rows = F.transform(F.sort_array(F.collect_list(row)), lambda x: x["r"])
+        return df.agg(rows.alias("rows")).scalar()
+
+    def newest(df: DataFrame, *cols: str):
+        what = F.struct(*cols) if len(cols) > 1 else F.col(cols[0])
+        row = F.struct(F.col("id").alias("o"), what.alias("r"))
+        rows = F.transform(F.sort_array(F.collect_list(row), asc=False), lambda x: x["r"])
+        return df.agg(rows.alias("rows")).scalar()
+
+    levels = risk_breakdown(calls).agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("risk_level", "count")))).alias("m")).scalar()
+    recent = ("timestamp", "endpoint", "bot_probability", "image_risk_score", "risk_level",
+              "response_time_ms", "error")
+    return stats_summary(calls, pings, as_of, digits).select(
+        "*", levels.alias("risk_breakdown"),
+        listed(daily_calls(calls, month_as_of or as_of), "day", "day", "count").alias("daily_calls"),
+        listed(hourly_calls(calls, as_of), "hour", "hour", "count").alias("hourly_calls"),
+        newest(last_scores(calls, "bot_probability"), "bot_probability").alias("bot_probabilities"),
+        newest(last_scores(calls, "image_risk_score"), "image_risk_score").alias("image_risk_scores"),
+        newest(last_n(calls, LAST_CALLS, None, ("id", *recent)), *recent).alias("recent_calls"),
+        listed(rt_trend(calls, as_of, digits=digits[1]), "hour", "hour", "avg_ms").alias("rt_trend"))
+
+
 # ---- sinks: the log writers ----------------------------------------------------
 
 
 def call_log_rows(scored: DataFrame, endpoint: str = "analyze_user") -> DataFrame:
-    """Project scored rows to call-log rows (latency to 2 places, bool -> 0/1)."""
+    """Project scored rows to call-log rows (latency to 2 places, bool -> 0/1).
+
+    ``id`` is the log's own: it grows with insertion.  It is taken from
+    ``event_id`` where the caller has one; otherwise it holds the call's second
+    in the upper bits and a hash of account, endpoint and time below, so a
+    second call for an account gets a new id and newer calls sort later.
+    """
     def opt(c, t):
         return F.col(c) if c in scored.columns else F.lit(None).cast(t)
+    when = F.col(TS) if TS in scored.columns else F.current_timestamp()
+    own = F.shiftleft(F.unix_seconds(when.cast("timestamp")), 28).bitwiseOR(
+        F.pmod(F.xxhash64("id", F.lit(endpoint), when), F.lit(1 << 28)))
     return scored.select(
-        F.col("id"),
-        F.col(TS) if TS in scored.columns else F.current_timestamp().alias(TS),
+        (F.col("event_id") if "event_id" in scored.columns else own).alias("id"),
+        when.alias(TS),
         F.lit(endpoint).alias("endpoint"),
         F.round(F.col("response_time_ms"), 2).alias("response_time_ms"),
         opt("bot_probability", "double").alias("bot_probability"),

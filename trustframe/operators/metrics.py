@@ -61,9 +61,9 @@ def roc_auc(curve: DataFrame) -> DataFrame:
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
-    """Sum over thresholds of (R_n - R_{n-1}) * P_n; NULL when there is no positive."""
-    P = F.sum("pos")
-    return curve.agg(F.when(P == 0, F.lit(None).cast("double"))
+    """Sum over thresholds of (R_n - R_{n-1}) * P_n; NULL with one class."""
+    P, N = F.sum("pos"), F.sum("neg")
+    return curve.agg(F.when((P == 0) | (N == 0), F.lit(None).cast("double"))
                      .otherwise(F.sum(F.col("pos") * F.col("precision")) / P).alias("average_precision"))
 
 

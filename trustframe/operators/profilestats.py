@@ -32,11 +32,20 @@ def long_form(df: DataFrame, cols, id_cols=()) -> DataFrame:
         list(id_cols), list(cols), "feature", "value")
 
 
+def histogram(long: DataFrame, group: str = "feature", value: str = "value") -> DataFrame:
+    """(group, value, c) without NULL and NaN, written once: several steps read it."""
+    return materialize(long.filter(F.col(value).isNotNull() & ~F.isnan(value))
+                       .groupBy(group, value).agg(F.count(F.lit(1)).alias("c")))
+
+
 def exact_quantiles(long: DataFrame, probs=DESCRIBE_PROBS, group: str = "feature",
                     value: str = "value") -> DataFrame:
     """(group, q, quantile) with linear interpolation, NULLs skipped."""
-    h = materialize(long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-                    .groupBy(group, value).agg(F.count(F.lit(1)).alias("c")))  # read three times
+    return histogram_quantiles(histogram(long, group, value), probs, group, value)
+
+
+def histogram_quantiles(h: DataFrame, probs=DESCRIBE_PROBS, group: str = "feature",
+                        value: str = "value") -> DataFrame:
     cum = running_sums(h, value, ["c"], groups=(group,), n_buckets=64)
     n = h.groupBy(group).agg(F.sum("c").alias("n"))
     qs = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
@@ -60,11 +69,19 @@ def exact_quantiles(long: DataFrame, probs=DESCRIBE_PROBS, group: str = "feature
 
 def describe(df: DataFrame, cols, probs=DESCRIBE_PROBS) -> DataFrame:
     """Transposed describe: count, mean, sample sd, min, percentiles, max per column."""
-    long = long_form(df, cols)
-    basic = long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(long, probs)
+    h = histogram(long_form(df, cols))      # the only pass over df
+    n = F.sum("c")
+    moments = h.groupBy("feature").agg(n.alias("count"), (F.sum(F.col("value") * F.col("c")) / n).alias("mean"),
+                                       F.min("value").alias("min"), F.max("value").alias("max"))
+    # squares around the mean, from the histogram: one row per feature is joined
+    around = h.join(F.broadcast(moments.select("feature", "mean")), "feature")
+    square = (around.groupBy("feature").agg(F.sum((F.col("value") - F.col("mean")) ** 2 * F.col("c")).alias("ss")))
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("ss") / (F.col("count") - 1))).alias("std")
+    basic = moments.join(square, "feature").select("feature", "count", "mean", std, "min", "max")
+    # a column of nulls only still has its line
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    basic = names.join(basic, "feature", "left").na.fill(0, ["count"])
+    q = histogram_quantiles(h, probs)
     wide = q.groupBy("feature").pivot("q", [float(p) for p in probs]).agg(F.first("quantile"))
     wide = wide.select("feature", *[F.col(f"`{float(p)}`").alias(f"p{int(round(p * 100))}") for p in probs])
     return basic.join(wide, "feature", "left")

@@ -1,11 +1,12 @@
 """Class-balanced sampling, splits, folds, class weights, imputation, scaling.
 
 Sampling order is a seeded hash of the row id, so samples are reproducible
-without a global sort.  Exact per-class caps are met with a bounded
-two-level scheme: a (class x 65,536 hash buckets) count table finds the
-boundary bucket per class, every row below it is taken, and only the rows of
-the boundary bucket are ranked (a window per (class, bucket), i.e. about
-n_class / 65,536 rows per task).  No class is ever gathered into one task.
+without a global sort.  Exact per-class caps come from one boundary per class:
+a (class x 65,536 hash buckets) count table names the bucket the cap falls in,
+and only that bucket (about n_class / 65,536 rows) is ranked to find the
+boundary (bucket, hash, id).  The sample and its complement are then plain
+filters on one read of the input: no join, no shuffle, no class in one task.
+Rows that repeat an id stay on one side of the boundary together.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql.window import Window
 
 SEED = 42                     # fixed value: seed of every sampler
 BALANCED_CAPS = {1: 30_000, 0: 60_000}   # fixed values: bots, humans (2:1)
-EQUAL_CAP = 5_000             # fixed value: per-class cap of the importance sample
 SUBSAMPLE_ROWS = 120_000      # fixed value: stratified subsample of the boosted-tree trainer
 TEST_SHARE = 0.2
 N_BUCKETS = 1 << 16
@@ -26,42 +26,62 @@ def hash_key(id_col: str = "id", seed: int = SEED) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(seed))
 
 
+def _inside(df: DataFrame, caps: dict, label: str, id_col: str, seed: int) -> Column:
+    """Condition: the row is among the first ``caps[class]`` of its class by hash."""
+    h = hash_key(id_col, seed)
+    keyed = df.select(F.col(label).alias("_c"), F.col(id_col).alias("_id"), h.alias("_h"),
+                      F.pmod(h, F.lit(N_BUCKETS)).alias("_bk")).filter(F.col("_c").isin(*caps))
+    cap = F.coalesce(*[F.when(F.col("_c") == k, F.lit(v)) for k, v in caps.items()])
+    w = Window.partitionBy("_c").orderBy("_bk").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (keyed.groupBy("_c", "_bk").agg(F.count(F.lit(1)).alias("_n"))
+           .withColumn("_cum", F.sum("_n").over(w)).withColumn("_cap", cap))
+    cuts = (cum.filter(F.col("_cum") >= F.col("_cap")).groupBy("_c")
+            .agg(F.min_by(F.struct("_bk", (F.col("_cap") - F.col("_cum") + F.col("_n")).alias("need")),
+                          "_bk").alias("c"))
+            .select("_c", F.col("c._bk").alias("bk"), F.col("c.need").alias("need")).collect())
+    inside = {k: F.lit(True) for k in caps}     # a class within its cap is taken whole
+    edge = None
+    for r in cuts:                              # one row per class
+        here = (F.col("_c") == r["_c"]) & (F.col("_bk") == r["bk"])
+        edge = here if edge is None else edge | here
+    last = {}
+    if edge is not None:
+        rank = Window.partitionBy("_c").orderBy("_h", "_id")
+        need = F.coalesce(*[F.when(F.col("_c") == r["_c"], F.lit(r["need"])) for r in cuts])
+        last = {r["_c"]: r for r in keyed.filter(edge).withColumn("_r", F.row_number().over(rank))
+                .filter(F.col("_r") == need).collect()}
+    bk = F.pmod(h, F.lit(N_BUCKETS))
+    for r in cuts:
+        at = last.get(r["_c"])                  # none where the cap is 0
+        tail = (F.lit(False) if at is None else
+                (h < at["_h"]) | ((h == at["_h"]) & (F.col(id_col) <= at["_id"])))
+        inside[r["_c"]] = (bk < r["bk"]) | ((bk == r["bk"]) & tail)
+    cond = F.lit(False)
+    for k, c in inside.items():
+        cond = F.when(F.col(label) == k, c).otherwise(cond)
+    return cond
+
+
 def capped_sample(df: DataFrame, caps: dict, label: str = "label", id_col: str = "id",
                   seed: int = SEED) -> DataFrame:
-    """Exactly ``min(cap, class size)`` rows per class, chosen by seeded hash order.
+    """``min(cap, class size)`` rows per class, chosen by seeded hash order.
 
     Classes missing from ``caps`` are dropped (as the reference keeps only the
     two sampled classes).
     """
-    h = hash_key(id_col, seed)
-    keyed = (df.filter(F.col(label).isin(*caps.keys()))
-             .withColumns({"_h": h, "_bk": F.pmod(h, F.lit(N_BUCKETS))}))
-    cap_col = F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))])[F.col(label)]
-    counts = keyed.groupBy(label, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(label).orderBy("_bk").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("_cum", F.sum("_n").over(w)).withColumn("_cap", cap_col)
-    # boundary bucket per class: first bucket whose running count reaches the cap
-    cut = (cum.filter(F.col("_cum") >= F.col("_cap"))
-           .groupBy(label).agg(F.min_by(F.struct("_bk", (F.col("_cap") - F.col("_cum") + F.col("_n")).alias("need")),
-                                        F.col("_bk")).alias("c"))
-           .select(label, F.col("c._bk").alias("_cut"), F.col("c.need").alias("_need")))
-    # (#classes) rows: broadcast by size
-    j = keyed.join(F.broadcast(cut), label, "left")
-    below = j.filter(F.col("_cut").isNull() | (F.col("_bk") < F.col("_cut")))
-    edge = j.filter(F.col("_bk") == F.col("_cut"))
-    rank = Window.partitionBy(label, "_bk").orderBy("_h", id_col)
-    edge = edge.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= F.col("_need")).drop("_r")
-    return below.unionByName(edge).drop("_h", "_bk", "_cut", "_need")
-
-
-def balanced_sample(df: DataFrame, label: str = "label", seed: int = SEED) -> DataFrame:
-    return capped_sample(df, BALANCED_CAPS, label, seed=seed)
-
-
-def equal_sample(df: DataFrame, label: str = "label", cap: int = EQUAL_CAP, seed: int = SEED) -> DataFrame:
-    """n = min(cap, #bots) rows of each class."""
-    n_bot = df.filter(F.col(label) == 1).count()
-    n = min(cap, n_bot)
+    return df.filter(_inside(df, caps, label, id_col, seed))
+
+
+def balanced_sample(df: DataFrame, label: str = "label", seed: int = SEED,
+                    caps: dict = BALANCED_CAPS) -> DataFrame:
+    return capped_sample(df, caps, label, seed=seed)
+
+
+def equal_sample(df: DataFrame, label: str = "label", cap: int | None = None,
+                 seed: int = SEED) -> DataFrame:
+    """As many rows of each class as there are bots; ``cap`` may bound them."""
+    n = df.filter(F.col(label) == 1).count()
+    n = n if cap is None else min(cap, n)
     return capped_sample(df, {1: n, 0: n}, label, seed=seed)
 
 
@@ -75,23 +95,25 @@ def hash_split(df: DataFrame, test_share: float = TEST_SHARE, id_col: str = "id"
 
 def stratified_split(df: DataFrame, label: str = "label", test_share: float = TEST_SHARE,
                      id_col: str = "id", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Exact per-class test counts round(share * n_c) via ``capped_sample``.
+    """Exact per-class test counts round(share * n_c); the rest is the train part.
 
-    Falls back to the hash split when a class has fewer than 2 rows.
+    Rows without a label train.  Falls back to the hash split when a class has
+    fewer than 2 rows.
     """
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[label]: r["n"] for r in df.filter(F.col(label).isNotNull()).groupBy(label)
+              .agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2 or min(counts.values()) < 2:
         return hash_split(df, test_share, id_col, seed)
     caps = {k: int(round(test_share * v)) for k, v in counts.items()}
-    test = capped_sample(df, caps, label, id_col, seed + 1)
-    train = df.join(test.select(id_col), id_col, "left_anti")
-    return train, test
+    test = _inside(df, caps, label, id_col, seed + 1)
+    return df.filter(~test), df.filter(test)
 
 
 def stratified_subsample(df: DataFrame, rows: int = SUBSAMPLE_ROWS, label: str = "label",
                          seed: int = SEED) -> DataFrame:
     """At most ``rows`` rows keeping the class ratio (no-op when smaller)."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[label]: r["n"] for r in df.filter(F.col(label).isNotNull()).groupBy(label)
+              .agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     if total <= rows:
         return df
@@ -99,14 +121,44 @@ def stratified_subsample(df: DataFrame, rows: int = SUBSAMPLE_ROWS, label: str =
     return capped_sample(df, caps, label, seed=seed)
 
 
+def hash_ranks(df: DataFrame, h: Column, groups: tuple[str, ...] = (), tie: str = "id",
+               name: str = "rank") -> DataFrame:
+    """0-based rank of each row by ``h`` within ``groups``, without one task per group.
+
+    Two levels: the rows of the hash buckets before the row's own (a table of
+    at most 65,536 rows per group) plus its rank inside the bucket.
+    """
+    keyed = df.withColumns({"_h": h, "_bk": F.pmod(h, F.lit(N_BUCKETS))})
+    own = [F.col(g).alias(f"_g_{g}") for g in groups]
+    before = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    base = (keyed.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+            .select(*own, F.col("_bk").alias("_bb"),
+                    F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
+    rank = Window.partitionBy(*groups, "_bk").orderBy("_h", tie)
+    on = F.col("_bk") == F.col("_bb")
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    out = keyed.withColumn("_r", F.row_number().over(rank) - 1).join(base, on)
+    return out.select(*df.columns, (F.col("_base") + F.col("_r")).alias(name))
+
+
 def fold_column(df: DataFrame, k: int, id_col: str = "id", seed: int = SEED,
-                name: str = "fold") -> DataFrame:
-    return df.withColumn(name, F.pmod(hash_key(id_col, seed + 2), F.lit(k)).cast("int"))
+                name: str = "fold", label: str | None = "label") -> DataFrame:
+    """Fold number 0..k-1: a row's rank in its class by seeded hash, modulo k.
+
+    Within each class the folds differ by one row at most.  ``label`` None
+    gives plain folds.
+    """
+    ranked = hash_ranks(df.drop(name), hash_key(id_col, seed + 2), (label,) if label else (), id_col, "_rank")
+    return ranked.withColumn(name, F.pmod("_rank", F.lit(k)).cast("int")).drop("_rank")
 
 
 def n_folds(min_class: int, n: int) -> int:
-    """Stratified fold count rule: max(2, min(5, smallest class, rows))."""
-    return max(2, min(5, min_class, n))
+    """Folds of the wide search: stratified up to 5 and the smallest class; plain up to 5.
+
+    Plain folds (a class of fewer than 2 rows) depend on the row count only.
+    """
+    return max(2, min(5, min_class, n)) if min_class >= 2 else max(2, min(5, n))
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
@@ -141,12 +193,19 @@ def standard_scale(df: DataFrame, params: dict[str, tuple[float, float]]) -> Dat
         c: (F.col(c) - F.lit(m)) / F.lit(s if s else 1.0) for c, (m, s) in params.items()})
 
 
-def impute_median(df: DataFrame, cols, relative_error: float = 1e-4) -> DataFrame:
-    """Median imputation with MLlib's Imputer (approximate quantile sketch)."""
-    from pyspark.ml.feature import Imputer
-    outs = [f"{c}__imp" for c in cols]
-    cast = df.withColumns({c: F.col(c).cast("double") for c in cols})
-    model = Imputer(strategy="median", inputCols=list(cols), outputCols=outs,
-                    relativeError=relative_error).fit(cast)
-    out = model.transform(cast)
-    return out.drop(*cols).withColumnsRenamed(dict(zip(outs, cols)))
+def fit_median(df: DataFrame, cols) -> dict[str, float]:
+    """Exact median per column (mean of the two middle values), nulls and NaN left out."""
+    from .profilestats import exact_quantiles, long_form
+    q = exact_quantiles(long_form(df, cols), (0.5,))
+    return {r["feature"]: r["quantile"] for r in q.collect()}    # one row per column
+
+
+def impute_median(df: DataFrame, cols) -> DataFrame:
+    """Null and NaN values replaced by the column's exact median; all-null columns stay."""
+    medians = fit_median(df, cols)
+
+    def filled(c):
+        x = F.col(c).cast("double")
+        x = F.when(~F.isnan(x), x)
+        return F.coalesce(x, F.lit(medians[c])) if c in medians else x
+    return df.withColumns({c: filled(c) for c in cols})

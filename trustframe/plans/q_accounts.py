@@ -175,11 +175,10 @@ def risk_badge(spark, sf_dir):
                     S.panel_color(S.combined_probability_raw("p", "img")).alias("panel_color"))
 
 
-_BREAKDOWN_SQL = SCORED_BODY + """, b AS (
-  SELECT id, 'Bot Trust / 1−P(bot) (w=0.6)' AS component, 0 AS ord, 1.0e0 - p AS score,
-         GREATEST(1.0e0 - p, heur, trust) AS top FROM t
-  UNION ALL SELECT id, 'Heuristic Score (w=0.4)', 1, heur, GREATEST(1.0e0 - p, heur, trust) FROM t
-  UNION ALL SELECT id, '▶ Final Trust Score', 2, trust, GREATEST(1.0e0 - p, heur, trust) FROM t)"""
+_TOP = "GREATEST(1.0e0 - p, heur, trust) AS top FROM t"
+_BREAKDOWN_SQL = SCORED_BODY + ", b AS (" + " UNION ALL ".join(
+    f"SELECT id, '{name}' AS component, {i} AS ord, {value} AS score, {_TOP}"
+    for i, (name, value) in enumerate(zip(S.BREAKDOWN_COMPONENTS, ("1.0e0 - p", "heur", "trust")))) + ")"
 
 
 @query("trust_breakdown", with_fixtures(["scored"], _BREAKDOWN_SQL + """

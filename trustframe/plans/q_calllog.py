@@ -12,9 +12,10 @@ from .registry import query, r6
 
 AS_OF = td.AS_OF_DAY
 AS_OF_30 = td.AS_OF_MONTH
-DAY_LO, DAY_HI = C.day_bounds(AS_OF)
-H_LO = C.window_start(AS_OF, C.HOURLY_DAYS)
-D_LO = C.window_start(AS_OF_30, C.DAILY_DAYS)
+# bounds of the oracle texts, written out for as_of 2024-01-30 and 2024-02-10
+DAY_LO, DAY_HI = "2024-01-30 00:00:00", "2024-01-31 00:00:00"
+H_LO = "2024-01-29 00:00:00"
+D_LO = "2024-01-11 00:00:00"
 
 
 def _calls(spark, sf_dir):
@@ -109,7 +110,7 @@ def last_image_risks(spark, sf_dir):
     return C.last_scores(_calls(spark, sf_dir), "image_risk_score")
 
 
-@_q("recent_calls", ["api_calls"], """SELECT id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, endpoint,
+@_q("recent_calls", ["api_calls"], """SELECT strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, endpoint,
   bot_probability, image_risk_score, risk_level, response_time_ms, error
 FROM api_calls ORDER BY id DESC LIMIT 25""")
 def recent_calls(spark, sf_dir):
@@ -117,7 +118,12 @@ def recent_calls(spark, sf_dir):
     return r.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
-@query("recent_calls_report")
+@_q("recent_calls_report", ["api_calls"], """SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS "Time (UTC)",
+  endpoint AS "Endpoint", COALESCE(printf('%.1f%%', bot_probability * 100), '—') AS "Bot Prob",
+  COALESCE(printf('%.1f%%', image_risk_score * 100), '—') AS "Image Risk", risk_level AS "Risk Level",
+  COALESCE(printf('%.0f ms', response_time_ms), '—') AS "Response Time",
+  CASE WHEN COALESCE(error, 0) <> 0 THEN 'Yes' ELSE 'No' END AS "Error"
+FROM api_calls ORDER BY id DESC LIMIT 25""")
 def recent_calls_report(spark, sf_dir):
     return C.recent_calls_report(C.recent_calls(_calls(spark, sf_dir)))
 
@@ -136,6 +142,53 @@ def stats_summary(spark, sf_dir):
     return C.stats_summary(_calls(spark, sf_dir), _pings(spark, sf_dir), AS_OF, digits=(6, 6))
 
 
+def _newest_sql(col):
+    return f"(SELECT list({col} ORDER BY id DESC) FROM ({_last_sql(col)}) x)"
+
+
+@_q("stats_report", ["api_calls", "extension_pings"], f"""SELECT
+  (SELECT COUNT(*) FROM api_calls WHERE error = 0) AS total_calls,
+  (SELECT COUNT(*) FROM api_calls WHERE error = 0 AND timestamp >= TIMESTAMP '{DAY_LO}'
+          AND timestamp < TIMESTAMP '{DAY_HI}') AS calls_today,
+  (SELECT COALESCE(ROUND(AVG(bot_probability), 6), 0.0) FROM (SELECT bot_probability FROM api_calls
+          WHERE bot_probability IS NOT NULL ORDER BY id DESC LIMIT 1000) x) AS avg_bot_probability,
+  (SELECT COALESCE(ROUND(AVG(response_time_ms), 6), 0.0) FROM (SELECT response_time_ms FROM api_calls
+          WHERE error = 0 ORDER BY id DESC LIMIT 1000) y) AS avg_response_time_ms,
+  (SELECT COUNT(DISTINCT extension_id) FROM extension_pings) AS unique_installs,
+  (SELECT COUNT(*) FROM extension_pings) AS total_pings,
+  (SELECT string_agg(risk_level || ':' || n, ',' ORDER BY risk_level) FROM (SELECT risk_level, COUNT(*) AS n
+          FROM api_calls WHERE risk_level IS NOT NULL GROUP BY 1) r) AS risk_breakdown,
+  (SELECT string_agg(day || ':' || n, ',' ORDER BY day) FROM (SELECT strftime(timestamp, '%Y-%m-%d') AS day,
+          COUNT(*) AS n FROM api_calls WHERE timestamp >= TIMESTAMP '{D_LO}' GROUP BY 1) d) AS daily_calls,
+  (SELECT string_agg(hour || ':' || n, ',' ORDER BY hour) FROM (SELECT strftime(timestamp, '%Y-%m-%dT%H:00:00') AS hour,
+          COUNT(*) AS n FROM api_calls WHERE timestamp >= TIMESTAMP '{H_LO}' GROUP BY 1) h) AS hourly_calls,
+  {_newest_sql("bot_probability")} AS bot_probabilities,
+  {_newest_sql("image_risk_score")} AS image_risk_scores,
+  (SELECT string_agg(strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || ' ' || endpoint || ' ' || COALESCE(risk_level, '-')
+          || ' ' || error, ',' ORDER BY id DESC)
+   FROM (SELECT * FROM api_calls ORDER BY id DESC LIMIT 25) c) AS recent_calls,
+  (SELECT list(avg_ms ORDER BY hour) FROM ({_RT_TREND_SQL}) t) AS rt_trend""")
+def stats_report(spark, sf_dir):
+    """The 13 parts of the record; maps and lists of rows are shown as text."""
+    r = C.stats_report(_calls(spark, sf_dir), _pings(spark, sf_dir), AS_OF, AS_OF_30, digits=(6, 6))
+
+    def text(col, show):
+        return F.array_join(F.transform(col, show), ",").alias(col)
+
+    return r.select(
+        "total_calls", "calls_today", "avg_bot_probability", "avg_response_time_ms", "unique_installs",
+        "total_pings",
+        F.array_join(F.transform(F.map_entries("risk_breakdown"), lambda e: F.concat_ws(
+            ":", e["key"], e["value"].cast("string"))), ",").alias("risk_breakdown"),
+        text("daily_calls", lambda e: F.concat_ws(":", e["day"], e["count"].cast("string"))),
+        text("hourly_calls", lambda e: F.concat_ws(":", e["hour"], e["count"].cast("string"))),
+        "bot_probabilities", "image_risk_scores",
+        text("recent_calls", lambda e: F.concat_ws(
+            " ", F.date_format(e["timestamp"], "yyyy-MM-dd'T'HH:mm:ss"), e["endpoint"],
+            F.coalesce(e["risk_level"], F.lit("-")), e["error"].cast("string"))),
+        F.transform("rt_trend", lambda e: e["avg_ms"]).alias("rt_trend"))
+
+
 @_q("ping_activity", ["extension_pings"], """SELECT COUNT(*) AS total_pings,
   COUNT(DISTINCT extension_id) AS unique_installs FROM extension_pings""")
 def ping_activity(spark, sf_dir):
@@ -191,7 +244,7 @@ def risk_share(spark, sf_dir):
 FROM scored""")
 def log_calls_projection(spark, sf_dir):
     s = td.scored_accounts(spark, sf_dir)
-    batch = s.select("id", (F.col("followers_count") * 1.25).alias("response_time_ms"),
+    batch = s.select("id", F.col("id").alias("event_id"), (F.col("followers_count") * 1.25).alias("response_time_ms"),
                      F.col("p").alias("bot_probability"), S.risk_level("p").alias("risk_level"),
                      S.is_bot("p").alias("is_bot"))
     return C.call_log_rows(batch).drop("timestamp")

@@ -1,91 +1,111 @@
 """Registered queries: model training, calibration, evaluation, scoring, text model.
 
-All rows-only (MLlib fits have no SQL twin); the metric tables themselves are
-computed with the histogram metrics checked against DuckDB in ``q_metrics``.
+Every trainer runs with the reference's settings.  MLlib fits have no SQL
+twin; tests hold their metrics against stated bounds, and the metric tables
+are computed with the histogram metrics checked against DuckDB in
+``q_metrics``.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import sampling as S
-from ..operators import scoring as SC
-from ..operators.validation import validate_accounts
+from ..operators.validation import validate_text
 from ..sources import testdata as td
 from . import training as T
+from .oracle_fixtures import with_fixtures
+from .q_accounts import HEUR_SQL, LEVEL_SQL
 from .registry import query, r6
 from .text_model import classify, clean_text, train_text
 
 
-# Check-run sizes: the library defaults equal the reference's settings (300 /
-# 200 trees, 8 x 3-fold and 25-candidate searches, 300 boosting rounds); the
-# registered check queries pass these smaller explicit values so that the
-# whole registry runs in minutes on one machine.
-CHECK_TREES = 30
-CHECK_ITER = 3
-CHECK_ROUNDS = 30
+def _split(spark, sf_dir):
+    return S.stratified_split(T.training_frame(td.accounts(spark, sf_dir)))
 
 
-def _split(spark, sf_dir):
-    data = T.training_frame(td.accounts(spark, sf_dir))
-    train, test = S.stratified_split(data)
-    return train.cache(), test.cache()
+# fitted models by (application, table folder, kind): several queries report on the same fit
+_FITTED: dict = {}
+
+
+def _fitted(spark, sf_dir, kind, fit):
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
+def _sigmoid(spark, sf_dir, train):
+    return _fitted(spark, sf_dir, "sigmoid", lambda: T.calibrated_forest(train, "sigmoid"))
+
 
+def _gbt(spark, sf_dir, train):
+    return _fitted(spark, sf_dir, "gbt", lambda: T.gbt(train))
 
-def _metrics(spark, name, pred):
-    return T.metrics_table(spark, name, T.evaluate(pred))
+
+def _production(spark, sf_dir):
+    return _fitted(spark, sf_dir, "production", lambda: T.train_production(td.accounts(spark, sf_dir)))
+
+
+def _metrics(spark, name, pred, cut=None):
+    return T.metrics_table(spark, name, T.evaluate(pred, cut=cut))
+
+
+def _scored(model, df):
+    return model.transform(df).withColumn("score", T.p_bot())
 
 
 @query("forest_baseline_metrics")
 def forest_baseline_metrics(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    _, pred = T.forest_baseline(train, test, trees=CHECK_TREES)
-    return _metrics(spark, "forest_baseline", pred)
+    _, pred = T.forest_baseline(train, test)
+    return _metrics(spark, "forest_baseline", pred, T.DEFAULT_CUT)
 
 
 @query("forest_tuned_metrics")
 def forest_tuned_metrics(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    cv = T.tuned_forest(train, n_iter=CHECK_ITER, trees=CHECK_TREES)
-    return _metrics(spark, "forest_tuned", cv.bestModel.transform(test).withColumn("score", T.p_bot()))
+    return _metrics(spark, "forest_tuned", _scored(T.tuned_forest(train).bestModel, test))
 
 
 @query("forest_wide_metrics")
 def forest_wide_metrics(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    m = T.wide_forest(train, n_iter=CHECK_ITER, tree_scale=CHECK_TREES / 400)
-    best = getattr(m, "bestModel", m)
-    return _metrics(spark, "forest_wide", best.transform(test).withColumn("score", T.p_bot()))
+    m = T.wide_forest(train)
+    return _metrics(spark, "forest_wide", _scored(getattr(m, "bestModel", m), test), T.DEFAULT_CUT)
 
 
 @query("gbt_metrics")
 def gbt_metrics(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    m = T.gbt(train, {"maxIter": CHECK_ROUNDS})
-    return _metrics(spark, "gbt", m.transform(test).withColumn("score", T.p_bot()))
+    return _metrics(spark, "gbt", _scored(_gbt(spark, sf_dir, train), test))
 
 
 @query("sigmoid_calibration_metrics")
 def sigmoid_calibration_metrics(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    members = T.calibrated_forest(train, "sigmoid", trees=CHECK_TREES)
+    members = _sigmoid(spark, sf_dir, train)
     return _metrics(spark, "forest_sigmoid", T.predict_calibrated(members, test, "sigmoid"))
 
 
 @query("isotonic_calibration_metrics")
 def isotonic_calibration_metrics(spark, sf_dir):
+    """The method and folds follow the rule on the training rows (isotonic from 100 rows)."""
     train, test = _split(spark, sf_dir)
-    members = T.calibrated_forest(train, "isotonic", trees=CHECK_TREES)
-    return _metrics(spark, "forest_isotonic", T.predict_calibrated(members, test, "isotonic"))
+    method, members = T.fit_calibrated(train)
+    pred = _scored(members, test) if method is None else T.predict_calibrated(members, test, method)
+    return _metrics(spark, f"forest_{method}", pred, T.DEFAULT_CUT)
 
 
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
     """Bot recall / precision / F1 and AUC of the forest and the boosted trees, by name."""
     train, test = _split(spark, sf_dir)
-    rf = T.calibrated_forest(train, "sigmoid", trees=CHECK_TREES)
+    rf = _sigmoid(spark, sf_dir, train)
     a = _metrics(spark, "random_forest", T.predict_calibrated(rf, test, "sigmoid"))
-    b = _metrics(spark, "gbt", T.gbt(train, {"maxIter": CHECK_ROUNDS}).transform(test).withColumn("score", T.p_bot()))
+    b = _metrics(spark, "gbt", _scored(_gbt(spark, sf_dir, train), test))
     long = a.unionByName(b).select("model", F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
         for m in ("bot_recall", "bot_precision", "bot_f1", "roc_auc")])))
@@ -94,46 +114,49 @@ def model_comparison(spark, sf_dir):
 
 @query("run_summary")
 def run_summary(spark, sf_dir):
-    """One-row summary: samples, features, class balance, threshold, metrics."""
-    acc = td.accounts(spark, sf_dir)
-    train, test = _split(spark, sf_dir)
-    members = T.calibrated_forest(train, "sigmoid", trees=CHECK_TREES)
-    ev = T.evaluate(T.predict_calibrated(members, test, "sigmoid"))
-    bal = S.class_balance(acc).first()
-    return spark.createDataFrame([(acc.count(), len(T.FEATURES), bal["n_human"], bal["n_bot"],
-                                   float(ev["threshold"]), ev["roc_auc"], train.count(), test.count())],
-                                 "n_samples long, n_features int, n_human long, n_bot long, "
-                                 "optimal_threshold double, roc_auc double, train_rows long, test_rows long")
+    """The production trainer's summary: samples, balance, parameters, threshold, metrics."""
+    _, s = _production(spark, sf_dir)
+    m = s["test_metrics"]
+    return spark.createDataFrame(
+        [(s["n_samples"], s["n_features"], s["class_balance"]["0_human"], s["class_balance"]["1_bot"],
+          s["optimal_threshold"], m["roc_auc"], s["train_rows"], s["test_rows"],
+          json.dumps(s["best_params"], sort_keys=True), m["confusion_matrix"],
+          json.dumps(m["report"], sort_keys=True))],
+        "n_samples long, n_features int, n_human long, n_bot long, optimal_threshold double, "
+        "roc_auc double, train_rows long, test_rows long, best_params string, "
+        "confusion_matrix array<array<long>>, report string")
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     from .importance import permutation_importance as pi
     data = T.training_frame(td.accounts(spark, sf_dir))
-    pipe, _ = T._forest_pipeline(CHECK_TREES)
-    model = pipe.fit(T.weighted(data))
-    sample = S.equal_sample(data)
-    return pi(model, sample)
+    pipe, _ = T._forest_pipeline(T.TUNED_TREES)
+    model = pipe.fit(T.packed(T.weighted(data)))
+    return pi(model, S.equal_sample(data))
 
 
 @query("score_accounts")
 def score_accounts(spark, sf_dir):
-    """Batch scoring: validate -> features -> model -> decision -> blends -> nested result."""
+    """Batch scoring with the production chain: calibrated members, learned threshold."""
     acc = td.scored_accounts(spark, sf_dir)
-    data = T.training_frame(acc)
-    pipe, _ = T._forest_pipeline(CHECK_TREES)
-    model = pipe.fit(T.weighted(data))
-    ok = validate_accounts(acc).filter(F.col("status") == "accepted")
-    feats = T.training_frame(ok).join(ok.select("id", "img"), "id")
-    pred = model.transform(feats).withColumn("p", T.p_bot())
-    heur = SC.heuristic_score()
-    p3 = F.round("p", 3)
-    return pred.select(
-        "id",
-        F.struct(SC.user_result("p").alias("u"), SC.combined_probability(p3, "img").alias("c")).alias("user"),
-        F.struct(heur.alias("heuristic_score")).alias("heuristics"),
-        SC.ensemble_struct(p3, heur, "img").alias("ensemble"),
-    )
+    members, summary = _production(spark, sf_dir)
+    return T.score_accounts(acc, members, summary["optimal_threshold"])
+
+
+@query("score_accounts_given", with_fixtures(["scored"], f"""
+, h AS (SELECT *, ROUND(p, 3) AS p3, {HEUR_SQL} AS heur FROM scored)
+, t AS (SELECT *, LEAST(GREATEST(0.6e0 * (1.0e0 - p3) + 0.4e0 * heur
+          - CASE WHEN img IS NULL THEN 0.0e0 ELSE 0.15e0 * img END, 0.0e0), 1.0e0) AS trust FROM h)
+SELECT id, p >= 0.45 AS is_bot, p3 AS bot_probability,
+  CASE WHEN p >= 0.60 THEN 'High' WHEN p >= 0.45 THEN 'Medium' ELSE 'Low' END AS risk_level,
+  0.45e0 AS threshold_used, ROUND(heur, 6) AS heuristic_score, {LEVEL_SQL} AS trust_level
+FROM t"""))
+def score_accounts_given(spark, sf_dir):
+    """The nested scoring result, flattened, for given probabilities and threshold."""
+    r = T.scored_result(td.scored_accounts(spark, sf_dir), "p", "img", 0.45)
+    return r.select("id", *[f"user.{c}" for c in ("is_bot", "bot_probability", "risk_level", "threshold_used")],
+                    r6("heuristics.heuristic_score").alias("heuristic_score"), "ensemble.trust_level")
 
 
 @query("text_clean", """SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS clean FROM documents""")
@@ -145,7 +168,7 @@ def text_clean(spark, sf_dir):
 @query("classify_documents")
 def classify_documents(spark, sf_dir):
     """TF-IDF + logistic regression trained on the labelled documents, applied to all."""
-    docs = td.table(spark, sf_dir, "documents")
+    docs = validate_text(td.table(spark, sf_dir, "documents")).filter("is_valid")
     lab = docs.join(td.table(spark, sf_dir, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
     model = train_text(lab.select("doc_id", "text", "label"))
     return classify(model, docs.select("doc_id", "text"))

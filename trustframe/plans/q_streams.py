@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring as S
 from ..operators.validation import validate_accounts
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import testdata as td
 from ..streaming import streams as R
 from .oracle_fixtures import with_fixtures
@@ -57,6 +57,13 @@ def stream_installs(spark, sf_dir):
     return R.run_available(firsts, "installs", mode="append")
 
 
+@query("stream_installs_count", with_fixtures(["extension_pings"],
+       "SELECT COUNT(DISTINCT extension_id) AS unique_installs FROM extension_pings"))
+def stream_installs_count(spark, sf_dir):
+    """Downstream count of the deduplicated stream."""
+    return stream_installs(spark, sf_dir).agg(F.count(F.lit(1)).alias("unique_installs"))
+
+
 def _scoring_sql() -> str:
     from .q_accounts import HEUR_SQL
     return with_fixtures(["scored"], f"""SELECT id, p AS bot_probability,
@@ -73,7 +80,9 @@ def stream_scoring(spark, sf_dir):
     order aggregates (stream-static join), validated, scored and written to the
     scored table and the call log."""
     cust = R.file_stream(spark, sf_dir, "customer")
-    acc = td.accounts(spark, sf_dir, customers=cust)
+    # the static side is aggregated and written once, not once per micro-batch
+    totals = materialize(td.order_totals(spark, sf_dir))
+    acc = td.accounts(spark, sf_dir, customers=cust, totals=totals)
     v = validate_accounts(acc)
     p = td.probability_of(F.col("id"))
     scored = v.filter(F.col("status") == "accepted").select(

@@ -14,6 +14,7 @@ from ..schemas import FEATURES
 from ..sources import testdata as td
 from .oracle_fixtures import with_fixtures
 from .registry import query, r6
+from .training import BASELINE_NUM
 
 AS_OF = td.AS_OF_DAY
 
@@ -159,8 +160,7 @@ def class_weights(spark, sf_dir):
     return w.select("label", "n_c", r6("weight").alias("weight"))
 
 
-SCALE_COLS = ("followers_count", "following_count", "tweet_count", "listed_count", "account_age_days",
-              "followers_following_ratio", "tweets_per_day")
+SCALE_COLS = BASELINE_NUM
 
 
 def _scale_sql():
@@ -182,28 +182,46 @@ def standard_scale(spark, sf_dir):
 
 # ---- samples, splits, folds (rows-only) ---------------------------------------------------
 
-@query("balanced_sample")
+@_q("balanced_sample", ["accounts"], "SELECT * FROM accounts")
 def balanced_sample(spark, sf_dir):
+    """The check tables are within the caps: every row stays (smaller caps: see below)."""
     return M.balanced_sample(td.accounts(spark, sf_dir))
 
 
-@query("split_shares")
+@_q("capped_sample_counts", ["accounts"], """SELECT label, CAST(LEAST(COUNT(*), CASE WHEN label = 1 THEN 20 ELSE 40 END) AS BIGINT) AS n
+FROM accounts GROUP BY label""")
+def capped_sample_counts(spark, sf_dir):
+    """Caps that bind at every scale."""
+    s = M.balanced_sample(td.accounts(spark, sf_dir), caps={1: 20, 0: 40})
+    return s.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_q("split_shares", ["accounts"], """SELECT part, label, CAST(CASE WHEN part = 'test' THEN t ELSE n - t END AS BIGINT) AS n
+FROM (SELECT label, COUNT(*) AS n, round_even(COUNT(*) * 0.2, 0) AS t FROM accounts GROUP BY label) c
+CROSS JOIN (VALUES ('train'), ('test')) p(part)""")
 def split_shares(spark, sf_dir):
     train, test = M.stratified_split(td.accounts(spark, sf_dir))
     return (train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
             .groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("fold_sizes")
+@_q("fold_sizes", ["accounts"], """SELECT CAST(fold AS INTEGER) AS fold, label,
+  CAST(n // 3 + CASE WHEN fold < n % 3 THEN 1 ELSE 0 END AS BIGINT) AS n
+FROM (SELECT label, COUNT(*) AS n FROM accounts GROUP BY label) c CROSS JOIN (VALUES (0), (1), (2)) f(fold)""")
 def fold_sizes(spark, sf_dir):
     a = td.accounts(spark, sf_dir)
     return M.fold_column(a, 3).groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("impute_median")
+@_q("impute_median", ["requests"], """SELECT id,
+  ROUND(COALESCE(CAST(tweet_count AS DOUBLE), (SELECT quantile_cont(CAST(tweet_count AS DOUBLE), 0.5) FROM requests)), 6) AS tweet_count,
+  ROUND(COALESCE(CAST(favourites_count AS DOUBLE), (SELECT quantile_cont(CAST(favourites_count AS DOUBLE), 0.5) FROM requests)), 6)
+    AS favourites_count
+FROM requests""")
 def impute_median(spark, sf_dir):
     r = td.requests(spark, sf_dir)
-    return M.impute_median(r, ["tweet_count", "favourites_count"]).select("id", "tweet_count", "favourites_count")
+    filled = M.impute_median(r, ["tweet_count", "favourites_count"])
+    return filled.select("id", r6("tweet_count").alias("tweet_count"), r6("favourites_count").alias("favourites_count"))
 
 
 # ---- raw JSON flattening (rows-only; VARIANT has no DuckDB twin) -------------------------

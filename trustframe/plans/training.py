@@ -14,7 +14,7 @@ import random
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import sampling as S
+from ..operators import scoring as SC
 from ..operators.features import align_to_schema, build_features
+from ..operators.validation import validate_accounts
 from ..schemas import FEATURES
 
 SEED = 42
+# rows per partition of a training table: small tables train in one task without a shuffle per level
+FIT_ROWS_PER_PARTITION = 20_000
 # ---- fixed values: estimator settings of the reference trainers -------------
 BASELINE_NUM = ("followers_count", "following_count", "tweet_count", "listed_count",
                 "account_age_days", "followers_following_ratio", "tweets_per_day")
@@ -38,11 +42,13 @@ TUNED_GRID = {"maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2],
 TUNED_ITER = 8
 TUNED_FOLDS = 3
 WIDE_RANGES = {"numTrees": (200, 600), "maxDepth": (4, 20), "minInstancesPerNode": (1, 10),
-               "featureSubsetStrategy": (0.3, 1.0)}
+               "featureSubsetStrategy": (0.3, 1.0)}      # upper ends excluded
 WIDE_ITER = 25
 GBT_PARAMS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
               "featureSubsetStrategy": "0.8"}
 CAL_FOLDS = 3
+MAX_DEPTH = 30             # MLlib's deepest tree, for the reference's unlimited depth
+DEFAULT_CUT = 0.5          # cut-off of the trainers that learn none
 # ---------------------------------------------------------------------------
 
 
@@ -61,18 +67,28 @@ def weighted(df: DataFrame) -> DataFrame:
     return S.with_weight_column(df, S.class_weights(df))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The table in as few partitions as its rows need; tree levels run one job each."""
+    return df.coalesce(max(1, -(-df.count() // FIT_ROWS_PER_PARTITION)))
+
+
 def p_bot(_frame: DataFrame | None = None, prob_col: str = "probability") -> F.Column:
     """Bot-class probability out of MLlib's probability vector."""
     return vector_to_array(F.col(prob_col))[1]
 
 
-def evaluate(pred: DataFrame, score: str = "score") -> dict:
-    """Threshold (max F1), AUC, AP, Brier and the report at that threshold."""
+def evaluate(pred: DataFrame, score: str = "score", cut: float | None = None) -> dict:
+    """Cut-off, AUC, AP, Brier, confusion matrix and report at the cut-off.
+
+    ``cut`` None takes the max-F1 threshold of ``pred``; the baseline and the
+    wide trainer pass ``DEFAULT_CUT``.
+    """
     ls = pred.select("label", F.col(score).alias("score")).cache()
     try:
         curve = M.pr_curve(ls, n_buckets=64).cache()
         best = M.best_threshold(curve).first()
-        th = best["threshold"] if best and best["threshold"] is not None else M.DEFAULT_CUT
+        th = best["threshold"] if best and best["threshold"] is not None else DEFAULT_CUT
+        th = th if cut is None else cut
         auc = M.roc_auc(curve).first()["roc_auc"]
         ap = M.average_precision(curve).first()["average_precision"]
         brier = M.brier(ls).first()["brier"]
@@ -102,21 +118,29 @@ def baseline_pipeline(trees: int = BASELINE_TREES) -> Pipeline:
     num = VectorAssembler(inputCols=list(BASELINE_NUM), outputCol="num_vec", handleInvalid="keep")
     scale = StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True)
     full = VectorAssembler(inputCols=["num_scaled", *BASELINE_BIN], outputCol="features")
-    rf = RandomForestClassifier(numTrees=trees, seed=SEED, weightCol="weight", maxDepth=30)
+    rf = RandomForestClassifier(numTrees=trees, seed=SEED, weightCol="weight",
+                                maxDepth=MAX_DEPTH)
     return Pipeline(stages=[num, scale, full, rf])
 
 
 def forest_baseline(train: DataFrame, test: DataFrame, trees: int = BASELINE_TREES):
-    model = baseline_pipeline(trees).fit(weighted(train))
+    model = baseline_pipeline(trees).fit(packed(weighted(train)))
     pred = model.transform(test).withColumn("score", p_bot(test))
     return model, pred
 
 
 # ---- T2 / T3: tuned forests with cross-validation ---------------------------------
 
-def _forest_pipeline(trees: int) -> tuple[Pipeline, RandomForestClassifier]:
-    rf = RandomForestClassifier(numTrees=trees, seed=SEED, weightCol="weight")
-    return Pipeline(stages=[assembler(), rf]), rf
+def _forest_pipeline(trees: int, scaled: bool = False, **params) -> tuple[Pipeline, RandomForestClassifier]:
+    """Forest over the 25 features; ``scaled`` puts median imputation and scaling before it."""
+    rf = RandomForestClassifier(numTrees=trees, seed=SEED, weightCol="weight",
+                                **{"maxDepth": MAX_DEPTH, **params})
+    if not scaled:
+        return Pipeline(stages=[assembler(), rf]), rf
+    filled = [f"{c}_filled" for c in FEATURES]
+    imputer = Imputer(strategy="median", inputCols=list(FEATURES), outputCols=filled, relativeError=1e-6)
+    scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
+    return Pipeline(stages=[imputer, assembler(filled, "raw_features"), scale, rf]), rf
 
 
 def _f1_bot() -> MulticlassClassificationEvaluator:
@@ -124,8 +148,8 @@ def _f1_bot() -> MulticlassClassificationEvaluator:
 
 
 def tuned_forest(train: DataFrame, n_iter: int = TUNED_ITER, folds: int = TUNED_FOLDS,
-                 trees: int = TUNED_TREES, parallelism: int = 4):
-    """Random ``n_iter`` candidates of the grid, F1 of the bot class, k folds."""
+                 trees: int = TUNED_TREES, parallelism: int = 8):
+    """Random ``n_iter`` candidates of the grid, F1 of the bot class, k stratified folds."""
     pipe, rf = _forest_pipeline(trees)
     b = ParamGridBuilder()
     for k, vals in TUNED_GRID.items():
@@ -134,36 +158,39 @@ def tuned_forest(train: DataFrame, n_iter: int = TUNED_ITER, folds: int = TUNED_
     cands = random.Random(SEED).sample(grid, min(n_iter, len(grid)))
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=cands, evaluator=_f1_bot(),
                         foldCol="fold", numFolds=folds, parallelism=parallelism, seed=SEED)
-    data = S.fold_column(weighted(train), folds)
-    return cv.fit(data)
+    return cv.fit(packed(S.fold_column(weighted(train), folds)))
+
+
+def best_params(cv) -> dict:
+    """Names and values of the candidate with the best mean metric."""
+    best = max(range(len(cv.avgMetrics)), key=lambda i: cv.avgMetrics[i])
+    return {p.name: v for p, v in cv.getEstimatorParamMaps()[best].items()}
 
 
 def wide_candidates(n: int, rf: RandomForestClassifier) -> list[dict]:
     rnd = random.Random(SEED)
     out = []
     for _ in range(n):
-        out.append({rf.numTrees: rnd.randint(*WIDE_RANGES["numTrees"]),
-                    rf.maxDepth: rnd.randint(*WIDE_RANGES["maxDepth"]),
-                    rf.minInstancesPerNode: rnd.randint(*WIDE_RANGES["minInstancesPerNode"]),
+        out.append({rf.numTrees: rnd.randrange(*WIDE_RANGES["numTrees"]),
+                    rf.maxDepth: rnd.randrange(*WIDE_RANGES["maxDepth"]),
+                    rf.minInstancesPerNode: rnd.randrange(*WIDE_RANGES["minInstancesPerNode"]),
                     rf.featureSubsetStrategy: f"{rnd.uniform(*WIDE_RANGES['featureSubsetStrategy']):.4f}"})
     return out
 
 
-def wide_forest(train: DataFrame, n_iter: int = WIDE_ITER, parallelism: int = 4,
-                tree_scale: float = 1.0):
+def wide_forest(train: DataFrame, n_iter: int = WIDE_ITER, parallelism: int = 8):
     """Wide random search; skipped (plain fit) with < 3 rows or one class."""
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
-    pipe, rf = _forest_pipeline(300)
+    pipe, rf = _forest_pipeline(300, scaled=True)
     if n < 3 or len(counts) < 2:
-        return pipe.fit(weighted(train))
-    k = S.n_folds(min(counts.values()), n)
-    cands = wide_candidates(min(n_iter, n), rf)
-    for c in cands:
-        c[rf.numTrees] = max(1, int(c[rf.numTrees] * tree_scale))
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=cands,
+        return pipe.fit(packed(weighted(train)))
+    small = min(counts.values())
+    k = S.n_folds(small, n)
+    folds = S.fold_column(weighted(train), k, label="label" if small >= 2 else None)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=wide_candidates(min(n_iter, n), rf),
                         evaluator=_f1_bot(), foldCol="fold", numFolds=k, parallelism=parallelism, seed=SEED)
-    return cv.fit(S.fold_column(weighted(train), k))
+    return cv.fit(packed(folds))
 
 
 # ---- T5: boosted trees -------------------------------------------------------------
@@ -175,7 +202,7 @@ def gbt(train: DataFrame, params: dict | None = None):
     spw = round(bal["h"] / bal["b"], 2) if bal["b"] else 1.0
     data = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(spw)).otherwise(F.lit(1.0)))
     g = GBTClassifier(seed=SEED, weightCol="weight", **p)
-    return Pipeline(stages=[assembler(), g]).fit(data)
+    return Pipeline(stages=[assembler(), g]).fit(packed(data))
 
 
 # ---- T6 / T7: calibration as an ensemble of held-out fits ------------------------------
@@ -195,7 +222,7 @@ def calibrated_forest(train: DataFrame, method: str = "sigmoid", folds: int = CA
                       base_pipeline=None, trees: int = TUNED_TREES):
     """k (base, calibrator) pairs; predictions average the calibrated probabilities."""
     base_pipeline = base_pipeline or _forest_pipeline(trees)[0]
-    data = S.fold_column(weighted(train), folds, name="cal_fold").cache()
+    data = packed(S.fold_column(weighted(train), folds, name="cal_fold")).cache()
     members = []
     for i in range(folds):
         fit_part = data.filter(F.col("cal_fold") != i)
@@ -203,7 +230,12 @@ def calibrated_forest(train: DataFrame, method: str = "sigmoid", folds: int = CA
         base = base_pipeline.fit(fit_part)
         s = base.transform(held).select("label", p_bot(held).alias("s"))
         if method == "isotonic":
-            cal = IsotonicRegression(featuresCol="s", labelCol="label", predictionCol="cal").fit(s)
+            # equal scores pool first: the fit is the same and the last step, which runs on
+            # the driver, gets one row per distinct score
+            pooled = s.groupBy("s").agg(F.avg("label").alias("label"),
+                                        F.count(F.lit(1)).cast("double").alias("w"))
+            cal = IsotonicRegression(featuresCol="s", labelCol="label", weightCol="w",
+                                     predictionCol="cal").fit(pooled)
         else:
             pl = _platt_rows(s, "s")
             va = VectorAssembler(inputCols=["s"], outputCol="sv")
@@ -250,5 +282,60 @@ def fit_calibrated(train: DataFrame, trees: int = TUNED_TREES):
     method, folds = calibration_plan(train)
     if method is None:
         pipe, _ = _forest_pipeline(trees)
-        return None, pipe.fit(weighted(train))
+        return None, pipe.fit(packed(weighted(train)))
     return method, calibrated_forest(train, method, folds, trees=trees)
+
+
+# ---- the production trainer: sample, split, search, calibrate, threshold ------------------
+
+def train_production(accounts: DataFrame, caps: dict = S.BALANCED_CAPS, n_iter: int = TUNED_ITER,
+                     folds: int = TUNED_FOLDS, trees: int = TUNED_TREES) -> tuple[list, dict]:
+    """(calibrated members, run summary) of the tuned forest on a balanced sample.
+
+    The best candidate of the search is what gets calibrated (sigmoid, 3
+    folds), and the max-F1 threshold on the holdout is the one scoring uses.
+    ``caps`` bounds the labelled rows that are fitted, per class.
+    """
+    data = training_frame(accounts).filter(F.col("label").isNotNull())
+    train, test = S.stratified_split(S.balanced_sample(data, caps=caps))
+    train, test = train.cache(), test.cache()
+    try:
+        params = best_params(tuned_forest(train, n_iter, folds, trees))
+        members = calibrated_forest(train, "sigmoid", base_pipeline=_forest_pipeline(trees, **params)[0])
+        ev = evaluate(predict_calibrated(members, test, "sigmoid"))
+        summary = {
+            "n_samples": data.count(), "n_features": len(FEATURES),
+            "class_balance": {"0_human": data.filter("label = 0").count(),
+                              "1_bot": data.filter("label = 1").count()},
+            "train_rows": train.count(), "test_rows": test.count(), "best_params": params,
+            "optimal_threshold": float(ev["threshold"]),
+            "test_metrics": {"report": ev["report"], "confusion_matrix": [
+                [ev["confusion"]["tn"], ev["confusion"]["fp"]],
+                [ev["confusion"]["fn"], ev["confusion"]["tp"]]], "roc_auc": ev["roc_auc"]}}
+    finally:
+        train.unpersist()
+        test.unpersist()
+    return members, summary
+
+
+def score_accounts(accounts: DataFrame, members: list, threshold: float, image: str = "img") -> DataFrame:
+    """Validated accounts scored with calibrated members: one nested result per account."""
+    ok = validate_accounts(accounts).filter(F.col("status") == "accepted")
+    f = build_features(ok, keep=("id", image, "label"))
+    # the heuristic reads base columns, which are features under the same names
+    feats = align_to_schema(f, list(FEATURES), keep=("id", image))
+    pred = predict_calibrated(members, feats, "sigmoid")
+    return scored_result(pred.withColumnRenamed("score", "p"), "p", image, threshold)
+
+
+def scored_result(df: DataFrame, p: str, image: str, threshold: float) -> DataFrame:
+    """id, user (four fields and the combined probability), heuristics, ensemble."""
+    heur = SC.heuristic_score()
+    shown = F.round(F.col(p), 3)
+    user = SC.user_result(p, threshold)
+    return df.select(
+        "id",
+        F.struct(*[user[c].alias(c) for c in ("is_bot", "bot_probability", "risk_level", "threshold_used")],
+                 SC.combined_probability(shown, image).alias("combined_bot_probability")).alias("user"),
+        F.struct(heur.alias("heuristic_score")).alias("heuristics"),
+        SC.ensemble_struct(shown, heur, image).alias("ensemble"))

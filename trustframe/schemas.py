@@ -30,19 +30,19 @@ def feature_list() -> list[str]:
 
 
 ACCOUNTS_SCHEMA = T.StructType(
-    [T.StructField("id", T.LongType(), True)]
+    [T.StructField("id", T.StringType(), True)]      # ids are text ("u123")
     + [T.StructField(c, T.DoubleType(), True) for c in NUM_BASE]
     + [T.StructField(c, T.IntegerType(), True) for c in BIN_BASE]
     + [T.StructField("label", T.IntegerType(), True)]
 )
 
 LABELS_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType(), True),
+    T.StructField("id", T.StringType(), True),
     T.StructField("label", T.StringType(), True),
 ])
 
 SPLIT_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType(), True),
+    T.StructField("id", T.StringType(), True),
     T.StructField("split", T.StringType(), True),
 ])
 

@@ -7,7 +7,9 @@ scripts, and the lookup of the cluster's shared checkpoint folder.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -69,22 +71,29 @@ def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as is.
-    Only when it is unset (local tests) a private folder is created and
-    registered, so that ``DataFrame.checkpoint()`` and written intermediate
-    tables have somewhere to go.
+    On a cluster this setting must point at shared storage and is used as is;
+    without it a job there fails at once.  Only a local session gets a private
+    folder, which is removed when the process ends.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(
             spark.sparkContext, "getCheckpointDir") else None
     if not d:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="trustframe-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for written intermediates."""
     return os.path.join(checkpoint_dir(spark), name)

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+VARIANT_BYTES = 16 << 20   # longest text parsed whole to tell a broken array
+
+
 def read_raw_accounts(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
     """-> DataFrame[idx BIGINT, v VARIANT]; ``layout`` is ``array`` or ``ndjson``."""
     if layout == "ndjson":
@@ -20,9 +23,12 @@ def read_raw_accounts(spark: SparkSession, path: str, layout: str = "array") ->
         return lines.select(F.monotonically_increasing_id().alias("idx"),
                             F.try_parse_json("value").alias("v"))
     files = spark.read.text(path, wholetext=True)
-    root = F.trim(F.col("value"))
-    # a root object is one element; a root array is split into its elements
-    elems = F.when(root.startswith("{"), F.array(root)).otherwise(F.from_json(root, "array<string>"))
+    root = F.regexp_replace("value", r"^[\ufeff\s]+", "")
+    # a root object is one element; a root array is split into its elements; a file that
+    # is neither (truncated, garbage) is one unparseable element, so it shows up as a reject
+    array = F.when(F.try_parse_json(root).isNotNull() | (F.length(root) > VARIANT_BYTES),
+                   F.from_json(root, "array<string>"))
+    elems = F.when(root.startswith("{"), F.array(root)).otherwise(F.coalesce(array, F.array(root)))
     return (files.select(F.posexplode(elems).alias("idx", "raw"))
             .select(F.col("idx").cast("bigint"), F.try_parse_json("raw").alias("v")))
 

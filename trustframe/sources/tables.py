@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,25 +63,47 @@ def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return flat.filter(F.col("height") > 0), flat.filter(F.col("height") <= 0).select("path")
 
 
-def save_run(model, summary: dict, run_dir: str, spark: SparkSession) -> None:
-    """Persist the fitted pipeline and a one-row JSON summary (threshold included)."""
-    model.write().overwrite().save(f"{run_dir}/model")
-    spark.createDataFrame([(json.dumps(summary),)], "summary string") \
-        .coalesce(1).write.mode("overwrite").text(f"{run_dir}/summary")
+def save_run(model, summary: dict, run_dir: str, spark: SparkSession,
+             features: list[str] | None = None) -> None:
+    """Persist the model, a one-row JSON summary (threshold included) and the feature schema.
+
+    ``model`` is a fitted pipeline or the (base, calibrator) members of a
+    calibrated one, each saved in a folder of its own.
+    """
+    members = model if isinstance(model, list) else [(model, None)]
+    for i, pair in enumerate(members):
+        for name, part in zip(("base", "calibrator"), pair):
+            if part is not None:
+                part.write().overwrite().save(f"{run_dir}/model/{i}/{name}")
+    kinds = [[type(p).__name__ if p is not None else None for p in pair] for pair in members]
+    for name, value in (("summary", summary), ("schema", {
+            "feature_list": features, "members": kinds, "train_rows": summary.get("train_rows"),
+            "test_rows": summary.get("test_rows"), "best_params": summary.get("best_params")})):
+        spark.createDataFrame([(json.dumps(value),)], "value string") \
+            .coalesce(1).write.mode("overwrite").text(f"{run_dir}/{name}")
+
+
+def _json_of(spark: SparkSession, path: str) -> dict:
+    try:
+        line = spark.read.text(path).first()
+        return json.loads(line[0]) if line else {}
+    except (AnalysisException, ValueError):     # no such file, or not JSON
+        return {}
 
 
 def load_run(run_dir: str, spark: SparkSession, default_threshold: float = DEFAULT_THRESHOLD):
-    """(PipelineModel, summary dict, threshold); the threshold falls back to 0.30."""
+    """(model or members, summary, threshold, schema); the threshold falls back to 0.30."""
     from pyspark.ml import PipelineModel
-    model = PipelineModel.load(f"{run_dir}/model")
-    summary: dict = {}
-    try:
-        line = spark.read.text(f"{run_dir}/summary").first()
-        summary = json.loads(line[0]) if line else {}
-    except Exception:
-        summary = {}
+    from pyspark.ml.regression import IsotonicRegressionModel
+    kinds = {"PipelineModel": PipelineModel, "IsotonicRegressionModel": IsotonicRegressionModel}
+    schema = _json_of(spark, f"{run_dir}/schema")
+    parts = [tuple(kinds[k].load(f"{run_dir}/model/{i}/{name}") if k else None
+                   for name, k in zip(("base", "calibrator"), pair))
+             for i, pair in enumerate(schema.get("members") or [["PipelineModel", None]])]
+    model = parts if parts[0][1] is not None else parts[0][0]
+    summary = _json_of(spark, f"{run_dir}/summary")
     try:
         th = float(summary.get("optimal_threshold", default_threshold))
     except (TypeError, ValueError):
         th = default_threshold
-    return model, summary, th
+    return model, summary, th, schema

@@ -45,7 +45,23 @@ def image_risk_of(id_col: Column) -> Column:
     return _grid(id_col, IMG_MULT)
 
 
-def accounts(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
+def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and line items per customer (pre-aggregated per order before the join)."""
+    li = (table(spark, sf_dir, "lineitem")
+          .groupBy("l_orderkey")
+          .agg(F.count(F.lit(1)).alias("li_n"), F.sum("l_quantity").alias("li_qty")))
+    return (table(spark, sf_dir, "orders")
+            .join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+            .groupBy("o_custkey")
+            .agg(F.count(F.lit(1)).alias("n_ord"),
+                 F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("n_f"),
+                 F.sum(F.coalesce("li_n", F.lit(0))).alias("n_li"),
+                 F.sum(F.coalesce("li_qty", F.lit(0.0))).alias("qty"),
+                 F.min(F.to_date("o_orderdate")).alias("first_day")))
+
+
+def accounts(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None,
+             totals: DataFrame | None = None) -> DataFrame:
     """B1: one account per customer (followers = orders, tweets = line items ...).
 
     Plan: line items are pre-aggregated per order (partial aggregation before
@@ -53,17 +69,7 @@ def accounts(spark: SparkSession, sf_dir: str, customers: DataFrame | None = Non
     and joined to customers on the customer key; ``nation`` is a 25-row
     dimension and is broadcast by the optimiser's size check.
     """
-    li = (table(spark, sf_dir, "lineitem")
-          .groupBy("l_orderkey")
-          .agg(F.count(F.lit(1)).alias("li_n"), F.sum("l_quantity").alias("li_qty")))
-    o = (table(spark, sf_dir, "orders")
-         .join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-         .groupBy("o_custkey")
-         .agg(F.count(F.lit(1)).alias("n_ord"),
-              F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("n_f"),
-              F.sum(F.coalesce("li_n", F.lit(0))).alias("n_li"),
-              F.sum(F.coalesce("li_qty", F.lit(0.0))).alias("qty"),
-              F.min(F.to_date("o_orderdate")).alias("first_day")))
+    o = totals if totals is not None else order_totals(spark, sf_dir)
     cust = customers if customers is not None else table(spark, sf_dir, "customer")
     c = (cust
          .join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))

@@ -26,12 +26,24 @@ HOUR_DELAY = "1 hour"       # fixed value: production lateness bound of the log
 INSTALL_HORIZON = "31 days"  # dedupe horizon of extension ids
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, max_files: int = 1) -> DataFrame:
-    """Stream one Parquet table (``<folder>/<name>.parquet``) as it is appended to."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).format("parquet")
-            .option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", max_files)
-            .load(folder))
+def file_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
+    """Stream one Parquet table (``<folder>/<name>.parquet``) as it is appended to.
+
+    A table written by Spark is a folder: every file in it, and every file
+    added later, is streamed.  A table of one file is found by its name.
+    ``max_files`` bounds the files of one batch; the default takes all that are
+    there, because a backlog's files need not be in event-time order and a
+    watermark moved by one of them would drop rows of the next.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).format("parquet")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(hadoop).isDirectory():
+        return reader.load(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").load(folder)
 
 
 def with_event_time(df: DataFrame, col: str = "timestamp") -> DataFrame:
@@ -92,9 +104,12 @@ def scoring_batch_writer(scored_path: str, log_path: str):
         try:
             (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(scored_path))
-            logs = call_log_rows(batch.withColumn("response_time_ms", F.lit(0.0)))
+            # a stream without measured latencies logs none: averages skip NULL, not 0
+            timed = batch if "response_time_ms" in batch.columns else \
+                batch.withColumn("response_time_ms", F.lit(None).cast("double"))
+            logs = call_log_rows(timed).withColumn("day", F.to_date("timestamp"))
             (logs.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(log_path))
+             .option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(log_path))
         finally:
             batch.unpersist()
     return write
