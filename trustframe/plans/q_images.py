@@ -133,11 +133,25 @@ def accounts_with_image_risk(spark, sf_dir):
             .select("id", "image_risk_score", "image_risk_level"))
 
 
-@query("face_box_lists")
+@_img("face_box_lists")("""SELECT image_id, string_agg(concat_ws(':', det_id, x1, y1, x2, y2), ' '
+    ORDER BY score DESC, det_id) AS boxes FROM boxes GROUP BY image_id""")
 def face_box_lists(spark, sf_dir):
-    return I.box_lists(_boxes(spark, sf_dir))
+    """Strongest box first; each box shown as id and corners."""
+    shown = F.transform("boxes", lambda b: F.concat_ws(":", *[
+        b[c].cast("string") for c in ("det_id", "x1", "y1", "x2", "y2")]))
+    return I.box_lists(_boxes(spark, sf_dir)).select("image_id", F.array_join(shown, " ").alias("boxes"))
 
 
-@query("image_signal_struct")
+_SIGNALS = {"face_area_ratio": 4, "laplacian_variance": 2, "blur_risk": 3, "compression_proxy": 3,
+            "compression_risk": 3, "edge_density": 4, "edge_risk": 3, "color_variance_norm": 3,
+            "color_risk": 3, "resolution_risk": 3, "multi_face_risk": 3, "no_face_risk": 3}
+
+
+@_img("image_signal_struct")("SELECT image_id, ROUND(score, 3) AS profile_image_risk_score, risk_level, "
+                             "num_faces > 0 AS face_detected, num_faces, width, height, min_side, "
+                             + ", ".join(f"ROUND({c}, {n}) AS {c}" for c, n in _SIGNALS.items()) + " FROM lvl")
 def image_signal_struct(spark, sf_dir):
-    return I.signal_struct(_risk(spark, sf_dir))
+    """The nested report record, flattened for the comparison."""
+    r = I.signal_struct(_risk(spark, sf_dir))
+    return r.select("image_id", "profile_image_risk_score", "risk_level", "signals.face_detected",
+                    "signals.num_faces", "signals.resolution.*", *[f"signals.{c}" for c in _SIGNALS])

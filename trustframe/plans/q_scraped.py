@@ -140,13 +140,41 @@ def impute_tweets(spark, sf_dir):
                     X.listed_estimate(f).alias("listed_count"))
 
 
-@query("format_count")
+_FOLLOWERS = first_pos_sql([pc_sql(f"followers_texts[{i}]") for i in (1, 2, 3)])
+_FOLLOWING = first_pos_sql([pc_sql(f"following_texts[{i}]") for i in (1, 2)])
+
+
+def _tenths(x: str) -> str:
+    return f"printf('%.1f', FLOOR({x} * 10e0 + 0.5e0) / 10e0)"
+
+
+@_q("format_count", ["scraped_profiles"], f"""SELECT id, f AS followers_count,
+  CASE WHEN f >= 1000000 THEN {_tenths('f / 1000000e0')} || 'M' WHEN f >= 1000 THEN {_tenths('f / 1000e0')} || 'K'
+       ELSE CAST(f AS VARCHAR) END AS followers_display
+FROM (SELECT id, {_FOLLOWERS} AS f FROM scraped_profiles) x""")
 def format_count(spark, sf_dir):
     s = _sp(spark, sf_dir)
     f = X.first_positive_count("followers_texts")
     return s.select("id", f.alias("followers_count"), X.format_count(f).alias("followers_display"))
 
 
-@query("scraped_accounts")
+@_q("scraped_accounts", ["scraped_profiles"], _JOIN_SQL + f"""
+, c AS (SELECT *, {_FOLLOWERS} AS f, {_FOLLOWING} AS g, {_post_sql()} AS posts,
+    regexp_replace(avatar_url, '_(normal|bigger|mini)\\.', '_400x400.') AS avatar FROM scraped_profiles)
+SELECT c.id, CAST(f AS DOUBLE) AS followers_count, CAST(g AS DOUBLE) AS following_count,
+  CAST(CASE WHEN posts > 0 THEN posts WHEN f > 10000 THEN 50000 WHEN f > 1000 THEN 5000
+       WHEN f > 100 THEN 500 ELSE 50 END AS DOUBLE) AS tweet_count,
+  CAST(FLOOR(f / 100e0 + 0.5) AS DOUBLE) AS listed_count, 0e0 AS favourites_count,
+  CAST(age AS DOUBLE) AS account_age_days,
+  CASE WHEN COALESCE(contains(avatar, 'pbs.twimg.com'), false) THEN 1 ELSE 0 END AS has_profile_image,
+  CASE WHEN banner IS NULL THEN 1 ELSE 0 END AS default_profile,
+  CASE WHEN length(regexp_replace(COALESCE(bio, ''), '^\\s+|\\s+$', '', 'g')) > 0 THEN 1 ELSE 0 END AS has_description,
+  CASE WHEN badge IS NOT NULL THEN 1 ELSE 0 END AS verified,
+  CASE WHEN location IS NOT NULL THEN 1 ELSE 0 END AS has_location,
+  CASE WHEN url IS NOT NULL THEN 1 ELSE 0 END AS has_url,
+  CASE WHEN NOT valid THEN '' WHEN age // 365 > 0
+       THEN concat(word, ' ', yr, ' (', CAST(age // 365 AS VARCHAR), 'yr', CASE WHEN age // 365 > 1 THEN 's' ELSE '' END, ')')
+       ELSE concat(word, ' ', yr) END AS join_display
+FROM c JOIN j4 ON j4.id = c.id""".replace("\\\\", "\\"))
 def scraped_accounts(spark, sf_dir):
     return X.assemble(_sp(spark, sf_dir), AS_OF)
