@@ -167,14 +167,14 @@ def recent_calls_report(recent: DataFrame) -> DataFrame:
         return F.when(F.col(c).isNotNull(), F.format_string(form, value)).otherwise("—")
 
     def pct(c):
-        return shown(c, "%.1f%%", F.col(c) * 100)
+        return shown(c, "%.1f%%", F.bround(F.col(c) * 100, 1))     # halves go to the even digit
     return recent.select(
         F.date_format(TS, "yyyy-MM-dd HH:mm:ss").alias("Time (UTC)"),
         F.col("endpoint").alias("Endpoint"),
         pct("bot_probability").alias("Bot Prob"),
         pct("image_risk_score").alias("Image Risk"),
         F.col("risk_level").alias("Risk Level"),
-        shown("response_time_ms", "%.0f ms", F.col("response_time_ms")).alias("Response Time"),
+        shown("response_time_ms", "%.0f ms", F.bround("response_time_ms", 0)).alias("Response Time"),
         F.when(F.coalesce(F.col("error"), F.lit(0)) != 0, "Yes").otherwise("No").alias("Error"),
     )
 
