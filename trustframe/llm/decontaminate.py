@@ -23,6 +23,7 @@ not listed.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .common import bounded_batches, rows_where, utf8, written
 
 WINDOW = 10
 SHARD_WORDS = 1 << 21
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _CHUNK = 1 << 21
 
 _WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32
@@ -104,28 +105,32 @@ class Block:
     """The test suffixes of one block of items."""
 
     def __init__(self, items: list[tuple], window: int):
-        texts = [(i, words((t or "").encode())) for i, t in items]
-        texts = [(i, w) for i, w in texts if w]
         names: dict[bytes, int] = {}
-        flat, self.items, self.item_at, starts = [], [], [], {}
-        for item, w in texts:
-            ids = [names.setdefault(x, len(names) + 1) for x in w]
-            m = min(window, len(ids))
-            for s in range(len(ids) - m + 1):
-                starts.setdefault(tuple(ids[s:s + m]), set()).add(len(self.items))
-            self.items.append(item)
-            self.item_at.append(len(flat))
-            flat += [*ids, 0]
-        self.names = names
-        self.depth = max((len(w) for _, w in texts), default=0)
-        self.a = np.array([*flat, *[0] * (self.depth + 1)], dtype=np.int32)
-        self.sa = suffix_array(self.a[:max(len(flat), 1)], self.depth)
+        texts = [(i, [names.setdefault(w, len(names) + 1) for w in words((t or "").encode())])
+                 for i, t in items]
+        texts = [(i, w) for i, w in texts if w]
+        self.names, self.items = names, [i for i, _ in texts]
+        lengths = np.array([len(w) for _, w in texts], dtype=np.int64)
+        self.depth = int(lengths.max(initial=0))
+        # items one after the other with a zero after each; zeros to read past the end
+        self.item_start = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1].astype(np.int64)
+        self.a = np.zeros(int((lengths + 1).sum()) + self.depth + 1, np.int32)
+        for (_, w), s in zip(texts, self.item_start):
+            self.a[s:s + len(w)] = w
+        self.sa = suffix_array(self.a[:max(1, len(self.a) - self.depth - 1)], self.depth)
         self.by_size = {}
-        for m in {len(k) for k in starts}:
-            same = [k for k in starts if len(k) == m]
-            self.by_size[m] = (np.array(same, dtype=np.int32), [starts[k] for k in same])
+        size = np.minimum(lengths, window)
+        for m in np.unique(size).tolist():
+            which = np.flatnonzero(size == m)
+            count = lengths[which] - m + 1
+            item = np.repeat(which, count)
+            at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            at += self.item_start[item]
+            q, kind = np.unique(self.a[at[:, None] + np.arange(m)], axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((kind.ravel(), item)), axis=1)
+            cuts = np.searchsorted(pairs[0], np.arange(len(q) + 1))
+            self.by_size[m] = (q, pairs[1], cuts)      # items of window k: pairs[1][cuts[k]:cuts[k + 1]]
         self.shortest = min(self.by_size, default=window)
-        self.item_start = np.array(self.item_at, dtype=np.int64)
 
     def numbers(self, text: list[bytes]) -> np.ndarray:
         get = self.names.get
@@ -149,7 +154,7 @@ class Block:
             a = np.concatenate((full[orig], np.zeros(self.depth + 1, np.int32)))
             sa = suffix_array(a[:len(orig)], self.depth)
             at_window = np.zeros(len(orig), bool)
-            for m, (q, of_items) in self.by_size.items():
+            for m, (q, items, cuts) in self.by_size.items():
                 lo, hi = bound(a, sa, q, False), bound(a, sa, q, True)
                 for k in np.flatnonzero(hi > lo):
                     places = sa[lo[k]:hi[k]]
@@ -157,17 +162,17 @@ class Block:
                     np.add.at(hit, orig[places], 1)
                     np.add.at(hit, orig[places] + m, -1)
                     doc = np.unique(np.searchsorted(first, orig[places], "right") - 1)
-                    for item in of_items[k]:
+                    for item in items[cuts[k]:cuts[k + 1]]:
                         found_doc.append(doc)
                         found_item.append(np.full(len(doc), item))
             best = self._longest(a, orig, np.flatnonzero(at_window), first)
         mask = np.cumsum(hit)[:-1] > 0
-        items: dict[int, set] = {}
+        named: dict[int, set] = {}
         for d, i in zip(found_doc, found_item):
             for x, y in zip(d.tolist(), i.tolist()):
-                items.setdefault(x, set()).add(y)
+                named.setdefault(x, set()).add(y)
         for k, s in enumerate(first[:-1]):
-            yield (mask[s:s + lengths[k]], {self.items[i] for i in items.get(k, ())}, best.get(k))
+            yield (mask[s:s + lengths[k]], {self.items[i] for i in named.get(k, ())}, best.get(k))
 
     def _longest(self, a, orig, places, first) -> dict[int, tuple]:
         """Longest verbatim match per document, from the search of hit places in the test suffixes."""
@@ -198,6 +203,17 @@ class Block:
         return best
 
 
+_LAST: dict[str, Block] = {}
+
+
+def _block(key: str, items: list[tuple], window: int) -> Block:
+    """The block of this pass; a worker keeps the last one it built for its next tasks."""
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Block(items, window)
+    return _LAST[key]
+
+
 RESULT = [
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
     T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()),
@@ -246,10 +262,10 @@ def _one_pass(df, kept, items, window, last) -> DataFrame:
     schema = T.StructType([*kept, *fields])
     types = [f.type for f in to_arrow_schema(T.StructType(fields))]
     names = [f.name for f in schema.fields]
-    sent = df.sparkSession.sparkContext.broadcast(items)
+    sent, key = df.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches):
-        block, held, n = Block(sent.value, window), [], 0
+        block, held, n = _block(key, sent.value, window), [], 0
         for batch in batches:
             texts = utf8(batch.column("__text"))
             at = 0
