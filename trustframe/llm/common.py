@@ -15,8 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from trustframe.session import checkpoint_dir
 
 # bytes of one Arrow batch sent to a Python worker; bounds its memory when texts are long
-ARROW_BATCH_BYTES = 16 << 20
-ARROW_BATCH_ROWS = 4000
+ARROW_BATCH_BYTES = 2 << 20
+ARROW_BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

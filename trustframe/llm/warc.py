@@ -38,7 +38,8 @@ from .common import bounded_batches, salted_lookup
 REVISIT_BYTES = 1000
 SEGMENT_BYTES = 1 << 15
 CHUNK_BYTES = 1 << 12
-FILE_RECORDS = 1000
+FILE_RECORDS = 500
+BATCH_BYTES = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -140,10 +141,16 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"record": pa.array(
-                [r for row in zip(*(b.column(c).to_pylist() for c in (
-                    "page_id", "url", "payload", "digest", "target")))
-                 for r in records(*row, segment)], pa.binary())})
+            out, size = [], 0
+            for row in zip(*(b.column(c) for c in ("page_id", "url", "payload", "digest", "target"))):
+                for r in records(*(x.as_py() for x in row), segment):
+                    out.append(r)
+                    size += len(r)
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
     (marked.select("page_id", "url", "payload", "digest", "target")
            .mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
@@ -165,10 +172,10 @@ def _parsed(spark: SparkSession, path: str, segments: bool, payloads: bool) -> D
     """Whole records (decoded), or only the segments (``payload`` is the block part)."""
     def run(batches):
         for b in batches:
-            for content in b.column("content").to_pylist():
-                out = []
+            for content in b.column("content"):
+                out, size = [], 0
                 for head, block in parse(io.BufferedReader(gzip.GzipFile(
-                        fileobj=io.BytesIO(content)))):
+                        fileobj=io.BytesIO(content.as_py())))):
                     number = head.get("warc-segment-number")
                     if (number is not None) != segments:
                         continue
@@ -188,9 +195,10 @@ def _parsed(spark: SparkSession, path: str, segments: bool, payloads: bool) -> D
                             row[8], row[9] = hashlib.sha1(got).hexdigest(), len(got)
                             row[10] = got if payloads else None
                     out.append(row)
-                    if len(out) >= 500:
+                    size += len(row[10] or b"") + 300
+                    if size >= BATCH_BYTES:
                         yield _batch(out)
-                        out = []
+                        out, size = [], 0
                 if out:
                     yield _batch(out)
 
@@ -219,7 +227,7 @@ def _reassembled(segments: DataFrame, payloads: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for r in b.to_pylist():
+            for r in b.to_pylist():          # a batch is bounded in bytes, one page's parts at least
                 block = b"".join(p["part"] for p in r["parts"])
                 ok = len(r["parts"]) == r["last"] and len(block) == r["total"]
                 got = payload_of(block) if ok else None
