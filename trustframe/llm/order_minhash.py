@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-K = 3
+K = 2
 LANES = 64
 INDEX_BITS = 28
 RANGE_ROWS = 4096
