@@ -107,7 +107,8 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "com
 @_query
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
-    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), RULES, ["page_id"])
+    found = urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), RULES, ["page_id"])
+    return found.withColumns({c: F.array_join(c, ",") for c in ("strict_terms", "soft_terms")})
 
 
 def _found_sql(terms) -> str:
@@ -141,5 +142,5 @@ SELECT page_id, host, path, rule,
             WHEN rule IS NOT NULL THEN 'block'
             WHEN len(strict_terms) > 0 OR len(soft_terms) >= {urls.SOFT_HITS} THEN 'block'
             ELSE 'allow' END AS verdict,
-       strict_terms, soft_terms
+       array_to_string(strict_terms, ',') AS strict_terms, array_to_string(soft_terms, ',') AS soft_terms
 FROM c"""
