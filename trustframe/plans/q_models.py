@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sampling as S
 from ..operators.validation import validate_text
+from ..session import materialize
 from ..sources import testdata as td
 from . import training as T
 from .oracle_fixtures import with_fixtures
@@ -22,11 +23,7 @@ from .registry import query, r6
 from .text_model import classify, clean_text, train_text
 
 
-def _split(spark, sf_dir):
-    return S.stratified_split(T.training_frame(td.accounts(spark, sf_dir)))
-
-
-# fitted models by (application, table folder, kind): several queries report on the same fit
+# training tables and fitted models by (application, table folder, kind): several queries report on the same fit
 _FITTED: dict = {}
 
 
@@ -37,6 +34,15 @@ def _fitted(spark, sf_dir, kind, fit):
     return _FITTED[key]
 
 
+def _frame(spark, sf_dir):
+    """The training table, written once: every trainer reads it many times."""
+    return _fitted(spark, sf_dir, "frame", lambda: materialize(T.training_frame(td.accounts(spark, sf_dir))))
+
+
+def _split(spark, sf_dir):
+    return S.stratified_split(_frame(spark, sf_dir))
+
+
 def _sigmoid(spark, sf_dir, train):
     return _fitted(spark, sf_dir, "sigmoid", lambda: T.calibrated_forest(train, "sigmoid"))
 
@@ -130,7 +136,7 @@ def run_summary(spark, sf_dir):
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     from .importance import permutation_importance as pi
-    data = T.training_frame(td.accounts(spark, sf_dir))
+    data = _frame(spark, sf_dir)
     pipe, _ = T._forest_pipeline(T.TUNED_TREES)
     model = pipe.fit(T.packed(T.weighted(data)))
     return pi(model, S.equal_sample(data))

@@ -30,7 +30,7 @@ from ..schemas import FEATURES
 
 SEED = 42
 # rows per partition of a training table: small tables train in one task without a shuffle per level
-FIT_ROWS_PER_PARTITION = 20_000
+FIT_ROWS_PER_PARTITION = 2_000
 # ---- fixed values: estimator settings of the reference trainers -------------
 BASELINE_NUM = ("followers_count", "following_count", "tweet_count", "listed_count",
                 "account_age_days", "followers_following_ratio", "tweets_per_day")
