@@ -167,7 +167,7 @@ def _newest_sql(col):
   (SELECT string_agg(strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || ' ' || endpoint || ' ' || COALESCE(risk_level, '-')
           || ' ' || error, ',' ORDER BY id DESC)
    FROM (SELECT * FROM api_calls ORDER BY id DESC LIMIT 25) c) AS recent_calls,
-  (SELECT string_agg(hour || ':' || printf('%.2f', avg_ms), ',' ORDER BY hour) FROM ({_RT_TREND_SQL}) t) AS rt_trend""")
+  (SELECT string_agg(hour || ':' || printf('%.6f', avg_ms), ',' ORDER BY hour) FROM ({_RT_TREND_SQL}) t) AS rt_trend""")
 def stats_report(spark, sf_dir):
     """The 13 parts of the record; maps and lists of rows are shown as text."""
     r = C.stats_report(_calls(spark, sf_dir), _pings(spark, sf_dir), AS_OF, AS_OF_30, digits=(6, 6))
@@ -187,7 +187,7 @@ def stats_report(spark, sf_dir):
         text("recent_calls", lambda e: F.concat_ws(
             " ", F.date_format(e["timestamp"], "yyyy-MM-dd'T'HH:mm:ss"), e["endpoint"],
             F.coalesce(e["risk_level"], F.lit("-")), e["error"].cast("string"))),
-        text("rt_trend", lambda e: F.concat_ws(":", e["hour"], F.format_string("%.2f", e["avg_ms"]))))
+        text("rt_trend", lambda e: F.concat_ws(":", e["hour"], F.format_string("%.6f", e["avg_ms"]))))
 
 
 @_q("ping_activity", ["extension_pings"], """SELECT COUNT(*) AS total_pings,
