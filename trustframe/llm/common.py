@@ -24,8 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where they see its folder.
+
+    Workers inherit the driver's working folder and PYTHONPATH, not its
+    ``sys.path``.  On a cluster without the folder, submit it with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Limit Arrow batches by rows and by bytes (texts may be very long)."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
