@@ -177,7 +177,9 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every valid span of ``text`` replaced by its kind in brackets.
 
     Kinds follow each other, the enclosing ones first, each on the text that
-    the one before left.  A null text stays null.
+    the one before left.  A masked address can leave digits that were too many
+    before and are a phone or card number now, so these two are masked again.
+    A null text stays null.
     """
     def mask(kind: str, value: Column) -> Column:
         def of(found: Column) -> Column:
@@ -191,6 +193,6 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
         return let(_found(kind, value), of)
 
     value = F.col(text)
-    for kind in ("email", "phone", "iban", "card", "ip"):
+    for kind in ("email", "phone", "iban", "card", "ip", "phone", "card"):
         value = let(value, partial(mask, kind))
     return docs.withColumn(text, F.when(F.col(text).isNotNull(), value))
