@@ -77,6 +77,17 @@ def test_html(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<head><title>t</title><body>a", "a"), ("<html><head><meta charset=x><p>a<p>b", "a\n\nb"),
+    ("<head><title>t</title>\n a <b>c</b>", "a c"), ("<head><link href=x></title><script>no</script>a", "a"),
+    ("<head><noscript><link href=x></noscript><style>no</style></head>a", "a"),
+    ("<head><template>no<p>no</template><title>no</title><div>a</div>", "a"),
+    ("<head><head><html><title>no</title><h1>a</h1></head>b", "a\n\nb"), ("<head>&nbsp;a", " a"),
+])
+def test_html_head_without_end_tag(source, text):
+    assert html_text.render(source) == text
+
+
 def test_html_table(spark, sf_dir):
     got = QUERIES["op2_html_text"](spark, sf_dir)
     assert got.count() == len(table(spark, sf_dir, "pages"))

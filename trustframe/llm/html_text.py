@@ -2,8 +2,8 @@
 
 A tokenizer cuts the source into tags, text and raw parts; the tree builder
 keeps the open elements, adds the tags the source implies (a block ends an open
-paragraph, an item the item before it, a cell the cell before it, ...) and
-ignores stray end tags; the renderer turns the balanced events into text:
+paragraph, an item the item before it, a cell the cell before it, page content
+an open head, ...) and ignores stray end tags; the renderer turns the balanced events into text:
 
 * invisible elements (``INVISIBLE``, ``hidden``, ``display:none``,
   ``visibility:hidden``, closed ``dialog`` and ``details``) emit nothing;
@@ -37,6 +37,9 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr
 BLOCK = SPACED | frozenset("html body div section article aside nav header footer main address "
                            "li dt dd form details summary dialog legend figcaption caption "
                            "center option optgroup search hgroup menu tr".split())
+# start tags that leave an open head open
+HEAD = frozenset("html head title meta link base basefont bgsound style script noscript noframes "
+                 "template".split())
 # an opening tag ends these open elements, up to the nearest of the second set
 _CELLS, _ROWS = frozenset(("td", "th")), frozenset(("tr",))
 _PARTS = frozenset(("thead", "tbody", "tfoot"))
@@ -103,13 +106,18 @@ def events(source: str):
         m = _TOKEN.search(source, at)
         text = source[at:m.start() if m else len(source)]
         if text:
-            yield "text", html.unescape(text), None
+            text = html.unescape(text)
+            if text.strip(" \t\n\r\f"):
+                yield from _past_head(is_open)
+            yield "text", text, None
         if m is None:
             break
         at = m.end() if m.end() > at else at + 1
         tag = (m.group(2) or "").lower()
         if not tag:
             continue
+        if tag == "br" or not m.group(1) and tag not in HEAD:
+            yield from _past_head(is_open)
         if m.group(1):
             yield from _ended(tag, is_open)
             continue
@@ -131,6 +139,12 @@ def events(source: str):
     yield from is_open.cut(0)
 
 
+def _past_head(is_open: _Open):
+    """Ends an open head; what stands in a template belongs to the template."""
+    if is_open.count.get("head") and not is_open.count.get("template"):
+        yield from is_open.cut(is_open.stack.index("head"))
+
+
 def _ended(tag: str, is_open: _Open):
     """An end tag: closes its element unless a cell or table stands between."""
     if not is_open.count.get(tag):
