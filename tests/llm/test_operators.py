@@ -88,6 +88,18 @@ def test_html_head_without_end_tag(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ('<a href="x"">a</a> b "c" <b>d</b>', 'a b "c" d'), ("<a title=don't>a</a> it's <b>b</b>", "a it's b"),
+    ("<p class=it's>a<p>b", "a\n\nb"), ("<p 'x>a", "a"), ('<b title="a>b">c</b>', "c"),
+    ("<b title = 'a>b'x>c</b>", "c"), ('<b a=x"y>z"</b>', 'z"'), ("<b a=>c</b>", "c"), ('<b ="x>c</b>', "c"),
+    ("</b class='>'>a", "a"), ("<p style=display:none>no</p>a", "a"), ('<b a="x>no', ""),
+    ("<p x='1'hidden>no</p>a", "a"), ("<p title=\"it's\" hidden/>no</p>a", "a"),
+    ("<b " + "a='" * 200_000 + ">x", "x"), ("<b " + "a = b/ \"" * 100_000 + ">x", "x"),
+])
+def test_html_quotes_in_tags(source, text):
+    assert html_text.render(source) == text
+
+
 def test_html_table(spark, sf_dir):
     got = QUERIES["op2_html_text"](spark, sf_dir)
     assert got.count() == len(table(spark, sf_dir, "pages"))

@@ -56,9 +56,14 @@ IMPLIED = {
 }
 # ---------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
-                    r"((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
+# a quote opens a value only directly after "="; any other is an ordinary character
+_S = r"[ \t\n\r\f]"
+_NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*"
+_BARE = r"[^ \t\n\r\f>\"'][^ \t\n\r\f>]*"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^ \t\n\r\f/>]*)"
+                    rf"((?:{_S}|/|{_NAME}(?:{_S}*={_S}*"
+                    rf"(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|{_BARE})?)?)*)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_S}*={_S}*(?:\"([^\"]*)\"?|'([^']*)'?|({_BARE}))?)?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
 GAP = 2
