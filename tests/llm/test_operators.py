@@ -100,6 +100,40 @@ def test_html_quotes_in_tags(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("a <svg width=1/>b</svg> c", "a b c"), ("<div>a <svg/>b <math/>c</div>d", "a b c\nd"),
+    ("<svg><title>no<b>x</b></title><desc>no</desc><defs><text>no</text></defs><style>no</style>"
+     "<script>no</script><text>A</text><text>B</text></svg>", "A B"),
+    ("<svg><title/><style/><g/><text x='1'>A<tspan/>B</text></svg>c", "AB c"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"),
+    ("<math><semantics><mi>x</mi><annotation encoding=t>no</annotation></semantics></math> y", "x y"),
+    ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math>", "1 2"),
+    ("<svg><defs><p>a</p>b", "a\n\nb"), ("<svg><text><![CDATA[a < b]]></text></svg>c", "a < b c"),
+    ("<svg><foreignObject><p>a<p>b</foreignObject></svg>", "a\n\nb"),
+    ("<svg hidden><text>no</text></svg>a<svg display=none><text>no</text></svg>", "a"),
+    ("<head><svg><text>a</text></svg>", "a"), ("<div/>a<p/>b", "a\n\nb"),
+    ("<svg>" * 20000 + "x", "x"), ("<svg><p>" * 20000 + "x", "x"),
+])
+def test_html_svg_and_math(source, text):
+    assert html_text.render(source) == text
+
+
+@pytest.mark.parametrize("rows, text", [
+    ("<tr><td rowspan=2>a<td>b<tr><td>c", "a  b\n   c"),
+    ("<tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f<td>g<tr><td>h<td>i<td>j",
+     "a  b  c\nd     e\nf     g\nh  i  j"),
+    ("<tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d", "ab  c\n    d"),
+    ("<tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d", "a  b\n   c\n   d"),
+    ("<thead><tr><th rowspan=5>a<th>b<tbody><tr><td>c<td>d", "a  b\nc  d"),
+    ("<tbody><tr><td rowspan=9>a<td>b</tbody><tr><td>c<td>d", "a  b\nc  d"),
+    ("<tr><td rowspan=2>a<br>b<td>c<tr><td>d", "a  c\nb\n   d"),
+    ("<tr><td rowspan=x>a<td>b<tr><td>c<td>d", "a  b\nc  d"),
+    ("<tr><td>a<td rowspan=2>b<tr><td colspan=2>long", "a  b\nlong"),
+])
+def test_html_rowspan(rows, text):
+    assert html_text.render(f"<table>{rows}</table>") == text
+
+
 def test_html_table(spark, sf_dir):
     got = QUERIES["op2_html_text"](spark, sf_dir)
     assert got.count() == len(table(spark, sf_dir, "pages"))

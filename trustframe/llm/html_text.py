@@ -12,7 +12,10 @@ an open head, ...) and ignores stray end tags; the renderer turns the balanced e
   stand between blank lines;
 * list items get ``*`` or their number and are indented under their list;
 * table cells are padded to the width of their column, ``colspan`` covers
-  several; a cell of several lines makes a row of several lines.
+  several; a cell of several lines makes a row of several lines; a cell with
+  ``rowspan`` keeps its columns free in the rows below, up to its row group's end;
+* text of svg and math is shown, except what browsers never draw
+  (``UNDRAWN``); labels of a drawing and cells of a formula are kept apart.
 
 Nothing recurses, so nesting may be of any depth.  Null and empty pages give
 an empty text.  Unclosed comments, tags and raw elements end with the page.
@@ -21,7 +24,9 @@ an empty text.  Unclosed comments, tags and raw elements end with the page.
 from __future__ import annotations
 
 import html
+import math
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,7 +35,7 @@ from .common import append_columns
 
 # ---- fixed values: element classes of HTML --------------------------------
 INVISIBLE = frozenset("head script style template title meta link base noframes iframe object "
-                      "audio video canvas svg math datalist area param source track".split())
+                      "audio video canvas datalist area param source track".split())
 RAW = frozenset("script style title textarea xmp iframe noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
@@ -40,6 +45,16 @@ BLOCK = SPACED | frozenset("html body div section article aside nav header foote
 # start tags that leave an open head open
 HEAD = frozenset("html head title meta link base basefont bgsound style script noscript noframes "
                  "template".split())
+# svg and math: elements that are not drawn, that hold HTML, that stand apart
+UNDRAWN = frozenset("title desc metadata style script defs symbol clippath mask marker pattern "
+                    "filter lineargradient radialgradient annotation annotation-xml".split())
+HOLDS_HTML = {"svg": frozenset(("foreignobject", "desc", "title")),
+              "math": frozenset(("mi", "mo", "mn", "ms", "mtext"))}
+APART = frozenset((("svg", "text"), ("math", "mtd")))
+# HTML start tags that end open svg and math elements
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 "
+                     "head hr i img li listing menu meta nobr ol p pre ruby s small span strong "
+                     "strike sub sup table tt u ul var".split())
 # an opening tag ends these open elements, up to the nearest of the second set
 _CELLS, _ROWS = frozenset(("td", "th")), frozenset(("tr",))
 _PARTS = frozenset(("thead", "tbody", "tfoot"))
@@ -77,18 +92,27 @@ class _Open:
 
     def __init__(self):
         self.stack: list[str] = []
+        self.kinds: list[tuple[str, str]] = []   # svg, math or "": each element's, its children's
         self.count: dict[str, int] = {}
 
-    def push(self, tag: str):
+    def inside(self) -> str:
+        """svg or math where a start tag would be one of its elements, else ""."""
+        return self.kinds[-1][1] if self.kinds else ""
+
+    def push(self, tag: str, kind: str = "", holds: str = ""):
         self.stack.append(tag)
+        self.kinds.append((kind, holds))
         self.count[tag] = self.count.get(tag, 0) + 1
         return tag
 
     def cut(self, depth: int):
         while len(self.stack) > depth:
             tag = self.stack.pop()
+            kind, _ = self.kinds.pop()
             self.count[tag] -= 1
             yield "end", tag, None
+            if (kind, tag) in APART:
+                yield "text", " ", None
 
     def any(self, tags) -> bool:
         return any(self.count.get(t) for t in tags)
@@ -118,6 +142,11 @@ def events(source: str):
         if m is None:
             break
         at = m.end() if m.end() > at else at + 1
+        if is_open.inside() and source.startswith("<![CDATA[", m.start()):
+            stop = source.find("]]>", m.start() + 9)
+            yield "text", source[m.start() + 9:stop if stop >= 0 else len(source)], None
+            at = stop + 3 if stop >= 0 else len(source) + 1
+            continue
         tag = (m.group(2) or "").lower()
         if not tag:
             continue
@@ -126,11 +155,28 @@ def events(source: str):
         if m.group(1):
             yield from _ended(tag, is_open)
             continue
-        yield from _implied(tag, is_open)
+        if is_open.inside() and tag in BREAKOUT:
+            yield from is_open.cut(next(d for d in range(len(is_open.stack), -1, -1)
+                                        if not d or not is_open.kinds[d - 1][1]))
+        kind = tag if tag in HOLDS_HTML else is_open.inside()
+        if not kind:
+            yield from _implied(tag, is_open)
         attributes = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in
                       _ATTRIBUTE.findall(m.group(3))} if m.group(3).strip(" \t\r\n/") else {}
+        if kind and (tag in UNDRAWN or attributes.get("display") == "none"
+                     or attributes.get("visibility") in ("hidden", "collapse")):
+            attributes["hidden"] = ""
+        if (kind, tag) in APART:
+            yield "text", " ", None
         yield "start", tag, attributes
-        if tag in VOID:
+        if kind:
+            if _self_closed(m.group(3)):
+                yield "end", tag, None
+            else:
+                html_inside = tag in HOLDS_HTML[kind] or tag == "annotation-xml" and (
+                    attributes.get("encoding", "").lower() in ("text/html", "application/xhtml+xml"))
+                is_open.push(tag, kind, "" if html_inside else kind)
+        elif tag in VOID:
             yield "end", tag, None
         elif tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -144,6 +190,16 @@ def events(source: str):
     yield from is_open.cut(0)
 
 
+def _self_closed(inner: str) -> bool:
+    """Whether the inner part of a tag ends with a slash that no attribute value holds."""
+    if not inner.endswith("/"):
+        return False
+    end = 0
+    for m in _ATTRIBUTE.finditer(inner):
+        end = m.end()
+    return end < len(inner)
+
+
 def _past_head(is_open: _Open):
     """Ends an open head; what stands in a template belongs to the template."""
     if is_open.count.get("head") and not is_open.count.get("template"):
@@ -227,31 +283,51 @@ def _width(s: str) -> int:
     return len(s)
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines, colspan) cells as lines with aligned columns."""
-    width: list[int] = []
+def _placed(rows: list) -> list[list[tuple[int, list[str], int]]]:
+    """(column, lines, colspan) of each row's cells beside the cells that reach down to it.
+
+    ``None`` between rows ends a row group, which no cell leaves.
+    """
+    out, until = [], []              # row number at which each column is free again
     for row in rows:
-        c = 0
-        for lines, span in row:
+        if row is None:
+            until = []
+            continue
+        r, c, cells = len(out), 0, []
+        for lines, span, down in row:
+            while c < len(until) and until[c] > r:
+                c += 1
+            cells.append((c, lines, span))
+            if down != 1:
+                until += [0] * (c + span - len(until))
+                for k in range(c, c + span):
+                    until[k] = max(until[k], r + down if down else math.inf)
+            c += span
+        out.append(cells)
+    return out
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
+    """Rows of (lines, colspan, rowspan) cells as lines with aligned columns."""
+    placed = _placed(rows)
+    width: list[int] = []
+    for row in placed:
+        for c, lines, span in row:
             width += [0] * (c + span - len(width))
             if span == 1:
                 width[c] = max([width[c], *map(_width, lines)])
-            c += span
-    for row in rows:
-        c = 0
-        for lines, span in row:
+    for row in placed:
+        for c, lines, span in row:
             need = max([0, *map(_width, lines)]) - sum(width[c:c + span]) - GAP * (span - 1)
             if need > 0:
                 width[c + span - 1] += need
-            c += span
+    starts = [0, *accumulate(w + GAP for w in width)]
     out = []
-    for row in rows:
-        for k in range(max([0, *(len(lines) for lines, _ in row)])):
-            text, c, start = "", 0, 0
-            for lines, span in row:
-                text = text.ljust(start) + (lines[k] if k < len(lines) else "")
-                start += sum(width[c:c + span]) + GAP * span
-                c += span
+    for row in placed:
+        for k in range(max([0, *(len(lines) for _, lines, _ in row)])):
+            text = ""
+            for c, lines, _ in row:
+                text = text.ljust(starts[c]) + (lines[k] if k < len(lines) else "")
             out.append(text.rstrip())
     return out
 
@@ -292,11 +368,14 @@ def render(source: str) -> str:
                 tables.append([])
             elif what == "tr" and tables:
                 tables[-1].append([])
+            elif what in _PARTS and tables:
+                tables[-1].append(None)
             elif what in _CELLS and tables:
-                if not tables[-1]:
+                if not tables[-1] or tables[-1][-1] is None:
                     tables[-1].append([])
-                span = a.get("colspan", "1")
-                tables[-1][-1].append([None, min(max(int(span), 1), 100) if span.isdecimal() else 1])
+                span, down = a.get("colspan", "1"), a.get("rowspan", "1")
+                tables[-1][-1].append([None, min(max(int(span), 1), 100) if span.isdecimal() else 1,
+                                       min(int(down), 65534) if down.isdecimal() else 1])
                 flows.append(Page())
             elif what in BLOCK:
                 (page.gap if what in SPACED and not (what in ("ul", "ol") and lists)
@@ -326,7 +405,8 @@ def render(source: str) -> str:
         if tag in ("pre", "textarea"):
             kept -= 1
         if tag == "table" and tables:
-            rows = [[(lines or [], span) for lines, span in row] for row in tables.pop()]
+            rows = [row and [(lines or [], span, down) for lines, span, down in row]
+                    for row in tables.pop()]
             page.gap()
             for line in table_lines(rows):
                 page.line = line
@@ -335,6 +415,8 @@ def render(source: str) -> str:
         elif tag in _CELLS and depth and len(flows) > 1:
             flows.pop()
             tables[-1][-1][-1][0] = page.done()
+        elif tag in _PARTS and tables:
+            tables[-1].append(None)
         elif tag in BLOCK and tag != "tr":
             if tag in ("ul", "ol", "menu") and lists:
                 lists.pop()
