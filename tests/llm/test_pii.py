@@ -94,6 +94,31 @@ def test_iban_needs_mod_97_and_context_moves_the_score(spark):
     assert got[4]["card"]["score"] < 0.8 < got[5]["card"]["score"]
 
 
+def iban(code, bban):
+    n = int("".join(str(int(c, 36)) for c in bban + code + "00"))
+    s = f"{code}{98 - n % 97:02d}{bban}"
+    return " ".join(s[k:k + 4] for k in range(0, len(s), 4))
+
+
+def test_iban_before_upper_case_words_and_digits(spark):
+    be, at, de = iban("BE", "539007547034"), iban("AT", "1904300234573201"), iban("DE", "370400440532013000")
+    fr = iban("FR", "20041010050500013M02606")
+    cases = [(f"{be} BIC KREDBEBB", [be]), (f"pay {at} SWIFT ABCD", [at]), (f"{be} 1234 5678", [be]),
+             (be.replace(" ", "") + " BIC X", [be.replace(" ", "")]), (f"{be} {at} {de} 12", [be, at, de]),
+             (f"BE12 {de}", [de]), (f"x IT21 {at} AB12 {fr} Z", [at, fr]), (f"{be}X", []), (be[:-1], []),
+             (f"😀 {fr} é {be}", [fr, be]), (f"A{be}", []), (" ".join([be] * 3000), [be] * 3000)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r["doc_id"]: r["pii"] for r in pii.find(df).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(df).collect()}
+    for i, (t, want) in enumerate(cases):
+        assert [t[s["start"]:s["end"]] for s in found[i] if s["kind"] == "iban"] == want, t[:80]
+        for w in set(want):
+            t = t.replace(w, "[IBAN]")
+        if i != 6 and i != 2:
+            assert masked[i] == t
+        assert masked[i].count("[IBAN]") == len(want)
+
+
 def test_masked_leaves_no_span_and_clean_text_alone(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
     before = {r["doc_id"]: r["text"] for r in df.collect()}

@@ -10,6 +10,10 @@ possessive repeats, which never backtrack, and start a run only at its first
 character (a match that fails there fails from every later character of the
 run too), so a text of any length is read in linear time and stack.
 
+An IBAN is as long as its country's (``IBAN_LENGTHS``), whatever follows it.
+Its pattern matches the empty text before the number, so a proposal that fails
+mod-97 hides none that starts inside it, and every valid number is a span.
+
 Positions come from the pieces between matches: lengths are summed in blocks,
 so a text with very many matches costs no quadratic copying.  Null and empty
 texts have no spans.
@@ -30,8 +34,31 @@ EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+"
-        r"(?![A-Za-z0-9])")
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI BL CF CG CM DJ FR GA GF GP GQ GR IT KM MC MF MG MQ MR NC PF PM RE SM TD TF WF YT",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC NI", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Group 1, looked ahead at, is the number; codes of no list may have any length."""
+    forms = []
+    for n in sorted(IBAN_LENGTHS, reverse=True):
+        fours, rest = divmod(n - 4, 4)
+        forms.append(rf"(?:{IBAN_LENGTHS[n].replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}"
+                     + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "") + "(?![A-Za-z0-9])")
+    listed_codes = "|".join(sorted({c for v in IBAN_LENGTHS.values() for c in v.split()}))
+    forms.append(rf"(?!{listed_codes})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+"
+                 r"(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])")
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({'|'.join(forms)}))"
+
+
+IBAN = _iban_pattern()
+IBAN_REACH = 9         # a number has at most 42 characters, and two starts are 5 or more apart
 
 
 def let(value: Column, body) -> Column:
@@ -93,10 +120,25 @@ def _present(kind: str, text: Column) -> Column:
 def _found(kind: str, text: Column) -> Column:
     none = F.lit(None).cast("array<string>")
     return F.coalesce(F.when(_present(kind, text),
-                             F.regexp_extract_all(text, F.lit(KINDS[kind][0]), F.lit(0))), none,
+                             F.regexp_extract_all(text, F.lit(KINDS[kind][0]),
+                                                  F.lit(int(kind == "iban")))), none,
                       F.array().cast("array<string>"))
 
 
+def _pieces(kind: str, text: Column) -> Column:
+    """The text before, between and after the matches; an IBAN begins its piece."""
+    if kind != "iban":
+        return F.split(text, KINDS[kind][0], -1)
+    # without a character before it, an empty match at the start would cut nothing
+    led = F.split(F.concat(F.lit(" "), text), KINDS[kind][0], -1)
+    return F.transform(led, lambda p, i: F.when(i == 0, F.substr(p, F.lit(2))).otherwise(p))
+
+
+def _gaps(kind: str, found: Column, pieces: Column) -> Column:
+    return F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(
+        F.length(p).alias("skip"), (F.lit(0) if kind == "iban" else F.length(m)).alias("len")))
+
+
 def _starts(gaps: Column) -> Column:
     """Running sums before each element of array<struct<skip, len>>, plus its skip.
 
@@ -138,19 +180,21 @@ def spans_of(kind: str, text: Column) -> Column:
     rank = list(KINDS).index(kind)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
 
+    def after(m: Column, piece: Column) -> Column:
+        return F.substr(piece, F.length(m) + 1) if kind == "iban" else piece
+
     def spans(found: Column, pieces: Column) -> Column:
-        gaps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(
-            F.length(p).alias("skip"), F.length(m).alias("len")))
+        gaps = _gaps(kind, found, pieces)
         return let(let(gaps, _starts), lambda at: F.filter(F.transform(
             found, lambda m, i: F.when(_valid(kind, m), F.struct(
                 F.get(at, i).alias("start"), F.lit(rank).alias("rank"),
                 (F.get(at, i) + F.length(m)).alias("end"), F.lit(kind).alias("kind"),
-                _score(kind, F.get(pieces, i), F.get(pieces, i + 1)).alias("score")))),
+                _score(kind, F.get(pieces, i), after(m, F.get(pieces, i + 1))).alias("score")))),
             lambda s: s.isNotNull()))
 
     def of(found: Column) -> Column:
         some = F.exists(found, lambda m: _valid(kind, m))
-        return F.when(some, let(F.split(text, KINDS[kind][0], -1), lambda p: spans(found, p))
+        return F.when(some, let(_pieces(kind, text), lambda p: spans(found, p))
                       ).otherwise(none)
 
     return let(_found(kind, text), of)
@@ -181,8 +225,33 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     before and are a phone or card number now, so these two are masked again.
     A null text stays null.
     """
+    def ibans(found: Column, pieces: Column) -> Column:
+        """Numbers that overlap become one label."""
+        def ends(at: Column) -> Column:
+            return F.transform(found, lambda m, i: F.when(
+                _valid("iban", m), F.get(at, i) + F.length(m)).otherwise(0))
+
+        def cut(at: Column, end: Column) -> Column:
+            def part(p: Column, i: Column) -> Column:
+                before = F.coalesce(F.array_max(F.slice(
+                    end, F.greatest(i - IBAN_REACH, F.lit(1)), F.least(i - 1, F.lit(IBAN_REACH)))),
+                    F.lit(0))
+                start = F.get(at, i - 1)
+                reach = F.greatest(before, F.get(end, i - 1))
+                label = F.when((F.get(end, i - 1) > 0) & (before <= start), "[IBAN]").otherwise("")
+                return F.concat(label, F.substr(p, F.greatest(reach - start, F.lit(0)) + 1))
+
+            return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(
+                part(p, i))), "")
+
+        return let(let(_gaps("iban", found, pieces), _starts),
+                   lambda at: let(ends(at), lambda end: cut(at, end)))
+
     def mask(kind: str, value: Column) -> Column:
         def of(found: Column) -> Column:
+            if kind == "iban":
+                return F.when(F.exists(found, lambda m: _valid(kind, m)), let(
+                    _pieces(kind, value), lambda p: ibans(found, p))).otherwise(value)
             kept = F.transform(found, lambda m: F.when(
                 _valid(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m))
             joined = F.array_join(F.zip_with(
