@@ -309,6 +309,35 @@ def test_block_max_search_is_exact():
         assert [(round(float(c), 12), int(i)) for c, i in zip(got_c, got_i)] == want
 
 
+def test_toxicity_of_texts_without_common_toxic_terms(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choices(words, k=40)) for _ in range(900)]
+    texts[800:880] = [t + " scum filth" for t in texts[800:880]]
+    rare = [" ".join(f"{c}{rnd.randrange(30)}" for _ in range(30)) for c in ("ж", "я")]
+    texts[880:900] = [r + f" {k}" for r in rare for k in range(10)]
+    ids = list(range(900))
+    rnd.shuffle(ids)                    # the two rare groups are toxic in one language only
+    labels = spark.createDataFrame([(i, int(800 <= k < 890)) for k, i in enumerate(ids)],
+                                   "doc_id long, toxic int")
+    copies = [texts[k] for k in (880, 885, 890, 895, 10)]
+    docs = docs_of(spark, [*(t for _, t in sorted(zip(ids, texts))), *copies])
+    model = toxicity.fit(docs.where("doc_id < 900"), labels, F.lit(True))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert [got[900 + k]["predicted"] for k in range(5)] == [1, 1, 0, 0, 0]
+    assert len({got[i]["score"] for i in range(900)}) > 100 and all(r["evidence"] for r in got.values())
+
+
+def test_toxicity_sample_keeps_rare_toxic_rows(spark):
+    docs = docs_of(spark, [f"text {i} of {i % 7}" for i in range(2000)])
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    rows, there = toxicity._sample(docs, labels, "doc_id", "text", "toxic", F.lit(True), 100)
+    kept = [r["__y"] for r in rows.collect()]
+    assert (len(kept), sum(kept), there) == (100, 20, [1980, 20])
+    model = toxicity.fit(docs, labels, F.lit(True), max_rows=100)
+    assert model.share == 0.01 and model.index.labels.sum() >= 10
+
+
 def test_toxicity_edges(spark):
     texts = [f"good words {i}" for i in range(60)] + [f"scum {i}" for i in range(20)]
     docs = docs_of(spark, [*texts, None, "", "scum " * 50_000])

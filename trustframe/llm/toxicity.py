@@ -1,21 +1,20 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Fit (labels are read here only): a sample of at most ``max_fit_rows`` labelled
-rows, the smallest hashes of doc_id, with repeated texts counted once.  Terms
-are words and the first four characters of longer words.  The vectors hold the
-terms that are over-represented among toxic rows by a G-squared test whose
-bound 2 ln(terms tested) + ``MARGIN`` grows with the vocabulary; without this
-selection the cosine of long texts is that of their filler.  Terms are taken
-by falling statistic, and a toxic row that already holds ``COVER`` of them no
-longer counts for the next ones: words that only copies of one toxic text share
-are not taken for toxic themselves.  Weights are (1 + ln tf) * idf,
-length 1.  Three quarters of the sample are the examples of the index, one
-quarter calibrates.
-
-Search: the index keeps, per term, postings by example and the largest weight
-in each block of ``BLOCK`` examples.  Blocks are visited by falling upper bound
-until none can reach the k-th best cosine, so the k nearest are exact; equal
-cosines go to the smaller example number.  The vote weighs each neighbour's
+rows, the smallest hashes of doc_id; toxic rows may take half of it, or what the
+others leave, so rare ones are kept.  Repeated texts count once.  Terms are all
+words and the first four characters of longer words.  Weights are (1 + ln tf) *
+idf * strength, length 1.  The strength of a term grows with the G-squared
+statistic of its excess among toxic rows, up to 1 at the bound 2 ln(terms) +
+``MARGIN``, and is never below ``NEUTRAL``: the filler of long texts is weighed
+down, not left out, and a text without any toxic term still has neighbours.
+Three quarters of the sample are the examples of the index, one quarter
+calibrates; both classes count there by their share of all labelled rows.
+
+Search: the index keeps postings by example.  All postings of the text's terms
+are added up; only blocks of ``BLOCK`` examples whose largest cosine reaches that
+of the k-th best block are sorted, so the k nearest are exact; equal cosines go
+to the smaller example number.  The vote weighs each neighbour's
 label by 1 / (1 - cosine + ``SOFTEN``) and adds ``PRIOR`` votes at the sample's
 toxic share; a logistic curve fitted on the calibration rows turns the vote
 into the score.
@@ -27,6 +26,7 @@ calibration rows without terms.  With no labelled rows every score is 0.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
@@ -39,15 +39,15 @@ from pyspark.sql import types as T
 from .common import append_columns, bounded_batches, rows_where, utf8, written
 
 MAX_FIT_ROWS = 20_000
-MAX_TERMS = 4096
 NEIGHBOURS = 15
 MARGIN = 4
 BLOCK = 64
 SOFTEN = 0.02
 PRIOR = 1.0
-MIN_ROWS = 3           # toxic sample rows a term must occur in
-PURITY = 0.8           # toxic share (one row of each label added) of the rows with the term
-COVER = 5              # chosen terms after which a toxic row supports no further term
+NEUTRAL = 0.05         # least strength of a term
+LEAST_DENSE = 32       # and in more than so many
+DENSE = 16             # a term in more than one of so many examples is a row of a matrix
+TOGETHER = 64          # texts searched with one matrix product
 EVIDENCE = 3
 
 _WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32
@@ -64,102 +64,145 @@ def _stem(word: bytes) -> bytes | None:
     return b"^" + w[:4].encode() if len(w) > 4 else None
 
 
-def terms(text: bytes) -> Counter:
-    out = word_counts(text)
-    for w, n in list(out.items()):
-        s = _stem(w)
-        if s:
-            out[s] += n
-    return out
-
-
-def g_squared(a: int, b: int, n1: int, n0: int) -> float:
-    """Likelihood ratio of a term in a of n1 toxic and b of n0 other rows."""
-    n, r, out = n1 + n0, a + b, 0.0
+def hashed(words: Counter, known: dict[bytes, tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of the terms of counted words, and their counts."""
+    at, n = [], []
+    for w, k in words.items():
+        adds = known.get(w)
+        if adds is None:
+            if len(known) >= 300_000:
+                known.clear()
+            adds = known[w] = tuple(
+                int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)
+                for t in (w, _stem(w)) if t)
+        at += adds
+        n += [k] * len(adds)
+    h, inverse = np.unique(np.array(at, dtype=np.int64), return_inverse=True)
+    return h, np.bincount(inverse, n, len(h)).astype(np.int32)
+
+
+def strengths(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Strength of terms in a of n1 toxic and b of n0 other rows."""
+    if not n1 or not n0:
+        return np.ones(len(a))
+    n, r, g = n1 + n0, a + b, np.zeros(len(a))
     for seen, expected in ((a, r * n1 / n), (b, r * n0 / n),
                            (n1 - a, (n - r) * n1 / n), (n0 - b, (n - r) * n0 / n)):
-        if seen > 0:
-            out += 2 * seen * math.log(seen / expected)
-    return out
+        some = seen > 0
+        g[some] += 2 * seen[some] * np.log(seen[some] / expected[some])
+    least = 2 * math.log(max(len(a), 2)) + MARGIN
+    more = a * n0 > b * n1
+    return np.where(more, np.clip(g / least, 0, 1) ** 2 * _purity(a, b, n1, n0), 0) * (1 - NEUTRAL) + NEUTRAL
+
+
+def _purity(a, b, n1: int, n0: int):
+    """Toxic share of the rows with a term, were both classes of one size; one row of each added."""
+    x, y = (a + 1) / (n1 + 2), (b + 1) / (n0 + 2)
+    return np.maximum(2 * x / (x + y) - 1, 0)
 
 
 class BlockMaxIndex:
-    """Exact k nearest examples by cosine over blocks of example numbers."""
+    """Exact k nearest examples by cosine; block maxima pick the blocks to sort."""
 
     def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list):
-        self.labels, self.ids = np.array(labels, dtype=float), ids
-        self.n_blocks = -(-len(vectors) // BLOCK)
-        postings: dict[int, list] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings.setdefault(t, []).append((i, w))
-        self.lists = {}
-        for t, p in postings.items():
-            at = np.array([i for i, _ in p], dtype=np.int64)
-            w = np.array([x for _, x in p])
-            cuts = np.searchsorted(at, np.arange(self.n_blocks + 1) * BLOCK)
-            top = np.zeros(self.n_blocks)
-            np.maximum.at(top, at // BLOCK, w)
-            self.lists[t] = (at, w, cuts, top)
+        terms = sorted({t for v in vectors for t in v})
+        self._build(np.array([i for i, v in enumerate(vectors) for _ in v], dtype=np.int32),
+                    np.searchsorted(terms, [t for v in vectors for t in v]) if terms else
+                    np.zeros(0, np.int64),
+                    np.array([w for v in vectors for w in v.values()], dtype=float),
+                    len(terms), labels, ids)
+        self.names = {t: k for k, t in enumerate(terms)}
+
+    @classmethod
+    def of(cls, example, term, weight, n_terms: int, labels, ids) -> BlockMaxIndex:
+        self = cls.__new__(cls)
+        self._build(example, term, weight, n_terms, labels, ids)
+        return self
+
+    def _build(self, example, term, weight, n_terms: int, labels, ids) -> None:
+        """Postings of each term by example number."""
+        self.labels, self.ids = np.array(labels, dtype=float), np.array(ids)
+        by = np.argsort(term, kind="stable")
+        self.at, self.weight = example[by], weight[by]
+        self.cuts = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=n_terms))))
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines), best first; only examples that share a term."""
-        mine = [(w, *self.lists[t]) for t, w in query.items() if t in self.lists]
-        if not mine:
-            return np.zeros(0, np.int64), np.zeros(0)
-        upper = sum(w * top for w, _, _, _, top in mine)
-        found_i, found_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-upper, kind="stable"):
-            # equal bounds go on: a smaller example number wins a tie
-            if upper[b] <= 0 or len(found_s) == k and upper[b] < found_s[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for w, at, weight, cuts, _ in mine:
-                s = slice(cuts[b], cuts[b + 1])
-                score[at[s] - b * BLOCK] += w * weight[s]
-            hit = np.flatnonzero(score)
-            found_i = np.concatenate((found_i, hit + b * BLOCK))
-            found_s = np.concatenate((found_s, score[hit]))
-            best = np.lexsort((found_i, -np.round(found_s, 12)))[:k]
-            found_i, found_s = found_i[best], found_s[best]
-        return found_i, found_s
+        mine = [(self.names[t], w) for t, w in query.items() if t in self.names]
+        return self.search(np.array([t for t, _ in mine], dtype=np.int64),
+                           np.array([w for _, w in mine], dtype=float), k)
+
+    def search(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.search_all([(terms, w)], k)[0]
+
+    def _matrix(self) -> None:
+        """Weights of the terms that many examples hold, made where it is used first."""
+        n = np.diff(self.cuts)
+        common = np.flatnonzero(n > max(len(self.labels) // DENSE, LEAST_DENSE))
+        self.row_of = np.full(len(n), -1, np.int32)
+        self.row_of[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), -(-len(self.labels) // BLOCK) * BLOCK))
+        for k, t in enumerate(common):
+            s = slice(self.cuts[t], self.cuts[t + 1])
+            self.dense[k, self.at[s]] = self.weight[s]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "row_of")}
+
+    def search_all(self, queries: list[tuple], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not hasattr(self, "dense"):
+            self._matrix()
+        out = []
+        for first in range(0, len(queries), TOGETHER):
+            part = queries[first:first + TOGETHER]
+            q = np.zeros((len(part), len(self.dense)))
+            for j, (terms, w) in enumerate(part):
+                row = self.row_of[terms]
+                q[j, row[row >= 0]] = w[row >= 0]
+            scores = q @ self.dense
+            for score, (terms, w) in zip(scores, part):
+                rare = self.row_of[terms] < 0
+                out.append(self._best(score, terms[rare], w[rare], k))
+        return out
+
+    def _best(self, score: np.ndarray, terms: np.ndarray, w: np.ndarray, k: int):
+        """The k best once the postings of ``terms`` are added to ``score``."""
+        low, n = self.cuts[terms], self.cuts[terms + 1] - self.cuts[terms]
+        spot = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        np.add.at(score, self.at[spot], np.repeat(w, n) * self.weight[spot])
+        blocks = len(score) // BLOCK
+        top = score.reshape(blocks, BLOCK).max(axis=1)
+        # k blocks reach the k-th largest maximum, so no other block holds one of the k best
+        least = np.partition(top, blocks - k)[blocks - k] if blocks > k else 0.0
+        hit = np.flatnonzero((score > 0) & (score >= least - 1e-9))
+        best = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
+        return best, score[best]
 
 
 class Model:
-    """Selected terms, their idf, the example index and the calibration curve."""
-
-    def __init__(self, idf: dict[bytes, tuple[int, float]], examples: list[tuple], share: float):
-        self.idf, self.share = idf, share
-        kept = [(self.vector(c), y, i) for c, y, i in examples]
-        kept = [x for x in kept if x[0]]
-        self.index = BlockMaxIndex([v for v, _, _ in kept], [y for _, y, _ in kept],
-                                   [i for _, _, i in kept])
+    """Term hashes with weights, the example index and the calibration curve."""
+
+    def __init__(self, hashes: np.ndarray, weight: np.ndarray, share: float, index: BlockMaxIndex):
+        self.hashes, self.weight, self.share, self.index = hashes, weight, share, index
         self.curve, self.bare = (0.0, 1.0), share
         self.known: dict[bytes, tuple] = {}
 
-    def vector(self, counts: dict[bytes, int]) -> dict[int, float]:
-        v = {self.idf[t][0]: (1 + math.log(n)) * self.idf[t][1]
-             for t, n in counts.items() if t in self.idf}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
-
-    def counts(self, text: bytes) -> dict[bytes, int]:
-        """Counts of the selected terms; what each word adds is remembered."""
-        out: dict[bytes, int] = {}
-        known = self.known
-        for w in text.translate(_WORD_BYTES).split():
-            adds = known.get(w)
-            if adds is None:
-                if len(known) >= 300_000:
-                    known.clear()
-                adds = known[w] = tuple(t for t in (w, _stem(w)) if t in self.idf)
-            for t in adds:
-                out[t] = out.get(t, 0) + 1
-        return out
-
-    def vote(self, counts: dict[bytes, int]) -> tuple[float | None, list]:
-        """Distance-weighted toxic share of the neighbours, and the first of them."""
-        i, cos = self.index.nearest(self.vector(counts), NEIGHBOURS)
+    def vector(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the known terms, length 1."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        known = self.hashes[at] == h
+        at = at[known]
+        w = (1 + np.log(n[known])) * self.weight[at]
+        return at, w / max(math.sqrt(float(w @ w)), 1e-300)
+
+    def votes(self, counted: list[tuple]) -> list[tuple[float | None, list]]:
+        """Distance-weighted toxic share of each text's neighbours, and the first of them."""
+        found = self.index.search_all([self.vector(h, n) for h, n in counted], NEIGHBOURS)
+        return [self._vote(i, cos) for i, cos in found]
+
+    def _vote(self, i: np.ndarray, cos: np.ndarray) -> tuple[float | None, list]:
         if not len(i):
             return None, []
         w = 1 / (1 - np.minimum(cos, 1) + SOFTEN)
@@ -169,34 +212,43 @@ class Model:
                 for j, c in zip(i[:EVIDENCE], cos)]
         return float(vote), near
 
-    def calibrate(self, rows: list[tuple]) -> None:
-        """Logistic curve on the log-odds of the vote (two parameters, Newton steps)."""
-        voted = [(self.vote(c)[0], y) for c, y in rows]
+    def calibrate(self, rows: list[tuple], times: tuple[float, float]) -> None:
+        """Logistic curve on the log-odds of the vote (two parameters, Newton steps).
+
+        ``times`` is how often a row of each label counts.
+        """
+        voted = [(v, y) for (v, _), (_, _, y) in zip(self.votes([r[:2] for r in rows]), rows)]
         none = [y for v, y in voted if v is None]
         self.bare = (sum(none) + self.share) / (len(none) + 1)
         x = np.array([_logit(v) for v, _ in voted if v is not None])
         y = np.array([y for v, y in voted if v is not None], dtype=float)
         if not len(x):
             return
+        c = np.array(times)[y.astype(int)]
         design = np.stack((np.ones_like(x), x))
         ridge = np.diag([0.5, 0.5])
         start = np.array([0.0, 1.0])
         p = start.copy()
         for _ in range(50):
             z = 1 / (1 + np.exp(-np.clip(p @ design, -30, 30)))
-            step = np.linalg.solve((design * (z * (1 - z))) @ design.T + ridge,
-                                   design @ (y - z) - ridge @ (p - start))
+            step = np.linalg.solve((design * (c * z * (1 - z))) @ design.T + ridge,
+                                   design @ (c * (y - z)) - ridge @ (p - start))
             p = p + step
             if np.abs(step).max() < 1e-9:
                 break
         self.curve = (float(p[0]), float(max(p[1], 0.05)))
 
-    def score(self, text: bytes) -> tuple[float, list]:
-        vote, near = self.vote(self.counts(text))
-        if vote is None:
-            return self.bare, near
+    def scores(self, texts: list[bytes]) -> list[tuple[float, list]]:
+        out = []
+        for first in range(0, len(texts), TOGETHER):
+            part = [hashed(word_counts(t), self.known) for t in texts[first:first + TOGETHER]]
+            out += [(self.bare if v is None else self._curved(v), near)
+                    for v, near in self.votes(part)]
+        return out
+
+    def _curved(self, vote: float) -> float:
         z = self.curve[0] + self.curve[1] * _logit(vote)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), near
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def _logit(p: float) -> float:
@@ -204,95 +256,91 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _sample(docs, labels, doc_id, text, label, fit_on, max_rows) -> DataFrame:
-    """The fit rows: text, label, id.  The labelled ids sent out are at most ``max_rows``."""
+def _sample(docs, labels, doc_id, text, label, fit_on, max_rows) -> tuple[DataFrame, list[int]]:
+    """The fit rows (text, label, id) and all labelled ids by label, others first.
+
+    The labelled ids sent out are at most ``max_rows``.
+    """
     y = (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & fit_on)
                .groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("__y"))
-               .orderBy(F.xxhash64(doc_id), doc_id).limit(max_rows))
-    chosen = y.select(F.col(doc_id).alias("__id"), "__y").collect()
+               .select(F.col(doc_id).alias("__id"), (F.col("__y") != 0).cast("int").alias("__y")))
+    there = {r["__y"]: r["count"] for r in y.groupBy("__y").count().collect()}
+    there = [there.get(0, 0), there.get(1, 0)]
+    toxic = min(there[1], max(max_rows // 2, max_rows - there[0]))
+    chosen = [r for k, n in ((0, max_rows - toxic), (1, toxic)) for r in
+              y.where(F.col("__y") == k).orderBy(F.xxhash64("__id"), "__id").limit(n).collect()]
     spark = docs.sparkSession
     sent = spark.createDataFrame(pa.table(
         {"__id": pa.array([r[0] for r in chosen], pa.int64()),
          "__y": pa.array([r[1] for r in chosen], pa.int32())}))
-    return (docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
+    rows = (docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
                 .join(F.broadcast(sent), "__id"))
+    return rows, there
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_on, doc_id: str = "doc_id", text: str = "text",
         label: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> Model:
     """Learn from labelled rows that meet ``fit_on`` (a condition on ``labels``)."""
     bounded_batches(docs.sparkSession)
-    rows = _sample(docs, labels, doc_id, text, label, fit_on, max_rows)
+    rows, there = _sample(docs, labels, doc_id, text, label, fit_on, max_rows)
     rows = (rows.withColumn("__h", F.xxhash64(F.coalesce("__text", F.lit(""))))
                 .groupBy("__h").agg(F.min_by("__text", "__id").alias("__text"),
                                     F.max("__y").alias("__y"), F.min("__id").alias("__id")))
-    rows = written(rows, "toxicity-sample")
 
     def count(batches):
-        toxic, other, n = Counter(), Counter(), [0, 0]
-        for batch in batches:
-            for t, y in zip(utf8(batch.column("__text")), batch.column("__y").to_pylist()):
-                (toxic if y else other).update(terms(t).keys())
-                n[1 if y else 0] += 1
-        keys = list(toxic.keys() | other.keys())
-        yield pa.RecordBatch.from_pydict({
-            "term": pa.array([None, *keys], pa.binary()),
-            "a": pa.array([n[1], *(toxic[k] for k in keys)], pa.int64()),
-            "b": pa.array([n[0], *(other[k] for k in keys)], pa.int64())})
-
-    seen = (rows.select("__text", "__y").mapInArrow(count, "term binary, a long, b long")
-                .groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-                .where(F.col("term").isNull() | (F.col("a") >= MIN_ROWS)))
-    tested = [(r["term"], r["a"], r["b"]) for r in seen.collect()]  # terms of the bounded sample
-    n1, n0 = next(((a, b) for t, a, b in tested if t is None), (0, 0))
-    tested = [(bytes(t), a, b) for t, a, b in tested if t is not None and a * n0 > b * n1]
-    least = 2 * math.log(max(len(tested), 2)) + MARGIN
-    ranked = sorted(((-g_squared(a, b, n1, n0), t, a, b) for t, a, b in tested
-                     if (a + 1) / (a + b + 2) >= PURITY)) if n1 and n0 else []
-    ranked = [(t, a, b) for g, t, a, b in ranked if -g >= least][:MAX_TERMS]
-    probe = Model({t: (i, 1.0) for i, (t, _, _) in enumerate(ranked)}, [], 0.0)
-
-    def reduce(batches):
+        known: dict[bytes, tuple] = {}
         for batch in batches:
-            c = [probe.counts(t) for t in utf8(batch.column("__text"))]
+            got = [hashed(word_counts(t), known) for t in utf8(batch.column("__text"))]
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column("__id"), "y": batch.column("__y"),
-                "term": pa.array([list(x.keys()) for x in c], pa.list_(pa.binary())),
-                "n": pa.array([list(x.values()) for x in c], pa.list_(pa.int32()))})
-
-    small = (rows.select("__id", "__y", "__text")
-                 .mapInArrow(reduce, "id long, y int, term array<binary>, n array<int>"))
-    got = [({bytes(t): n for t, n in zip(r["term"], r["n"])}, r["y"], r["id"])
-           for r in small.orderBy("id").collect()]      # at most max_rows, selected terms only
-    idf = {t: (i, math.log((1 + n1 + n0) / (1 + n)) + 1)
-           for i, (t, n) in enumerate(_covering(ranked, got, n1, n0, least))}
-    share = n1 / (n1 + n0) if n1 + n0 else 0.0
-    model = Model(idf, [x for k, x in enumerate(got) if k % 4], share)
-    model.calibrate([(c, y) for k, (c, y, _) in enumerate(got) if k % 4 == 0])
+                "h": pa.array([h.tobytes() for h, _ in got], pa.binary()),
+                "n": pa.array([n.tobytes() for _, n in got], pa.binary())})
+
+    counted = written(rows.select("__id", "__y", "__text")
+                          .mapInArrow(count, "id long, y int, h binary, n binary"), "toxicity-sample")
+    ids, y, h, n = [], [], [], []
+    for r in counted.orderBy("id").toLocalIterator():     # the terms of the bounded sample
+        ids.append(r["id"])
+        y.append(r["y"])
+        h.append(np.frombuffer(r["h"], np.int64))
+        n.append(np.frombuffer(r["n"], np.int32))
+    return learnt(ids, y, h, n, there)
+
+
+def learnt(ids: list[int], y: list[int], h: list, n: list, there: list[int]) -> Model:
+    """The model of rows given by term hashes and counts; ``there`` as from ``_sample``."""
+    label = np.array(y, dtype=np.int64)
+    hashes = np.unique(np.concatenate(h)) if h else np.zeros(0, np.int64)
+    number = [np.searchsorted(hashes, x).astype(np.int32) for x in h]
+    a, b = np.zeros(len(hashes)), np.zeros(len(hashes))
+    for t, v in zip(number, y):
+        (a if v else b)[t] += 1
+    n1, n0 = int(label.sum()), int(len(label) - label.sum())
+    weight = (np.log((1 + n1 + n0) / (1 + a + b)) + 1) * strengths(a, b, n1, n0)
+    kept = np.flatnonzero(np.arange(len(ids)) % 4)
+    size = [len(h[k]) for k in kept]
+    term, w = np.empty(sum(size), np.int32), np.empty(sum(size))
+    at = 0
+    for k, m in zip(kept, size):
+        v = (1 + np.log(n[k])) * weight[number[k]]
+        term[at:at + m], w[at:at + m] = number[k], v / max(math.sqrt(float(v @ v)), 1e-300)
+        at += m
+    del number
+    index = BlockMaxIndex.of(np.repeat(np.arange(len(kept), dtype=np.int32), size), term, w,
+                             len(hashes), label[kept], np.array(ids, dtype=np.int64)[kept])
+    del term, w
+    model = Model(hashes, weight, there[1] / sum(there) if sum(there) else 0.0, index)
+    times = tuple(all_rows / max(m, 1) for all_rows, m in zip(there, (n0, n1)))
+    model.calibrate([(h[k], n[k], y[k]) for k in range(0, len(ids), 4)], times)
     return model
 
 
-def _covering(ranked: list, rows: list, n1: int, n0: int, least: float) -> list[tuple]:
-    """(term, rows with it) still significant on toxic rows with fewer than ``COVER`` terms."""
-    of_term: dict[bytes, list[int]] = {}
-    for k, (counts, y, _) in enumerate(rows):
-        for t in counts if y else ():
-            of_term.setdefault(t, []).append(k)
-    held, chosen = Counter(), []
-    for t, a, b in ranked:
-        new = sum(held[k] < COVER for k in of_term.get(t, ()))
-        if new >= MIN_ROWS and g_squared(new, b, n1, n0) >= least:
-            chosen.append((t, a + b))
-            held.update(of_term[t])
-    return chosen
-
-
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` plus score, predicted and evidence (id:label:cosine of the nearest)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(texts):
-        got = [sent.value.score(t) for t in texts]
+        got = sent.value.scores(texts)
         return [[s for s, _ in got], [int(s >= 0.5) for s, _ in got], [e for _, e in got]]
 
     return append_columns(docs, keep, text, [
