@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, html_text, licenses, order_minhash, pii, simhash, toxicity,
-               urls, warc)
+from . import (bpe, decontaminate, html_text, licenses, merkle, order_minhash, pii, simhash,
+               toxicity, urls, warc)
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -144,3 +144,12 @@ SELECT page_id, host, path, rule,
             ELSE 'allow' END AS verdict,
        array_to_string(strict_terms, ',') AS strict_terms, array_to_string(soft_terms, ',') AS soft_terms
 FROM c"""
+
+
+@_query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion proof of every document; half of them claim a text without line ends."""
+    docs = table(spark, sf_dir, "documents")
+    cut = F.when(in_fold(0, 2), F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verified(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source",
+                           "doc_id", {"text": cut})
