@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe, decontaminate, html_text, licenses, merkle, order_minhash, pii, simhash,
-               toxicity, urls, warc)
+               token_alignment, toxicity, urls, warc)
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -153,3 +153,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.when(in_fold(0, 2), F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle.verified(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source",
                            "doc_id", {"text": cut})
+
+
+@_query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, weighed by corpus counts."""
+    found = token_alignment.scored(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        "groups_sha256")
