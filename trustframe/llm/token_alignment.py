@@ -26,12 +26,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import struct
+from array import array
+from collections import Counter
 from functools import lru_cache
 from itertools import accumulate
-from typing import NamedTuple
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +41,15 @@ from pyspark.sql import types as T
 from .common import append_columns, salted_lookup, written
 
 # parts whose alignment a worker remembers, and that it encodes at once
-MEMO_PARTS = 60_000
+MEMO_PARTS = 150_000
 BATCH_PARTS = 1000
-# above so many links the distinct ids of each group are multiplied, not their occurrences
-MANY_LINKS = 4096
 # rows of the count table that are broadcast, 16 bytes each
 BROADCAST_PAIRS = 4_000_000
 SPACE_MARK = "▁"
-_CUT = regex.compile(r"(?<=\S) (?=\S)")
-_BYTE_ENTRY = regex.compile(r"<0x([0-9A-F]{2})>")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"^ |\s |(?<= )\s| $")                # a space that is no cut
+_COUNTS = struct.Struct("4q")
+_BYTE_ENTRY = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,17 +62,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Part(NamedTuple):
-    """Alignment of one part of a text."""
-    listed: str
-    pairs: list[int]            # a * stride + b
-    times: list[int]            # how many links; a pair may come more than once
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-
-
 class Aligner:
     """Both tokenizers, the bytes of their ids, and the alignments of recent parts."""
 
@@ -96,43 +87,50 @@ class Aligner:
             if SPACE_MARK in piece.lstrip(SPACE_MARK):
                 raise ValueError(f"piece {i} reads across a space: texts cannot be cut there")
         self.stride = len(self.b_bytes)
-        self.memo: dict[str, Part] = {}
-        self.old: dict[str, Part] = {}
+        self.memo: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
 
-    def groups(self, some: list[str]) -> list[list | None]:
-        """(A ids, B ids) of the groups of each part, None if its bytes do not join to it."""
-        out = []
+    def ids(self, some: list[str]):
+        """(A ids, B ids, their byte ends) of each part, None if its bytes do not join to it."""
         for at in range(0, len(some), BATCH_PARTS):
-            now = some[at:at + BATCH_PARTS]
-            of_a = self.a.encode_batch_fast([" " + p for p in now], add_special_tokens=False)
-            for p, a, b in zip(now, of_a, self.b.encode(now, num_threads=1)):
+            now = [" " + p for p in some[at:at + BATCH_PARTS]]
+            of_b = self.b.encode(some[at:at + BATCH_PARTS], num_threads=1)
+            of_a = self.a.encode_batch_fast(now, add_special_tokens=False)
+            for p, a, b in zip(now, of_a, of_b):
                 a = a.ids
                 a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-                joins = b"".join(a_bytes) == b" " + p.encode() == b"".join(b_bytes)
-                out.append(list(sliced(a, b, a_bytes, b_bytes)) if joins else None)
-        return out
+                joins = b"".join(a_bytes) == p.encode() == b"".join(b_bytes)
+                yield (a, b, list(accumulate(map(len, a_bytes))),
+                       list(accumulate(map(len, b_bytes)))) if joins else None
 
-    def align(self, texts: list[bytes]) -> list[list[Part]]:
-        """The parts of each text, empty where the bytes do not join to the text."""
+    def align(self, texts: list[bytes]) -> list[list[tuple]]:
+        """What ``_part`` gives for each part of each text, empty where the bytes do not join."""
         cut = [parts(t) for t in texts]
-        now = {p: self.memo.get(p) or self.old.get(p) for p in {p for c in cut for p in c}}
+        now = {p: self.memo.get(p) or self.old.get(p) for c in cut for p in c}
         new = [p for p, known in now.items() if known is None]
-        now.update(zip(new, (g if g is None else self._part(g) for g in self.groups(new))))
+        now.update(zip(new, (x and self._part(*x) for x in self.ids(new))))
         self.memo.update(now)
         if len(self.memo) > MEMO_PARTS:
             self.memo, self.old = {}, self.memo
         found = ([now[p] for p in c] for c in cut)
         return [[] if None in f else f for f in found]
 
-    def _part(self, groups: list) -> Part:
-        n_a, n_b = sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups)
-        n = sum(len(a) * len(b) for a, b in groups)
-        if n <= MANY_LINKS:
-            pairs = [i * self.stride + j for a, b in groups for i in a for j in b]
-            times = [1] * n
-        else:
-            pairs, times = (x.tolist() for x in links(groups, len(self.a_bytes), self.stride))
-        return Part(listed(groups), pairs, times, n_a, n_b, len(groups), n)
+    def _part(self, a, b, a_ends, b_ends) -> tuple[str, bytes, bytes]:
+        """Listed groups, (pair, times) of their links, (A ids, B ids, groups, links)."""
+        shown, pairs, groups = [], [], cuts(a_ends, b_ends)
+        for i, k, j, m in groups:
+            if k - i == 1 == m - j:
+                shown.append(f"{a[i]}|{b[j]}")
+                pairs += a[i] * self.stride + b[j], 1
+                continue
+            shown.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
+            of_b = Counter(b[j:m])
+            for x, times in Counter(a[i:k]).items():
+                for y, more in of_b.items():
+                    pairs += x * self.stride + y, times * more
+        links = sum(pairs[1::2])
+        return ";".join(shown), array("q", pairs).tobytes(), _COUNTS.pack(
+            len(a), len(b), len(groups), links)
 
 
 def parts(text: bytes) -> list[str]:
@@ -141,50 +139,20 @@ def parts(text: bytes) -> list[str]:
         whole = text.decode()
     except UnicodeDecodeError:
         return []
-    return _CUT.split(whole) if whole else []
-
-
-def sliced(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]):
-    """Both id lists cut where a token of each ends."""
-    a_end = dict(zip(accumulate(map(len, a_bytes)), range(1, len(a) + 1)))
-    b_end = dict(zip(accumulate(map(len, b_bytes)), range(1, len(b) + 1)))
-    i = j = 0
-    for end in sorted(a_end.keys() & b_end.keys()):
-        k, m = a_end[end], b_end[end]
-        yield a[i:k], b[j:m]
-        i, j = k, m
-
-
-def _runs(group: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Distinct (group, id) in order, with their numbers."""
-    key, n = np.unique(group * width + ids, return_counts=True)
-    return key // width, key % width, n
-
-
-def links(groups, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct id pairs (a * stride + b) of the groups and how many links each has."""
-    na = np.fromiter((len(a) for a, _ in groups), np.int64, len(groups))
-    nb = np.fromiter((len(b) for _, b in groups), np.int64, len(groups))
-    at = np.arange(len(groups))
-    a = np.fromiter((i for a, _ in groups for i in a), np.int64, na.sum())
-    b = np.fromiter((i for _, b in groups for i in b), np.int64, nb.sum())
-    ga, a, ca = _runs(np.repeat(at, na), a, width)
-    gb, b, cb = _runs(np.repeat(at, nb), b, stride)
-    b_of = np.bincount(gb, minlength=len(groups))            # distinct B ids per group
-    first = np.cumsum(b_of) - b_of
-    reps = b_of[ga]                                          # each A id meets those of its group
-    mine = np.repeat(np.arange(len(a)), reps)
-    other = np.arange(len(mine)) - np.repeat(np.cumsum(reps) - reps, reps) + first[ga[mine]]
-    pair, where = np.unique(a[mine] * stride + b[other], return_inverse=True)
-    times = np.zeros(len(pair), np.int64)
-    np.add.at(times, where, ca[mine] * cb[other])
-    return pair, times
-
-
-def listed(groups) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
-    return ";".join(f"{a[0]}|{b[0]}" if len(a) == len(b) == 1 else
-                    ",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+    if not whole:
+        return []
+    return _CUT.split(whole) if _ODD.search(whole) else whole.split(" ")
+
+
+def cuts(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
+    """(i, k, j, m): ids i to k of A and j to m of B lie between two common ends."""
+    if a_ends == b_ends:                                    # every end is common
+        return [(i, i + 1, i, i + 1) for i in range(len(a_ends))]
+    a_at = {end: i + 1 for i, end in enumerate(a_ends)}
+    b_at = {end: i + 1 for i, end in enumerate(b_ends)}
+    common = sorted(a_at.keys() & b_at.keys())
+    k, m = [a_at[end] for end in common], [b_at[end] for end in common]
+    return list(zip([0, *k], k, [0, *m], m))
 
 
 @lru_cache(maxsize=2)
@@ -197,20 +165,27 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str],
           text: str = "text") -> DataFrame:
     """``keep`` plus ``groups`` (array of A ids and B ids) of every text, empty without tokens."""
     def rows(texts):
-        found = (aligner(a_path, b_path).groups(parts(t)) for t in texts)
-        return [[[] if None in f else [{"a": a, "b": b} for g in f for a, b in g] for f in found]]
+        out = []
+        for t in texts:
+            got = list(aligner(a_path, b_path).ids(parts(t)))
+            out.append([] if None in got else [
+                {"a": a[i:k], "b": b[j:m]} for a, b, *ends in got for i, k, j, m in cuts(*ends)])
+        return [out]
 
     ids = T.ArrayType(T.IntegerType(), False)
     return append_columns(docs, keep, text, [T.StructField("groups", T.ArrayType(
         T.StructType([T.StructField("a", ids), T.StructField("b", ids)]), False))], rows)
 
 
-def _summed(found: list[Part]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of a text and their numbers."""
-    pair, where = np.unique(np.fromiter((x for p in found for x in p.pairs), np.int64),
-                            return_inverse=True)
-    times = np.fromiter((x for p in found for x in p.times), np.int64)
-    return pair, np.bincount(where, times, len(pair)).astype(np.int64)
+def _summed(found: list[tuple]) -> list:
+    """Counts, digest of the groups, distinct pairs and their numbers of one text."""
+    n = np.frombuffer(b"".join(p[2] for p in found), np.int64).reshape(-1, 4).sum(axis=0)
+    each = np.frombuffer(b"".join(p[1] for p in found), np.int64).reshape(-1, 2)
+    pair, where = np.unique(each[:, 0], return_inverse=True)
+    times = np.bincount(where, each[:, 1], len(pair)).astype(np.int64)
+    shown = ";".join(p[0] for p in found)
+    digest = hashlib.sha256(shown.encode()).hexdigest() if found else ""
+    return [*n.tolist(), digest, pair, times]
 
 
 def linked(docs: DataFrame, a_path: str, b_path: str, keep: list[str],
@@ -220,16 +195,7 @@ def linked(docs: DataFrame, a_path: str, b_path: str, keep: list[str],
     ``pairs`` holds a * (B's size) + b, ``times`` how many links the pair has.
     """
     def rows(texts):
-        cols = [[] for _ in range(7)]
-        for found in aligner(a_path, b_path).align(texts):
-            shown = ";".join(p.listed for p in found)
-            for c, v in zip(cols, (
-                    sum(p.n_a for p in found), sum(p.n_b for p in found),
-                    sum(p.n_groups for p in found), sum(p.n_links for p in found),
-                    hashlib.sha256(shown.encode()).hexdigest() if found else "",
-                    *_summed(found))):
-                c.append(v)
-        return cols
+        return zip(*map(_summed, aligner(a_path, b_path).align(texts)))
 
     long, longs = T.LongType(), T.ArrayType(T.LongType(), False)
     return append_columns(docs, keep, text, [
