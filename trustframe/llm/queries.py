@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, html_text, licenses, merkle, order_minhash, pii, simhash,
-               token_alignment, toxicity, urls, warc)
+from . import (bpe, decontaminate, html_text, licenses, merkle, ngram_join, order_minhash, pii,
+               simhash, token_alignment, toxicity, urls, warc)
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -164,3 +164,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
                         "groups_sha256")
+
+
+@_query
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles and component of similar shingle sets of every document."""
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
