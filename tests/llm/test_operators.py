@@ -542,7 +542,7 @@ def test_urls_oracle(spark, sf_dir):
 
 def test_urls_edges(spark):
     data = {None: ("", "", None, "allow"), "": ("", "", None, "allow"), "no scheme/porn": ("", "", None, "block"),
-            "http://A.Example.ORG/en/1x?q#f": ("a.example.org", "/en/1x", "example.org/en/1", "allow"),
+            "http://A.Example.ORG/en/1x?q#f": ("a.example.org", "/en/1x", "example.org/en/1", "block"),
             "http://example.org/es/": ("example.org", "/es/", "example.org/es/", "block"),
             "http://badexample.org": ("badexample.org", "", None, "allow"),
             "http://xcom/fr/": ("xcom", "/fr/", None, "allow"), "http://x.com/fr/porn": ("x.com", "/fr/porn", "com/fr/", "allow"),

@@ -69,11 +69,12 @@ def append_columns(df: DataFrame, keep: list[str], text: str, fields: list[T.Str
                    rows: Callable[[list[bytes]], Iterator[list]]) -> DataFrame:
     """``keep`` columns of ``df`` plus ``fields`` computed from each text.
 
+    A kept column with the name of an added one gives way to it.
     ``rows`` maps the texts of one Arrow batch to one value list per field.
     The pass runs where the rows are: no shuffle, one batch in memory.
     """
     bounded_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name in keep]
+    kept = [f for f in df.schema.fields if f.name in set(keep) - {f.name for f in fields}]
     schema = T.StructType([*kept, *fields])
     types = [f.type for f in to_arrow_schema(T.StructType(fields))]
     names = [f.name for f in schema.fields]

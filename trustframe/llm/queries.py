@@ -101,7 +101,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # verdict, host, start of the path
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"),
-         ("block", "com", "/de/"), ("allow", "example.org", "/en/1")]
+         ("block", "com", "/de/"), ("block", "example.org", "/en/1")]
 
 
 @_query
@@ -138,7 +138,7 @@ c AS (
     WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule
   FROM b)
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('org/', 'com/fr/', 'example.org/en/1') THEN 'allow'
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
             WHEN rule IS NOT NULL THEN 'block'
             WHEN len(strict_terms) > 0 OR len(soft_terms) >= {urls.SOFT_HITS} THEN 'block'
             ELSE 'allow' END AS verdict,
@@ -155,6 +155,46 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                            "doc_id", {"text": cut})
 
 
+def _field_sql(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+
+
+def _levels_sql(name: str, levels: int) -> str:
+    """``levels`` steps up the trees named ``k``: state name0 (i, h, f, p and more) to name<levels>."""
+    step = """, {n}r{j} AS MATERIALIZED (
+  SELECT k, i // 3 AS g, list(h ORDER BY i) AS l, sum(count(*)) OVER (PARTITION BY k) AS nodes
+  FROM (SELECT DISTINCT k, i, h FROM {n}{j}) x GROUP BY 1, 2),
+{n}{e} AS MATERIALIZED (
+  SELECT s.* EXCLUDE (i, h, f, p), i // 3 AS i,
+    CASE WHEN nodes = 1 THEN h ELSE sha256(array_to_string(l, '')) END AS h,
+    CASE WHEN nodes = 1 THEN f ELSE sha256(array_to_string(l[1:i % 3] || [f] || l[i % 3 + 2:], '')) END AS f,
+    CASE WHEN nodes = 1 THEN p
+         ELSE p || array_to_string(l[1:i % 3], '') || array_to_string(l[i % 3 + 2:], '') END AS p
+  FROM {n}{j} s JOIN {n}r{j} r ON s.k = r.k AND s.i // 3 = r.g)"""
+    return "".join(step.format(n=name, j=j, e=j + 1) for j in range(levels))
+
+
+# 3^14 documents of a source, 3^8 sources
+ORACLE["op11_merkle"] = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b:
+    CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+claimed AS (SELECT d.*, CASE WHEN list_reduce(
+      list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295) % 2 = 1
+    THEN replace(text, chr(10), '') ELSE text END AS cut FROM documents d, crc),
+s0 AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS i, h AS leaf, '' AS p
+  FROM (SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE ':' || source END AS k,
+    sha256({" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "text")))}) AS h,
+    sha256({" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "cut")))}) AS f
+    FROM claimed) x){_levels_sql("s", 14)},
+u0 AS MATERIALIZED (
+  SELECT * EXCLUDE (i, k), h AS subroot, 0 AS k, dense_rank() OVER (ORDER BY k) - 1 AS i FROM s14)
+{_levels_sql("u", 8)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = h AS verified
+FROM u8"""
+
+
 @_query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers in every document, weighed by corpus counts."""
@@ -171,3 +211,22 @@ def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of shingles and component of similar shingle sets of every document."""
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+# all pairs that share a shingle: for small tables
+ORACLE["op13_jaccard_join"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.UPPER.lower()}'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1),
+                       lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+each AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets
+          UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) r ON a = doc_id"""
