@@ -6,16 +6,25 @@ pushed predicates) and follow the text-comparison rule of the original log:
 the lower bound is midnight of the boundary day.  Top-k reads
 (``ORDER BY id DESC LIMIT n``) plan as ``TakeOrderedAndProject``: a per-task
 top-k and a merge of at most ``n`` rows per task, never a global sort.
+
+``calls`` and ``pings`` may be DataFrames or an ``EventLog``: from a log the
+newest rows come out of the few partitions that hold them, and whole-log counts
+out of its commits.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..schemas import CALLS_SCHEMA, PINGS_SCHEMA
+from ..sources.eventlog import EventLog
+
 # ---- fixed values ----------------------------------------------------------
 LAST_AVG_BOT = 1000          # mean bot probability over the last 1000 scored calls
 LAST_AVG_RT = 1000           # mean latency over the last 1000 successful calls
@@ -32,6 +41,14 @@ HOUR_FMT = "yyyy-MM-dd'T'HH:00:00"
 # ---------------------------------------------------------------------------
 
 TS = "timestamp"
+# conditions whose newest rows are asked for; a log counts them per partition
+COUNTED = {"bot_probability": lambda: F.col("bot_probability").isNotNull(),
+           "image_risk_score": lambda: F.col("image_risk_score").isNotNull(),
+           "ok": lambda: F.col("error") == 0}
+
+
+def rows_of(table: DataFrame | EventLog) -> DataFrame:
+    return table.read() if isinstance(table, EventLog) else table
 
 
 def _as_of(as_of: str) -> dt.datetime:
@@ -59,6 +76,7 @@ def _ts_lt(bound: str) -> Column:
 
 def since(calls: DataFrame, bound: str) -> DataFrame:
     """Rows from ``bound`` on; a log partitioned by day is pruned to those days."""
+    calls = rows_of(calls)
     out = calls.filter(_ts_ge(bound))
     return out.filter(F.col("day") >= F.lit(bound[:10]).cast("date")) if "day" in calls.columns else out
 
@@ -69,14 +87,16 @@ def before(calls: DataFrame, bound: str) -> DataFrame:
     return out.filter(F.col("day") < F.lit(bound[:10]).cast("date")) if "day" in calls.columns else out
 
 
-def ok(calls: DataFrame) -> DataFrame:
-    return calls.filter(F.col("error") == 0)
+def ok(calls: DataFrame | EventLog) -> DataFrame:
+    return rows_of(calls).filter(F.col("error") == 0)
 
 
 # ---- single figures --------------------------------------------------------
 
 
-def total_calls(calls: DataFrame) -> DataFrame:
+def total_calls(calls: DataFrame | EventLog) -> DataFrame:
+    if isinstance(calls, EventLog):
+        return calls.total("ok").select(F.col("n").alias("total_calls"))
     return ok(calls).agg(F.count(F.lit(1)).alias("total_calls"))
 
 
@@ -85,20 +105,21 @@ def calls_today(calls: DataFrame, as_of: str) -> DataFrame:
     return before(since(ok(calls), lo), hi).agg(F.count(F.lit(1)).alias("calls_today"))
 
 
-def last_n(calls: DataFrame, n: int, cond: Column | None = None, cols=("*",)) -> DataFrame:
-    """The ``n`` newest rows by id (optionally filtered), as a top-k."""
-    df = calls if cond is None else calls.filter(cond)
+def last_n(calls: DataFrame | EventLog, n: int, what: str | None = None, cols=("*",)) -> DataFrame:
+    """The ``n`` newest rows by id (that meet the counted condition ``what``), as a top-k."""
+    df = calls.newest(n, what) if isinstance(calls, EventLog) else calls
+    df = df if what is None else df.filter(COUNTED[what]())
     return df.orderBy(F.col("id").desc()).limit(n).select(*cols)
 
 
-def avg_bot_last(calls: DataFrame, n: int = LAST_AVG_BOT) -> DataFrame:
+def avg_bot_last(calls: DataFrame | EventLog, n: int = LAST_AVG_BOT) -> DataFrame:
     """Mean of the newest ``n`` non-null bot probabilities (errors included)."""
-    t = last_n(calls, n, F.col("bot_probability").isNotNull(), ("bot_probability",))
+    t = last_n(calls, n, "bot_probability", ("bot_probability",))
     return t.agg(F.avg("bot_probability").alias("avg_bot_probability"))
 
 
-def avg_rt_last(calls: DataFrame, n: int = LAST_AVG_RT) -> DataFrame:
-    t = last_n(calls, n, F.col("error") == 0, ("response_time_ms",))
+def avg_rt_last(calls: DataFrame | EventLog, n: int = LAST_AVG_RT) -> DataFrame:
+    t = last_n(calls, n, "ok", ("response_time_ms",))
     return t.agg(F.avg("response_time_ms").alias("avg_response_time_ms"))
 
 
@@ -120,7 +141,7 @@ def total_pings(pings: DataFrame) -> DataFrame:
 
 def risk_breakdown(calls: DataFrame) -> DataFrame:
     """Count per non-null risk level; case is kept (user and image calls differ)."""
-    return (calls.filter(F.col("risk_level").isNotNull())
+    return (rows_of(calls).filter(F.col("risk_level").isNotNull())
             .groupBy("risk_level").agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -153,7 +174,7 @@ def slow_hours(trend: DataFrame, target_ms: float = LATENCY_TARGET_MS) -> DataFr
 
 
 def last_scores(calls: DataFrame, col: str, n: int = LAST_SCORES) -> DataFrame:
-    return last_n(calls, n, F.col(col).isNotNull(), ("id", col))
+    return last_n(calls, n, col, ("id", col))
 
 
 def recent_calls(calls: DataFrame, n: int = LAST_CALLS) -> DataFrame:
@@ -205,17 +226,22 @@ def stats_summary(calls: DataFrame, pings: DataFrame, as_of: str, digits=(4, 1))
     for both figures.
     """
     lo, hi = day_bounds(as_of)
-    call_counts = ok(calls).agg(
-        F.count(F.lit(1)).alias("total_calls"),
-        F.count_if(_ts_ge(lo) & _ts_lt(hi)).alias("calls_today"))
+    if isinstance(calls, EventLog):     # the total is in the commits; only the day is scanned
+        spark = calls.spark
+        total, today = total_calls(calls), calls_today(calls, as_of)
+    else:
+        spark = calls.sparkSession
+        total = today = ok(calls).agg(
+            F.count(F.lit(1)).alias("total_calls"),
+            F.count_if(_ts_ge(lo) & _ts_lt(hi)).alias("calls_today"))
+    pings = rows_of(pings)
     ping_counts = pings.agg(F.count_distinct("extension_id").alias("unique_installs"),
                             F.count(F.lit(1)).alias("total_pings"))
     bot = avg_bot_last(calls)
     rt = avg_rt_last(calls)
-    spark = calls.sparkSession
     return spark.range(1).select(
-        call_counts.select("total_calls").scalar().alias("total_calls"),
-        call_counts.select("calls_today").scalar().alias("calls_today"),
+        total.select("total_calls").scalar().alias("total_calls"),
+        today.select("calls_today").scalar().alias("calls_today"),
         or_zero(bot.scalar(), digits[0]).alias("avg_bot_probability"),
         or_zero(rt.scalar(), digits[1]).alias("avg_response_time_ms"),
         ping_counts.select("unique_installs").scalar().alias("unique_installs"),
@@ -294,7 +320,28 @@ def normalise_pings(raw: DataFrame) -> DataFrame:
                       pick("version", "hdr_version").alias("version"))
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Append to a day-partitioned Parquet log (the index on time becomes pruning)."""
-    (df.withColumn("day", F.to_date(TS))
-       .write.mode("append").partitionBy("day").parquet(path))
+def call_log(spark: SparkSession, path: str) -> EventLog:
+    """The call log in a folder: batches once per token, rows checked against the schema."""
+    return EventLog(spark, path, CALLS_SCHEMA, {name: c() for name, c in COUNTED.items()})
+
+
+def ping_log(spark: SparkSession, path: str) -> EventLog:
+    return EventLog(spark, path, PINGS_SCHEMA)
+
+
+def _utc_clock(df: DataFrame) -> DataFrame:
+    """Instants become the UTC wall clock that the log keeps (the session zone is UTC)."""
+    if dict(df.dtypes)[TS] == "timestamp":
+        return df.withColumn(TS, F.col(TS).cast("timestamp_ntz"))
+    return df
+
+
+def append_log(df: DataFrame, path: str, token: str | None = None) -> bool:
+    """Append calls to the day-partitioned log, once per ``token`` (a new one by default)."""
+    return call_log(df.sparkSession, path).append(_utc_clock(df), token or uuid.uuid4().hex)
+
+
+def append_pings(raw: DataFrame, path: str, token: str | None = None) -> bool:
+    """Append normalised pings to the ping log, once per ``token``."""
+    rows = _utc_clock(normalise_pings(raw))
+    return ping_log(raw.sparkSession, path).append(rows, token or uuid.uuid4().hex)

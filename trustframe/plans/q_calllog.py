@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import calllog as C
 from ..operators import scoring as S
+from ..session import scratch_path
 from ..sources import testdata as td
 from .oracle_fixtures import with_fixtures
-from .registry import query, r6
+from .registry import ORACLE, query, r6
 
+# event logs written in this session, by the state of the files they come from
+_LOGS: dict = {}
 AS_OF = td.AS_OF_DAY
 AS_OF_30 = td.AS_OF_MONTH
 # bounds of the oracle texts, written out for as_of 2024-01-30 and 2024-02-10
@@ -26,6 +31,20 @@ def _pings(spark, sf_dir):
     return td.extension_pings(spark, sf_dir)
 
 
+def _logs(spark, sf_dir):
+    """The call log (two batches, older and newer ids) and the ping log of the events table."""
+    key = (spark.sparkContext.applicationId, td.listing(spark, f"{sf_dir}/events.parquet"))
+    if key not in _LOGS:
+        base = scratch_path(spark, f"logs/{uuid.uuid4().hex}")
+        calls = _calls(spark, sf_dir)
+        half = F.lit(calls.agg(F.percentile_approx("id", 0.5)).first()[0])
+        C.append_log(calls.filter(F.col("id") <= half), f"{base}/calls", "older")
+        C.append_log(calls.filter(F.col("id") > half), f"{base}/calls", "newer")
+        C.ping_log(spark, f"{base}/pings").append(_pings(spark, sf_dir), "all")
+        _LOGS[key] = base
+    return C.call_log(spark, f"{_LOGS[key]}/calls"), C.ping_log(spark, f"{_LOGS[key]}/pings")
+
+
 def _q(name, fixtures, sql):
     return query(name, with_fixtures(fixtures, sql))
 
@@ -170,8 +189,11 @@ def _newest_sql(col):
   (SELECT string_agg(hour || ':' || printf('%.6f', avg_ms), ',' ORDER BY hour) FROM ({_RT_TREND_SQL}) t) AS rt_trend""")
 def stats_report(spark, sf_dir):
     """The 13 parts of the record; maps and lists of rows are shown as text."""
-    r = C.stats_report(_calls(spark, sf_dir), _pings(spark, sf_dir), AS_OF, AS_OF_30, digits=(6, 6))
+    return _report_text(C.stats_report(_calls(spark, sf_dir), _pings(spark, sf_dir), AS_OF, AS_OF_30,
+                                       digits=(6, 6)))
 
+
+def _report_text(r):
     def text(col, show):
         return F.array_join(F.transform(col, show), ",").alias(col)
 
@@ -269,3 +291,37 @@ def ping_normalise(spark, sf_dir):
         F.when(u % 8 == 0, F.lit("1.0")).alias("hdr_version"),
     )
     return C.normalise_pings(raw).drop("timestamp")
+
+
+# ---- the same figures from an event log: newest partitions first ------------------
+
+@query("log_avg_bot_last1000", ORACLE["avg_bot_last1000"])
+def log_avg_bot_last1000(spark, sf_dir):
+    return C.avg_bot_last(_logs(spark, sf_dir)[0]).select(r6("avg_bot_probability").alias("avg_bot_probability"))
+
+
+@query("log_avg_rt_last1000", ORACLE["avg_rt_last1000"])
+def log_avg_rt_last1000(spark, sf_dir):
+    return C.avg_rt_last(_logs(spark, sf_dir)[0]).select(r6("avg_response_time_ms").alias("avg_response_time_ms"))
+
+
+@query("log_last_bot_probs", ORACLE["last_bot_probs"])
+def log_last_bot_probs(spark, sf_dir):
+    return C.last_scores(_logs(spark, sf_dir)[0], "bot_probability")
+
+
+@query("log_last_image_risks", ORACLE["last_image_risks"])
+def log_last_image_risks(spark, sf_dir):
+    return C.last_scores(_logs(spark, sf_dir)[0], "image_risk_score")
+
+
+@query("log_recent_calls", ORACLE["recent_calls"])
+def log_recent_calls(spark, sf_dir):
+    r = C.recent_calls(_logs(spark, sf_dir)[0])
+    return r.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+@query("log_stats_report", ORACLE["stats_report"])
+def log_stats_report(spark, sf_dir):
+    calls, pings = _logs(spark, sf_dir)
+    return _report_text(C.stats_report(calls, pings, AS_OF, AS_OF_30, digits=(6, 6)))

@@ -46,10 +46,10 @@ SPLIT_SCHEMA = T.StructType([
     T.StructField("split", T.StringType(), True),
 ])
 
-# Event-log tables (append-only; written partitioned by UTC day).
+# Event-log tables (append-only; written partitioned by UTC day, whose wall clock the time stamps are).
 CALLS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
-    T.StructField("timestamp", T.TimestampType(), False),
+    T.StructField("timestamp", T.TimestampNTZType(), False),
     T.StructField("endpoint", T.StringType(), False),
     T.StructField("response_time_ms", T.DoubleType(), True),
     T.StructField("bot_probability", T.DoubleType(), True),
@@ -61,7 +61,7 @@ CALLS_SCHEMA = T.StructType([
 
 PINGS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
-    T.StructField("timestamp", T.TimestampType(), False),
+    T.StructField("timestamp", T.TimestampNTZType(), False),
     T.StructField("extension_id", T.StringType(), True),
     T.StructField("version", T.StringType(), True),
 ])

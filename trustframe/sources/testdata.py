@@ -45,6 +45,17 @@ def image_risk_of(id_col: Column) -> Column:
     return _grid(id_col, IMG_MULT)
 
 
+def listing(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of every file of a table: what a result kept for it depends on."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and line items per customer (pre-aggregated per order before the join)."""
     li = (table(spark, sf_dir, "lineitem")
