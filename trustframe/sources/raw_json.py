@@ -1,10 +1,9 @@
 """Raw account dumps: JSON array files, single objects or NDJSON -> VARIANT rows.
 
-A JSON array file is one record per file for the text reader; it is split
-into elements with ``from_json(value, 'array<string>')`` and each element is
-parsed on its own (``try_parse_json``), because a whole file parsed as one
-VARIANT is limited to 128 MiB.  Array files are one task each, so at scale
-the splittable NDJSON layout (one element per line) is the one to use.
+Every element is parsed on its own (``try_parse_json``), because a VARIANT is
+limited to 128 MiB.  Array files are split over many tasks by ``json_array``;
+what does not parse stays as an element without value, so it shows up among
+the rejects.
 """
 
 from __future__ import annotations
@@ -12,25 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-VARIANT_BYTES = 16 << 20   # longest text parsed whole to tell a broken array
+from .json_array import elements
 
 
 def read_raw_accounts(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
-    """-> DataFrame[idx BIGINT, v VARIANT]; ``layout`` is ``array`` or ``ndjson``."""
+    """-> DataFrame[idx BIGINT, v VARIANT]; ``layout`` is ``array`` or ``ndjson``.
+
+    ``idx`` is the element's position in its array file.  A broken-off file
+    keeps its whole elements and gives one without value.
+    """
     if layout == "ndjson":
         lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
         return lines.select(F.monotonically_increasing_id().alias("idx"),
                             F.try_parse_json("value").alias("v"))
-    files = spark.read.text(path, wholetext=True)
-    root = F.regexp_replace("value", r"^[\ufeff\s]+", "")
-    # a root object is one element; a root array is split into its elements; a file that
-    # is neither (truncated, garbage) is one unparseable element, so it shows up as a reject
-    array = F.when(F.try_parse_json(root).isNotNull() | (F.length(root) > VARIANT_BYTES),
-                   F.from_json(root, "array<string>"))
-    elems = F.when(root.startswith("{"), F.array(root)).otherwise(F.coalesce(array, F.array(root)))
-    return (files.select(F.posexplode(elems).alias("idx", "raw"))
-            .select(F.col("idx").cast("bigint"), F.try_parse_json("raw").alias("v")))
+    return elements(spark, path).select("idx", F.try_parse_json("raw").alias("v"))
 
 
 def _is_object(v) -> F.Column:
