@@ -109,8 +109,8 @@ def test_bytes_that_are_no_text_have_no_tokens():
 
 
 def test_cuts_are_common_ends():
-    assert ta.cuts([1, 3, 6], [2, 3, 6]) == [(0, 2, 0, 2), (2, 3, 2, 3)]
-    assert ta.cuts([4], [1, 2, 4]) == [(0, 1, 0, 3)] and ta.cuts([], []) == []
+    assert list(ta.cuts([1, 3, 6], [2, 3, 6])) == [(3, 0, 2, 0, 2), (6, 2, 3, 2, 3)]
+    assert list(ta.cuts([4], [1, 2, 4])) == [(4, 0, 1, 0, 3)] and list(ta.cuts([], [])) == []
 
 
 def test_repeated_rows_and_empty_table(spark, plain):

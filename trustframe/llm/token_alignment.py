@@ -24,12 +24,14 @@ shuffle.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 import struct
 from array import array
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import accumulate
 
@@ -41,8 +43,8 @@ from pyspark.sql import types as T
 from .common import append_columns, salted_lookup, written
 
 # parts whose alignment a worker remembers, and that it encodes at once
-MEMO_PARTS = 150_000
-BATCH_PARTS = 1000
+MEMO_PARTS = 200_000
+BATCH_PARTS = 500
 # rows of the count table that are broadcast, 16 bytes each
 BROADCAST_PAIRS = 4_000_000
 SPACE_MARK = "▁"
@@ -90,47 +92,77 @@ class Aligner:
         self.memo: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
-    def ids(self, some: list[str]):
-        """(A ids, B ids, their byte ends) of each part, None if its bytes do not join to it."""
-        for at in range(0, len(some), BATCH_PARTS):
-            now = [" " + p for p in some[at:at + BATCH_PARTS]]
-            of_b = self.b.encode(some[at:at + BATCH_PARTS], num_threads=1)
-            of_a = self.a.encode_batch_fast(now, add_special_tokens=False)
-            for p, a, b in zip(now, of_a, of_b):
-                a = a.ids
-                a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-                joins = b"".join(a_bytes) == p.encode() == b"".join(b_bytes)
-                yield (a, b, list(accumulate(map(len, a_bytes))),
-                       list(accumulate(map(len, b_bytes)))) if joins else None
+    def groups(self, some: list[str]) -> list[list[tuple] | None]:
+        """(A ids, B ids) of the groups of each part, None if its bytes do not join to it."""
+        out: list = [None] * len(some)
+        alone = [i for i, p in enumerate(some) if p[0].isspace() or p[-1].isspace()]
+        plain = sorted(set(range(len(some))) - set(alone))
+        for at in range(0, len(plain), BATCH_PARTS):
+            now = plain[at:at + BATCH_PARTS]
+            found = self._groups([some[i] for i in now])
+            if found is None:
+                alone += now
+            else:
+                for i, g in zip(now, found):
+                    out[i] = g
+        for i in alone:
+            out[i] = (self._groups([some[i]]) or [None])[0]
+        return out
+
+    def _groups(self, some: list[str]) -> list[list[tuple]] | None:
+        """Groups of parts that stand side by side; None unless all their bytes join."""
+        whole = (" " + " ".join(some)).encode()
+        a = self.a.encode_batch_fast([whole.decode()], add_special_tokens=False)[0].ids
+        b = [i for ids in self.b.encode(some, num_threads=1) for i in ids]
+        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        if not b"".join(a_bytes) == whole == b"".join(b_bytes):
+            return None
+        stops = iter(accumulate(len(p.encode()) + 1 for p in some))
+        out, now, stop = [], [], next(stops)
+        for end, i, k, j, m in cuts(accumulate(map(len, a_bytes)), accumulate(map(len, b_bytes))):
+            now.append((a[i:k], b[j:m]))
+            if end == stop:
+                out.append(now)
+                now, stop = [], next(stops, None)
+        return out if len(out) == len(some) else None
 
     def align(self, texts: list[bytes]) -> list[list[tuple]]:
         """What ``_part`` gives for each part of each text, empty where the bytes do not join."""
+        gc.disable()            # nothing here is cyclic, and a collection walks the whole memo
+        try:
+            return self._align(texts)
+        finally:
+            gc.enable()
+
+    def _align(self, texts: list[bytes]) -> list[list[tuple]]:
         cut = [parts(t) for t in texts]
         now = {p: self.memo.get(p) or self.old.get(p) for c in cut for p in c}
         new = [p for p, known in now.items() if known is None]
-        now.update(zip(new, (x and self._part(*x) for x in self.ids(new))))
+        now.update(zip(new, (g and self._part(g) for g in self.groups(new))))
         self.memo.update(now)
         if len(self.memo) > MEMO_PARTS:
             self.memo, self.old = {}, self.memo
         found = ([now[p] for p in c] for c in cut)
         return [[] if None in f else f for f in found]
 
-    def _part(self, a, b, a_ends, b_ends) -> tuple[str, bytes, bytes]:
+    def _part(self, groups: list[tuple]) -> tuple[str, bytes, bytes]:
         """Listed groups, (pair, times) of their links, (A ids, B ids, groups, links)."""
-        shown, pairs, groups = [], [], cuts(a_ends, b_ends)
-        for i, k, j, m in groups:
-            if k - i == 1 == m - j:
-                shown.append(f"{a[i]}|{b[j]}")
-                pairs += a[i] * self.stride + b[j], 1
-                continue
-            shown.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
-            of_b = Counter(b[j:m])
-            for x, times in Counter(a[i:k]).items():
-                for y, more in of_b.items():
-                    pairs += x * self.stride + y, times * more
-        links = sum(pairs[1::2])
-        return ";".join(shown), array("q", pairs).tobytes(), _COUNTS.pack(
-            len(a), len(b), len(groups), links)
+        shown, pairs, n_a, n_b, n_links, stride = [], [], 0, 0, 0, self.stride
+        for a, b in groups:
+            if len(a) == 1 == len(b):
+                shown.append(f"{a[0]}|{b[0]}")
+                pairs += a[0] * stride + b[0], 1
+            else:
+                shown.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+                of_b = Counter(b)
+                for x, times in Counter(a).items():
+                    for y, more in of_b.items():
+                        pairs += x * stride + y, times * more
+            n_a += len(a)
+            n_b += len(b)
+            n_links += len(a) * len(b)
+        return (";".join(shown), array("q", pairs).tobytes(),
+                _COUNTS.pack(n_a, n_b, len(groups), n_links))
 
 
 def parts(text: bytes) -> list[str]:
@@ -144,15 +176,15 @@ def parts(text: bytes) -> list[str]:
     return _CUT.split(whole) if _ODD.search(whole) else whole.split(" ")
 
 
-def cuts(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """(i, k, j, m): ids i to k of A and j to m of B lie between two common ends."""
-    if a_ends == b_ends:                                    # every end is common
-        return [(i, i + 1, i, i + 1) for i in range(len(a_ends))]
-    a_at = {end: i + 1 for i, end in enumerate(a_ends)}
-    b_at = {end: i + 1 for i, end in enumerate(b_ends)}
-    common = sorted(a_at.keys() & b_at.keys())
-    k, m = [a_at[end] for end in common], [b_at[end] for end in common]
-    return list(zip([0, *k], k, [0, *m], m))
+def cuts(a_ends: Iterable[int], b_ends: Iterable[int]):
+    """(end, i, k, j, m): ids i to k of A and j to m of B lie before a common end, after the last."""
+    a_at = {end: i for i, end in enumerate(a_ends, 1)}
+    b_at = {end: i for i, end in enumerate(b_ends, 1)}
+    i = j = 0
+    for end in sorted(a_at.keys() & b_at.keys()):
+        k, m = a_at[end], b_at[end]
+        yield end, i, k, j, m
+        i, j = k, m
 
 
 @lru_cache(maxsize=2)
@@ -165,12 +197,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str],
           text: str = "text") -> DataFrame:
     """``keep`` plus ``groups`` (array of A ids and B ids) of every text, empty without tokens."""
     def rows(texts):
-        out = []
-        for t in texts:
-            got = list(aligner(a_path, b_path).ids(parts(t)))
-            out.append([] if None in got else [
-                {"a": a[i:k], "b": b[j:m]} for a, b, *ends in got for i, k, j, m in cuts(*ends)])
-        return [out]
+        found = (aligner(a_path, b_path).groups(parts(t)) for t in texts)
+        return [[[] if None in f else [{"a": a, "b": b} for g in f for a, b in g] for f in found]]
 
     ids = T.ArrayType(T.IntegerType(), False)
     return append_columns(docs, keep, text, [T.StructField("groups", T.ArrayType(
