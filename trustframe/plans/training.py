@@ -25,6 +25,7 @@ from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import scoring as SC
 from ..operators.features import align_to_schema, build_features
+from ..operators.labels import drop_target
 from ..operators.validation import validate_accounts
 from ..schemas import FEATURES
 
@@ -195,14 +196,19 @@ def wide_forest(train: DataFrame, n_iter: int = WIDE_ITER, parallelism: int = 8)
 
 # ---- T5: boosted trees -------------------------------------------------------------
 
-def gbt(train: DataFrame, params: dict | None = None):
-    """Boosted trees with the positive class up-weighted by n_human / n_bot."""
+def gbt(train: DataFrame, params: dict | None = None, rows: int = S.SUBSAMPLE_ROWS):
+    """Boosted trees with the positive class up-weighted by n_human / n_bot.
+
+    Fitted on at most ``rows`` rows in the class ratio of all; every column but
+    target and id is an input.
+    """
     p = dict(GBT_PARAMS, **(params or {}))
+    train = S.stratified_subsample(train, rows)
     bal = train.agg(F.count_if(F.col("label") == 0).alias("h"), F.count_if(F.col("label") == 1).alias("b")).first()
     spw = round(bal["h"] / bal["b"], 2) if bal["b"] else 1.0
     data = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(spw)).otherwise(F.lit(1.0)))
     g = GBTClassifier(seed=SEED, weightCol="weight", **p)
-    return Pipeline(stages=[assembler(), g]).fit(packed(data))
+    return Pipeline(stages=[assembler(drop_target(train).columns), g]).fit(packed(data))
 
 
 # ---- T6 / T7: calibration as an ensemble of held-out fits ------------------------------

@@ -15,8 +15,16 @@ DEFAULT_THRESHOLD = 0.30   # fixed value: decision threshold when a run has none
 
 
 def _read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
+    """Columns of the schema in its types; a value that does not fit is null, as in a CSV scan.
+
+    Parquet files keep their own types, so the cast follows the scan; columns
+    the files lack are null, others are left out.
+    """
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        df = spark.read.parquet(path)
+        have = set(df.columns)
+        return df.select(*((F.col(f.name).try_cast(f.dataType) if f.name in have
+                            else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields))
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
@@ -25,9 +33,10 @@ def read_accounts(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
 
 
 def read_labels(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    df = _read(spark, path, LABELS_SCHEMA, fmt) if fmt == "parquet" else \
-        spark.read.option("header", True).csv(path)
-    return require_columns(df, ["id", "label"])
+    if fmt == "parquet":
+        require_columns(spark.read.parquet(path), ["id", "label"])
+        return _read(spark, path, LABELS_SCHEMA, fmt)
+    return require_columns(spark.read.option("header", True).csv(path), ["id", "label"])
 
 
 def maybe_split(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame | None:
@@ -37,9 +46,10 @@ def maybe_split(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame |
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
         return None
-    df = _read(spark, path, SPLIT_SCHEMA, fmt) if fmt == "parquet" else \
-        spark.read.option("header", True).csv(path)
-    return df if {"id", "split"}.issubset(df.columns) else None
+    df = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).csv(path)
+    if not {"id", "split"}.issubset(df.columns):
+        return None
+    return _read(spark, path, SPLIT_SCHEMA, fmt) if fmt == "parquet" else df
 
 
 def write_accounts(df: DataFrame, path: str, fmt: str = "parquet") -> None:
