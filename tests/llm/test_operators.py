@@ -134,6 +134,21 @@ def test_html_rowspan(rows, text):
     assert html_text.render(f"<table>{rows}</table>") == text
 
 
+def test_html_numbers_of_any_length():
+    huge = "9" * 5000
+    for attr in ("colspan", "rowspan"):
+        text = html_text.render(f"<table><tr><td {attr}={huge}>a<td>b<tr><td>c<td>d</table>")
+        assert text.split() == ["a", "b", "c", "d"]
+    assert html_text.render(f"<ol start={huge}><li>a</ol>").startswith(f"{2**31 - 1}. a")
+    assert html_text.render("<ol start=-1><li>a<li>b<li value=7>c<li>d</ol>") == "-1. a\n0. b\n7. c\n8. d"
+    assert html_text.render("<ol start=x><li value=y>a</ol>") == "1. a"
+
+
+def test_html_wide_characters_align():
+    text = html_text.render("<table><tr><td>日本<td>x<tr><td>abcd<td>y</table>")
+    assert text == "日本  x\nabcd  y"
+
+
 def test_html_table(spark, sf_dir):
     got = QUERIES["op2_html_text"](spark, sf_dir)
     assert got.count() == len(table(spark, sf_dir, "pages"))

@@ -26,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import unicodedata
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -81,6 +82,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^ \t\n
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:{_S}*={_S}*(?:\"([^\"]*)\"?|'([^']*)'?|({_BARE}))?)?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+_INTEGER = re.compile(r"\s*([+-]?)0*(\d{1,12})", re.ASCII)
+# limits of HTML itself for spans; counts of lists are 32-bit numbers
+MOST_COLUMNS, MOST_ROWS, MOST_COUNT = 1000, 65534, 2**31 - 1
 GAP = 2
 
 
@@ -280,7 +284,11 @@ class Page:
 
 
 def _width(s: str) -> int:
-    return len(s)
+    """Columns of a text; wide East Asian characters take two, combining marks none."""
+    if s.isascii():
+        return len(s)
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1
+               for c in s)
 
 
 def _placed(rows: list) -> list[list[tuple[int, list[str], int]]]:
@@ -327,11 +335,20 @@ def table_lines(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str
         for k in range(max([0, *(len(lines) for _, lines, _ in row)])):
             text = ""
             for c, lines, _ in row:
-                text = text.ljust(starts[c]) + (lines[k] if k < len(lines) else "")
+                text += " " * (starts[c] - _width(text)) + (lines[k] if k < len(lines) else "")
             out.append(text.rstrip())
     return out
 
 
+def _number(text: str, otherwise: int, most: int) -> int:
+    """The integer of an attribute, at most ``most`` either way; digits beyond that are not read."""
+    m = _INTEGER.match(text)
+    if m is None:
+        return otherwise
+    n = int(m[2]) if len(m[2]) <= len(str(most)) else most
+    return -min(n, most) if m[1] == "-" else min(n, most)
+
+
 def _hidden(tag: str, a: dict) -> bool:
     return (tag in INVISIBLE or "hidden" in a or tag == "dialog" and "open" not in a
             or tag == "input" or "style" in a and bool(_GONE.search(a["style"].lower())))
@@ -374,19 +391,20 @@ def render(source: str) -> str:
                 if not tables[-1] or tables[-1][-1] is None:
                     tables[-1].append([])
                 span, down = a.get("colspan", "1"), a.get("rowspan", "1")
-                tables[-1][-1].append([None, min(max(int(span), 1), 100) if span.isdecimal() else 1,
-                                       min(int(down), 65534) if down.isdecimal() else 1])
+                tables[-1][-1].append([None, max(_number(span, 1, MOST_COLUMNS), 1),
+                                       _number(down, 1, MOST_ROWS) if down.isdecimal() else 1])
                 flows.append(Page())
             elif what in BLOCK:
                 (page.gap if what in SPACED and not (what in ("ul", "ol") and lists)
                  else page.end_line)()
                 if what in ("ul", "ol", "menu"):
                     start = a.get("start", "1")
-                    lists.append(int(start) if what == "ol" and start.isdecimal() else
-                                 1 if what == "ol" else None)
+                    lists.append(_number(start, 1, MOST_COUNT) if what == "ol" else None)
                     page.indent.append(0)
                 elif what == "li":
                     n = lists[-1] if lists else None
+                    if n is not None:
+                        n = _number(a.get("value", ""), n, MOST_COUNT)
                     page.marker = "* " if n is None else f"{n}. "
                     if lists and n is not None:
                         lists[-1] = n + 1
