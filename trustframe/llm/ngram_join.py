@@ -183,30 +183,41 @@ def _star_pairs(shared: DataFrame, rows: DataFrame) -> DataFrame:
 def _block_pairs(members: DataFrame) -> DataFrame:
     """(a, b) of members of one posting, different roots, whose parts differ little enough.
 
-    ``members``: sig, n, node, root, size, parts.
+    ``members``: sig, n, pivot, place (of the signature in its set's list),
+    high (whether the set is in the instance's lower band), node, root, size, parts.
+    A pair comes once, from the first signature it shares in the higher of its
+    bands' instances, and not with the pivot, which it has met.
     """
     bounded_batches(members.sparkSession)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = (members.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    placed = (members.where("node <> pivot")
+                     .withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
                      .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
                      .select("sig", F.least("mine", "other").alias("i"),
-                             F.greatest("mine", "other").alias("j"), "mine", "node", "root", "size",
-                             "parts"))
+                             F.greatest("mine", "other").alias("j"), "mine", "place", "high", "node",
+                             "root", "size", "parts"))
     key = ["sig", "i", "j"]
 
     def near(rows: pa.Table):
-        node, root, size, mine = (rows.column(c).to_numpy() for c in ("node", "root", "size", "mine"))
+        node, root, size, mine, place = (rows.column(c).to_numpy() for c in (
+            "node", "root", "size", "mine", "place"))
+        high = np.array(rows.column("high").to_pylist(), bool)
         apart = rows.column("i")[0] != rows.column("j")[0]
         parts = rows.column("parts").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         for x in range(len(node) - 1):
             later = slice(x + 1, None)
-            fits = (root[later] != root[x]) & ((parts[later] != parts[x]).sum(axis=1)
-                                               <= (size[later] + size[x]) * (DEN - NUM) // (DEN + NUM))
+            fits = (root[later] != root[x]) & (place[later] == place[x]) & ~(high[later] & high[x])
             if apart:
                 fits &= mine[later] != mine[x]
-            hits = node[later][fits]
-            if len(hits):
-                yield np.minimum(hits, node[x]), np.maximum(hits, node[x])
+            at = np.flatnonzero(fits) + x + 1
+            same = parts[at] == parts[x]
+            few = (~same).sum(axis=1) <= (size[at] + size[x]) * (DEN - NUM) // (DEN + NUM)
+            at, same = at[few], same[few].reshape(few.sum(), parts.shape[1] // PARTS, PARTS)
+            if len(at):
+                agree = np.stack([same[:, :, list(s)].all(axis=2) for s in _SUBSETS], axis=2)
+                hits = node[at[agree.reshape(len(at), -1).argmax(axis=1) == place[x]]]
+                if len(hits):
+                    yield np.minimum(hits, node[x]), np.maximum(hits, node[x])
 
     def run(batches):
         held = []
@@ -228,7 +239,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
             held = [rows.slice(cut[-1])]
 
     return (placed.repartition(*key).sortWithinPartitions(*key)
-                  .mapInArrow(run, "a long, b long").distinct())
+                  .mapInArrow(run, "a long, b long"))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, doc_id: str,
@@ -275,13 +286,17 @@ def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str = "doc
     rest = (shared.where("n > 2").join(roots, "node", "left").withColumn("root", root)
                   .withColumn("least", F.min("root").over(of))
                   .withColumn("most", F.max("root").over(of)).where("least <> most"))
-    rest = written(rest.select("sig", "n", "node", "root"), "open")
+    rest = written(rest.select("sig", "n", "pivot", "node", "root"), "open")
     if rest.isEmpty():
         return stars
     members = rest.join(rows.select("node", F.col("n_shingles").alias("size"), "band", "low",
                                     "high"), "node")
+    upper = F.col("sig").bitwiseAND(F.lit(1)) != F.col("band").bitwiseAND(F.lit(1)).cast("long")
     parts = _parts_of(F.col("sig"), F.col("band"), F.col("low"), F.col("high"))
-    pairs = _block_pairs(members.select("sig", "n", "node", "root", "size", parts.alias("parts")))
+    listed = _signatures(parts, F.col("band") + upper.cast("int"))
+    pairs = _block_pairs(members.select(
+        "sig", "n", "pivot", (F.array_position(listed, F.col("sig")) - 1).alias("place"),
+        upper.alias("high"), "node", "root", "size", parts.alias("parts")))
     return stars.unionByName(written(_verified(pairs, rows, docs, doc_id, text), "rest"))
 
 
