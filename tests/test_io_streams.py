@@ -228,3 +228,56 @@ def test_stream_call_log_has_ids_days_and_no_invented_latency(spark):
     assert log.count() == 2 and "day" in log.columns
     assert log.filter("response_time_ms IS NOT NULL").count() == 0
     assert log.select("id").distinct().count() == 2
+
+
+# ---- chained stateful steps ------------------------------------------------------
+
+def _pings_by_day(spark, days, ids_of):
+    """One ordered list of pings per day: (id, timestamp, extension_id, version)."""
+    out = []
+    for d in range(days):
+        rows = [(100 * d + i, f"2024-01-{d + 1:02} {i % 24:02}:{i % 60:02}:00", e, "1.0")
+                for i, e in enumerate(ids_of(d))]
+        out.append(spark.createDataFrame(rows, "id long, timestamp string, extension_id string, version string")
+                   .withColumn("timestamp", F.to_timestamp_ntz("timestamp")))
+    return out
+
+
+def test_install_counts_equal_batch_counts_and_survive_a_restart(spark):
+    from trustframe.streaming import streams as R
+    R.rocksdb_state(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == R.ROCKSDB
+    folder, out, ckpt = (_uniq(spark, f"installs-{x}") for x in ("in", "out", "ckpt"))
+    days = _pings_by_day(spark, 9, lambda d: [None, *(f"e{4 * d + i}" for i in range(6)), f"e{4 * d}"])
+
+    def run():      # every call is a new query on the old checkpoint
+        df = R.install_counts(R.file_stream(spark, folder, "pings", max_files=1), horizon="2 days").select(
+            F.date_format("w.start", "yyyy-MM-dd").alias("day"), "new_installs")
+        q = (df.writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    for some in (days[:4], days[4:7], days[7:]):
+        for d in some:
+            d.coalesce(1).write.mode("append").parquet(f"{folder}/pings.parquet")
+        run()
+    got = {r["day"]: r["new_installs"] for r in spark.read.parquet(out).collect()}
+
+    want, seen = {}, set()
+    for d, rows in enumerate(days):
+        new = {r["extension_id"] for r in rows.collect()} - seen - {None}
+        seen |= new
+        want[f"2024-01-{d + 1:02}"] = len(new)
+    assert len(got) >= 5 and got == {d: want[d] for d in got}      # the others are still open
+
+
+def test_active_installs_of_closed_days(spark):
+    from trustframe.streaming import streams as R
+    R.rocksdb_state(spark)
+    folder = _uniq(spark, "active")
+    days = _pings_by_day(spark, 4, lambda d: [None] + [f"e{i % (d + 2)}" for i in range(12)])
+    for d in days:
+        d.coalesce(1).write.mode("append").parquet(f"{folder}/pings.parquet")
+    got = R.run_available(R.active_installs(R.file_stream(spark, folder, "pings")).select(
+        F.dayofmonth("w.start").alias("day"), "installs"), "active", mode="append")
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (2, 3), (3, 4)]

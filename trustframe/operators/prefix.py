@@ -1,17 +1,17 @@
 """Parallel running sums (prefix sums) without a single-task window.
 
 ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task.
-Here the order key is cut into ordered buckets at approximate quantiles
-(``percentile_approx``; only the split points, a few hundred numbers per
-group, reach the driver, as with Spark's own range partitioner).  Then:
+Here the order key is cut into ordered ranges at approximate quantiles
+(``percentile_approx``; only the split points reach the driver, as with Spark's
+own range partitioner).  The number of ranges follows from the counted rows, so
+a task holds about ``ROWS_PER_RANGE`` of them however many there are.  Then:
 
-1. per-bucket totals: a grouped aggregate with at most ``n_buckets`` rows per
-   group;
-2. bucket offsets: a window over that bounded table;
-3. within-bucket running sums: a window partitioned by bucket, i.e. one task
-   per bucket, all in parallel; offset + running = global prefix sum.
+1. per-range totals: a grouped aggregate with one row per range and group;
+2. range offsets: a window over that bounded table;
+3. running sums inside the ranges: a window partitioned by range, i.e. one task
+   per range, all in parallel; offset + running = global prefix sum.
 
-Rows with equal order keys always fall in the same bucket, so the result is
+Rows with equal order keys always fall in the same range, so the result is
 exact; the split points only affect balance, never values.  Intended for
 inputs that are already aggregated to one row per order key (score or value
 histograms), where duplicates of a hot value have been combined map-side.
@@ -19,42 +19,69 @@ histograms), where duplicates of a hot value have been combined map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-DEFAULT_BUCKETS = 256
+ROWS_PER_RANGE = 200_000
+LEAST_RANGES = 16            # small inputs still use several tasks
+
+
+def ranges_for(rows: int, per_range: int = ROWS_PER_RANGE) -> int:
+    """How many ranges keep a range of ``rows`` rows near ``per_range``."""
+    return max(LEAST_RANGES, -(-rows // per_range))
 
 
-def _split_points(df: DataFrame, order: str, groups: tuple[str, ...], n: int):
+def _split_points(df: DataFrame, order: str, groups: tuple[str, ...], n: int) -> list:
     probs = [i / n for i in range(1, n)]
     sk = df.groupBy(*groups).agg(F.percentile_approx(order, probs, 10 * n).alias("_splits"))
-    return sk, sk.collect()  # bounded: (#groups) x (n - 1) numbers
+    return sk.collect()  # (#groups) x (n - 1) numbers
+
+
+def _below(splits: Column, heads: Column, step: int, v: Column) -> Column:
+    """How many split points are below ``v``: whole steps first, then inside one."""
+    whole = F.greatest(F.size(F.filter(heads, lambda s: s < v)) - 1, F.lit(0)) * step
+    rest = F.filter(F.slice(splits, whole + 1, F.lit(step)), lambda s: s < v)
+    return whole + F.size(rest)
+
+
+def with_ranges(df: DataFrame, order: str, groups: tuple[str, ...] = (), descending: bool = False,
+                per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``df`` with ``_b``, the ordered range of the row in its group."""
+    n = ranges_for(df.count(), per_range)
+    kind = f"array<{df.schema[order].dataType.simpleString()}>"
+    points = [(*(r[g] for g in groups), sorted(set(r["_splits"] or [])))
+              for r in _split_points(df, order, groups, n)]
+    step = max(1, math.isqrt(n))
+    if groups:
+        schema = T.StructType([*(df.schema[g] for g in groups),
+                               T.StructField("_splits", T.ArrayType(df.schema[order].dataType)),
+                               T.StructField("_heads", T.ArrayType(df.schema[order].dataType))])
+        table = df.sparkSession.createDataFrame([(*p, p[-1][::step]) for p in points], schema)
+        cut = df.join(F.broadcast(table), list(groups))
+    else:
+        found = points[0][-1] if points else []
+        cut = df.withColumns({name: F.array(*map(F.lit, x)).cast(kind)
+                              for name, x in (("_splits", found), ("_heads", found[::step]))})
+    below = _below(F.col("_splits"), F.col("_heads"), step, F.col(order))
+    bucket = (F.size("_splits") - below) if descending else below
+    return cut.withColumn("_b", bucket).drop("_splits", "_heads")
 
 
 def running_sums(df: DataFrame, order: str, value_cols: list[str], *,
                  descending: bool = False, groups: tuple[str, ...] = (),
-                 n_buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_") -> DataFrame:
+                 per_range: int = ROWS_PER_RANGE, prefix: str = "cum_") -> DataFrame:
     """Add inclusive running sums ``cum_<v>`` of ``value_cols`` in ``order`` order.
 
     ``groups`` restart the sums per group (the group count must be small,
     e.g. a feature name); rows with equal ``order`` in a group must be
     pre-combined by the caller.
     """
-    sk, rows = _split_points(df, order, groups, n_buckets)
     v = F.col(order)
-    below = F.size(F.filter(F.col("_splits"), lambda s: s < v))
-    n_split = F.size(F.col("_splits"))
-    bucket = (n_split - below) if descending else below
-    if groups:
-        splits = df.sparkSession.createDataFrame(rows, sk.schema)
-        b = df.join(F.broadcast(splits), list(groups))
-    else:
-        pts = sorted(set(rows[0]["_splits"] or [])) if rows else []
-        b = df.withColumn("_splits", F.array(*[F.lit(x) for x in pts]).cast(
-            f"array<{df.schema[order].dataType.simpleString()}>"))
-    b = b.withColumn("_b", bucket).drop("_splits")
-
+    b = with_ranges(df, order, groups, descending, per_range)
     totals = b.groupBy(*groups, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*groups, "_b", *[

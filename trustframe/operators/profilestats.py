@@ -46,7 +46,7 @@ def exact_quantiles(long: DataFrame, probs=DESCRIBE_PROBS, group: str = "feature
 
 def histogram_quantiles(h: DataFrame, probs=DESCRIBE_PROBS, group: str = "feature",
                         value: str = "value") -> DataFrame:
-    cum = running_sums(h, value, ["c"], groups=(group,), n_buckets=64)
+    cum = running_sums(h, value, ["c"], groups=(group,))
     n = h.groupBy(group).agg(F.sum("c").alias("n"))
     qs = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
     targets = n.select(group, "n", qs).withColumn("pos", F.col("q") * (F.col("n") - 1))

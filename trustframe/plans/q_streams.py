@@ -64,6 +64,20 @@ def stream_installs_count(spark, sf_dir):
     return stream_installs(spark, sf_dir).agg(F.count(F.lit(1)).alias("unique_installs"))
 
 
+@query("stream_active_installs", with_fixtures(["extension_pings"], """
+SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS day, COUNT(DISTINCT extension_id) AS installs
+FROM extension_pings WHERE extension_id IS NOT NULL
+GROUP BY 1, date_trunc('day', timestamp)
+HAVING date_trunc('day', timestamp) + INTERVAL 1 DAY
+       <= (SELECT MAX(timestamp) - INTERVAL 1 HOUR FROM extension_pings WHERE extension_id IS NOT NULL)"""))
+def stream_active_installs(spark, sf_dir):
+    """Installs per day out of the chained stream: the days that the watermark has closed."""
+    R.rocksdb_state(spark)
+    pings = td.pings_from_events(R.file_stream(spark, sf_dir, "events"))
+    days = R.active_installs(pings).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "installs")
+    return R.run_available(days, "active", mode="append")
+
+
 def _scoring_sql() -> str:
     from .q_accounts import HEUR_SQL
     return with_fixtures(["scored"], f"""SELECT id, p AS bot_probability,

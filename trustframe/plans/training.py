@@ -25,9 +25,11 @@ from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import scoring as SC
 from ..operators.features import align_to_schema, build_features
+from ..operators.isotonic import pooled
 from ..operators.labels import drop_target
 from ..operators.validation import validate_accounts
 from ..schemas import FEATURES
+from ..session import materialize
 
 SEED = 42
 # rows per partition of a training table: small tables train in one task without a shuffle per level
@@ -86,7 +88,7 @@ def evaluate(pred: DataFrame, score: str = "score", cut: float | None = None) ->
     """
     ls = pred.select("label", F.col(score).alias("score")).cache()
     try:
-        curve = M.pr_curve(ls, n_buckets=64).cache()
+        curve = M.pr_curve(ls).cache()
         best = M.best_threshold(curve).first()
         th = best["threshold"] if best and best["threshold"] is not None else DEFAULT_CUT
         th = th if cut is None else cut
@@ -236,12 +238,10 @@ def calibrated_forest(train: DataFrame, method: str = "sigmoid", folds: int = CA
         base = base_pipeline.fit(fit_part)
         s = base.transform(held).select("label", p_bot(held).alias("s"))
         if method == "isotonic":
-            # equal scores pool first: the fit is the same and the last step, which runs on
-            # the driver, gets one row per distinct score
-            pooled = s.groupBy("s").agg(F.avg("label").alias("label"),
-                                        F.count(F.lit(1)).cast("double").alias("w"))
+            # the levels are found on the executors; the estimator's last step, which runs on
+            # the driver, gets two rows per level
             cal = IsotonicRegression(featuresCol="s", labelCol="label", weightCol="w",
-                                     predictionCol="cal").fit(pooled)
+                                     predictionCol="cal").fit(pooled(materialize(s)))
         else:
             pl = _platt_rows(s, "s")
             va = VectorAssembler(inputCols=["s"], outputCol="sv")

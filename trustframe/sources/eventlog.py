@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import commits
+
 COMMITS = "_commits"
 # partitions of a read named one by one; more are named by their days and joined
 NAMED_PARTITIONS = 1000
@@ -50,13 +52,15 @@ class EventLog:
         and for nulls where it allows none; nothing becomes visible then.
         """
         self._check_columns(df)
-        if self._fs().exists(self._commit_path(token)):
+        commit = self._commit_path(token)
+        if commits.exists(self.spark, commit):
             return False
         attempt = f"b-{uuid.uuid4().hex}"
         (df.select(*self.schema.names).withColumn("day", F.to_date("timestamp"))
            .withColumn("batch", F.lit(attempt))
            .write.mode("append").partitionBy("day", "batch").parquet(self.path))
-        return self._commit(token, attempt, self._partitions_of(attempt))
+        lines = self._partitions_of(attempt)
+        return commits.publish(self.spark, commit, "".join(json.dumps(x) + "\n" for x in lines))
 
     def _check_columns(self, df: DataFrame) -> None:
         got = {f.name: f.dataType for f in df.schema.fields}
@@ -80,18 +84,6 @@ class EventLog:
             raise RefusedRows(f"null in {', '.join(nulls)}")
         return [r | {"day": str(r["day"]), "batch": attempt} for r in rows]
 
-    def _commit(self, token: str, attempt: str, lines: list[dict]) -> bool:
-        """Create the commit file unless another attempt did; the file appears whole or not at all."""
-        fs, path = self._fs(), self._commit_path(token)
-        draft = self._hadoop_path(f"{self.path}/{COMMITS}/.{attempt}")
-        out = fs.create(draft, False)
-        out.write(bytearray("".join(json.dumps(x) + "\n" for x in lines).encode()))
-        out.close()
-        if not fs.exists(path) and fs.rename(draft, path):
-            return True
-        fs.delete(draft, False)
-        return False
-
     # ---- reading ----------------------------------------------------------------
 
     def partitions(self) -> DataFrame:
@@ -101,7 +93,7 @@ class EventLog:
             T.StructField("day", T.DateType()), T.StructField("batch", T.StringType()),
             *(T.StructField(c, T.LongType()) for c in ("rows", "min_id", "max_id")), *counts])
         folder = f"{self.path}/{COMMITS}"
-        if not self._fs().exists(self._hadoop_path(folder)):
+        if not commits.exists(self.spark, folder):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).json(folder)
 
@@ -151,16 +143,9 @@ class EventLog:
 
     def _written(self, attempt: str) -> bool:
         """Whether an attempt left any file (an empty batch has none)."""
-        found = self._fs().globStatus(self._hadoop_path(f"{self.path}/day=*/batch={attempt}"))
+        found = commits.filesystem(self.spark, self.path).globStatus(
+            commits.hadoop_path(self.spark, f"{self.path}/day=*/batch={attempt}"))
         return found is not None and len(found) > 0
 
-    def _hadoop_path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self):
-        return self._hadoop_path(self.path).getFileSystem(
-            self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _commit_path(self, token: str):
-        name = hashlib.sha256(token.encode()).hexdigest()
-        return self._hadoop_path(f"{self.path}/{COMMITS}/{name}.json")
+    def _commit_path(self, token: str) -> str:
+        return f"{self.path}/{COMMITS}/{hashlib.sha256(token.encode()).hexdigest()}.json"

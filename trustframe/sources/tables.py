@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..operators.labels import require_columns
 from ..schemas import ACCOUNTS_SCHEMA, LABELS_SCHEMA, SPLIT_SCHEMA
+from . import commits
 
+VERSIONS = "_versions"
 DEFAULT_THRESHOLD = 0.30   # fixed value: decision threshold when a run has none
 
 
@@ -74,23 +77,44 @@ def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def save_run(model, summary: dict, run_dir: str, spark: SparkSession,
-             features: list[str] | None = None) -> None:
+             features: list[str] | None = None) -> int:
     """Persist the model, a one-row JSON summary (threshold included) and the feature schema.
 
     ``model`` is a fitted pipeline or the (base, calibrator) members of a
-    calibrated one, each saved in a folder of its own.
+    calibrated one, each saved in a folder of its own.  A save writes a folder
+    that no other uses and becomes a version of the run with its commit file,
+    so readers see the whole of it or the version before.  Returns the version.
     """
+    attempt = f"saved/{uuid.uuid4().hex}"
     members = model if isinstance(model, list) else [(model, None)]
     for i, pair in enumerate(members):
         for name, part in zip(("base", "calibrator"), pair):
             if part is not None:
-                part.write().overwrite().save(f"{run_dir}/model/{i}/{name}")
+                part.write().save(f"{run_dir}/{attempt}/model/{i}/{name}")
     kinds = [[type(p).__name__ if p is not None else None for p in pair] for pair in members]
     for name, value in (("summary", summary), ("schema", {
             "feature_list": features, "members": kinds, "train_rows": summary.get("train_rows"),
             "test_rows": summary.get("test_rows"), "best_params": summary.get("best_params")})):
         spark.createDataFrame([(json.dumps(value),)], "value string") \
-            .coalesce(1).write.mode("overwrite").text(f"{run_dir}/{name}")
+            .coalesce(1).write.text(f"{run_dir}/{attempt}/{name}")
+    version = max(versions(spark, run_dir), default=0) + 1
+    while not commits.publish(spark, f"{run_dir}/{VERSIONS}/{version:09}", attempt):
+        version += 1
+    return version
+
+
+def versions(spark: SparkSession, run_dir: str) -> list[int]:
+    """The committed versions of a run, ascending."""
+    return [int(n) for n in commits.names(spark, f"{run_dir}/{VERSIONS}") if n.isdigit()]
+
+
+def _saved_at(spark: SparkSession, run_dir: str, version: int | None) -> str:
+    """The folder of a version, by default the newest."""
+    known = versions(spark, run_dir)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"no committed run {'' if version is None else version} in {run_dir}")
+    path = f"{run_dir}/{VERSIONS}/{known[-1] if version is None else version:09}"
+    return f"{run_dir}/{spark.read.text(path).first()[0]}"
 
 
 def _json_of(spark: SparkSession, path: str) -> dict:
@@ -101,8 +125,13 @@ def _json_of(spark: SparkSession, path: str) -> dict:
         return {}
 
 
-def load_run(run_dir: str, spark: SparkSession, default_threshold: float = DEFAULT_THRESHOLD):
-    """(model or members, summary, threshold, schema); the threshold falls back to 0.30."""
+def load_run(run_dir: str, spark: SparkSession, default_threshold: float = DEFAULT_THRESHOLD,
+             version: int | None = None):
+    """(model or members, summary, threshold, schema) of the newest or a given version.
+
+    The threshold falls back to 0.30.
+    """
+    run_dir = _saved_at(spark, run_dir, version)
     from pyspark.ml import PipelineModel
     from pyspark.ml.regression import IsotonicRegressionModel
     kinds = {"PipelineModel": PipelineModel, "IsotonicRegressionModel": IsotonicRegressionModel}

@@ -2,7 +2,8 @@
 
 * hourly / daily call counts: tumbling ``window`` + watermark (state bounded
   by the watermark; late rows beyond it are dropped);
-* unique installs: ``dropDuplicatesWithinWatermark`` on the extension id;
+* unique installs: ``dropDuplicatesWithinWatermark`` on the extension id, and its
+  windowed count as a second stateful step (append mode, state in RocksDB);
 * stream scoring: stateless validate/score per micro-batch, two sinks written
   from ``foreachBatch``, idempotent by batch id (a replayed batch overwrites
   its own partition).
@@ -24,6 +25,7 @@ from ..session import scratch_path
 
 HOUR_DELAY = "1 hour"       # fixed value: production lateness bound of the log windows
 INSTALL_HORIZON = "31 days"  # dedupe horizon of extension ids
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -66,6 +68,32 @@ def unique_install_events(pings: DataFrame, horizon: str = INSTALL_HORIZON) -> D
             .dropDuplicatesWithinWatermark(["extension_id"]))
 
 
+def install_counts(pings: DataFrame, size: str = "1 day", horizon: str = INSTALL_HORIZON) -> DataFrame:
+    """New installs per window (``w``, ``new_installs``): two chained stateful steps.
+
+    The first ping of an id passes the deduplication and is counted in its
+    window; a window is emitted once the watermark has passed it, so its count
+    is final (append mode).  An id that returns after the horizon counts again.
+    """
+    return (unique_install_events(pings, horizon).groupBy(F.window("timestamp", size).alias("w"))
+            .agg(F.count(F.lit(1)).alias("new_installs")))
+
+
+def active_installs(pings: DataFrame, size: str = "1 day", delay: str = HOUR_DELAY) -> DataFrame:
+    """Different ids per window (``w``, ``installs``), emitted once when the watermark passes it."""
+    seen = (with_event_time(pings).filter(F.col("extension_id").isNotNull())
+            .withWatermark("timestamp", delay)
+            .select("extension_id", F.window("timestamp", size).alias("w"))
+            .dropDuplicates(["extension_id", "w"]))
+    return seen.groupBy("w").agg(F.count(F.lit(1)).alias("installs"))
+
+
+def rocksdb_state(spark: SparkSession) -> None:
+    """Keep the state of streams started from now on in RocksDB, outside the JVM heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def _upsert_sink(path: str):
     """foreachBatch writer: each batch lands in its own partition (replay-safe)."""
     def write(batch: DataFrame, batch_id: int) -> None:
