@@ -36,7 +36,7 @@ def test_tuned_and_wide_search(parts):
     assert T.evaluate(_score(cv.bestModel, test))["roc_auc"] >= AUC
     assert set(T.best_params(cv)) == set(T.TUNED_GRID)
     wide = T.wide_forest(train, n_iter=1)
-    assert T.evaluate(_score(wide.bestModel, test), cut=T.DEFAULT_CUT)["roc_auc"] >= AUC
+    assert T.evaluate(wide.transform(test), cut=T.DEFAULT_CUT)["roc_auc"] >= AUC
 
 
 def test_boosted_trees(parts):
@@ -53,7 +53,7 @@ def test_calibration(parts, method):
 
 def test_importance_finds_the_two_features(parts, spark):
     train, _ = parts
-    model = T._forest_pipeline(30)[0].fit(T.packed(T.weighted(train)))
+    model = T.calibrated_blocks(train, trees=30)
     rows = permutation_importance(model, train, repeats=2).collect()
     assert len(rows) == len(T.FEATURES)
     mean = {r["feature"]: r["importance_mean"] for r in rows}

@@ -82,8 +82,7 @@ def forest_tuned_metrics(spark, sf_dir):
 @query("forest_wide_metrics")
 def forest_wide_metrics(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    m = T.wide_forest(train)
-    return _metrics(spark, "forest_wide", _scored(getattr(m, "bestModel", m), test), T.DEFAULT_CUT)
+    return _metrics(spark, "forest_wide", T.wide_forest(train).transform(test), T.DEFAULT_CUT)
 
 
 @query("gbt_metrics")
@@ -138,10 +137,10 @@ def run_summary(spark, sf_dir):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
+    """Importance for the calibrated forest, on all bots and as many humans."""
     from .importance import permutation_importance as pi
     data = _frame(spark, sf_dir)
-    pipe, _ = T._forest_pipeline(T.TUNED_TREES)
-    model = pipe.fit(T.packed(T.weighted(data)))
+    model = _fitted(spark, sf_dir, "blocks", lambda: T.calibrated_blocks(S.balanced_sample(data)))
     return pi(model, S.equal_sample(data))
 
 

@@ -9,7 +9,10 @@ needs no shuffle of its own.  Evaluation reuses the histogram metrics of
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -21,6 +24,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import forest as FO
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import scoring as SC
@@ -30,6 +34,7 @@ from ..operators.labels import drop_target
 from ..operators.validation import validate_accounts
 from ..schemas import FEATURES
 from ..session import materialize
+from ..sources import commits
 
 SEED = 42
 # rows per partition of a training table: small tables train in one task without a shuffle per level
@@ -47,6 +52,7 @@ TUNED_FOLDS = 3
 WIDE_RANGES = {"numTrees": (200, 600), "maxDepth": (4, 20), "minInstancesPerNode": (1, 10),
                "featureSubsetStrategy": (0.3, 1.0)}      # upper ends excluded
 WIDE_ITER = 25
+SEARCH_WAVE = 5            # candidates of one job; results are kept after each
 GBT_PARAMS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
               "featureSubsetStrategy": "0.8"}
 CAL_FOLDS = 3
@@ -170,30 +176,69 @@ def best_params(cv) -> dict:
     return {p.name: v for p, v in cv.getEstimatorParamMaps()[best].items()}
 
 
-def wide_candidates(n: int, rf: RandomForestClassifier) -> list[dict]:
+def wide_candidates(n: int) -> list[dict]:
+    """``n`` draws of trees, depth, least rows of a child and share of features."""
     rnd = random.Random(SEED)
-    out = []
-    for _ in range(n):
-        out.append({rf.numTrees: rnd.randrange(*WIDE_RANGES["numTrees"]),
-                    rf.maxDepth: rnd.randrange(*WIDE_RANGES["maxDepth"]),
-                    rf.minInstancesPerNode: rnd.randrange(*WIDE_RANGES["minInstancesPerNode"]),
-                    rf.featureSubsetStrategy: f"{rnd.uniform(*WIDE_RANGES['featureSubsetStrategy']):.4f}"})
+    return [{"trees": rnd.randrange(*WIDE_RANGES["numTrees"]), "depth": rnd.randrange(*WIDE_RANGES["maxDepth"]),
+             "least": rnd.randrange(*WIDE_RANGES["minInstancesPerNode"]),
+             "share": round(rnd.uniform(*WIDE_RANGES["featureSubsetStrategy"]), 4), "seed": SEED + i}
+            for i in range(n)]
+
+
+@dataclass
+class Search:
+    """Best forest of a search, its settings, and every candidate with its F1 per fold."""
+    model: FO.Forest
+    params: dict | None
+    results: list[tuple[dict, list[float]]]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+
+def _known(spark, folder: str | None) -> dict[str, list[float]]:
+    """F1 per fold of the candidates that a search in this folder has finished."""
+    out = {}
+    for name in commits.names(spark, folder) if folder else []:
+        out[name] = json.loads(spark.read.text(f"{folder}/{name}").first()[0])["f1"]
     return out
 
 
-def wide_forest(train: DataFrame, n_iter: int = WIDE_ITER, parallelism: int = 8):
-    """Wide random search; skipped (plain fit) with < 3 rows or one class."""
+def wide_forest(train: DataFrame, n_iter: int = WIDE_ITER, results: str | None = None) -> Search:
+    """Wide random search by the F1 of the bot class; skipped (plain fit) with < 3 rows or one class.
+
+    The training rows are binned once; every (candidate, fold, block of trees)
+    is a row of one job.  Imputing and scaling are left out: the features have
+    no gaps, and a tree's cuts do not depend on scale.  With ``results``, a
+    folder on shared storage, finished candidates are kept and a search that is
+    started again goes on after them.  At most ``forest.FIT_ROWS`` rows.
+    """
+    spark = train.sparkSession
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
-    pipe, rf = _forest_pipeline(300, scaled=True)
     if n < 3 or len(counts) < 2:
-        return pipe.fit(packed(weighted(train)))
+        plain = {"trees": BASELINE_TREES, "depth": MAX_DEPTH, "least": 1, "share": 0.2, "seed": SEED}
+        return Search(FO.fit(spark, FO.sample_of(train, list(FEATURES)), [plain])[0], None, [])
     small = min(counts.values())
     k = S.n_folds(small, n)
-    folds = S.fold_column(weighted(train), k, label="label" if small >= 2 else None)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=wide_candidates(min(n_iter, n), rf),
-                        evaluator=_f1_bot(), foldCol="fold", numFolds=k, parallelism=parallelism, seed=SEED)
-    return cv.fit(packed(folds))
+    sample = FO.sample_of(S.fold_column(train, k, label="label" if small >= 2 else None), list(FEATURES), fold="fold")
+    cands = wide_candidates(min(n_iter, n))
+    state = hashlib.sha256(sample.x.tobytes() + sample.y.tobytes() + sample.fold.tobytes()).hexdigest()
+    name = [hashlib.sha256(f"{state}{json.dumps(c, sort_keys=True)}".encode()).hexdigest() for c in cands]
+    done = _known(spark, results)
+    todo = [i for i in range(len(cands)) if name[i] not in done]
+    for at in range(0, len(todo), SEARCH_WAVE):
+        wave = todo[at:at + SEARCH_WAVE]
+        f1 = {i: [0.0] * k for i in wave}
+        for r in FO.cross_validated_f1(spark, sample, [cands[i] for i in wave], k).collect():
+            f1[wave[r["job"]]][r["fold"]] = r["f1"]
+        for i in wave:
+            done[name[i]] = f1[i]
+            if results:
+                commits.publish(spark, f"{results}/{name[i]}", json.dumps({"params": cands[i], "f1": f1[i]}))
+    scored = [(c, done[x]) for c, x in zip(cands, name)]
+    best = max(scored, key=lambda r: sum(r[1]))[0]
+    return Search(FO.fit(spark, sample, [best])[0], best, scored)
 
 
 # ---- T5: boosted trees -------------------------------------------------------------
@@ -226,6 +271,14 @@ def _platt_rows(df: DataFrame, score: str) -> DataFrame:
     return df.select(F.col(score), F.inline(rows))
 
 
+def _sigmoid(scores: DataFrame) -> PipelineModel:
+    """Platt's sigmoid over column ``s``."""
+    va = VectorAssembler(inputCols=["s"], outputCol="sv")
+    lr = LogisticRegression(featuresCol="sv", labelCol="y", weightCol="w", regParam=0.0,
+                            standardization=False, tol=1e-10, maxIter=200)
+    return Pipeline(stages=[va, lr]).fit(_platt_rows(scores, "s"))
+
+
 def calibrated_forest(train: DataFrame, method: str = "sigmoid", folds: int = CAL_FOLDS,
                       base_pipeline=None, trees: int = TUNED_TREES):
     """k (base, calibrator) pairs; predictions average the calibrated probabilities."""
@@ -243,11 +296,7 @@ def calibrated_forest(train: DataFrame, method: str = "sigmoid", folds: int = CA
             cal = IsotonicRegression(featuresCol="s", labelCol="label", weightCol="w",
                                      predictionCol="cal").fit(pooled(materialize(s)))
         else:
-            pl = _platt_rows(s, "s")
-            va = VectorAssembler(inputCols=["s"], outputCol="sv")
-            lr = LogisticRegression(featuresCol="sv", labelCol="y", weightCol="w", regParam=0.0,
-                                    standardization=False, tol=1e-10, maxIter=200)
-            cal = Pipeline(stages=[va, lr]).fit(pl)
+            cal = _sigmoid(s)
         members.append((base, cal))
     data.unpersist()
     return members
@@ -272,6 +321,23 @@ def predict_calibrated(members, df: DataFrame, method: str = "sigmoid") -> DataF
     return out.withColumn("score", avg)
 
 
+def calibrated_blocks(train: DataFrame, folds: int = CAL_FOLDS, trees: int = TUNED_TREES,
+                      share: float = 0.2) -> FO.Calibrated:
+    """The sigmoid-calibrated forest with its trees grown in blocks; at most ``forest.FIT_ROWS`` rows."""
+    spark = train.sparkSession
+    sample = FO.sample_of(S.fold_column(train, folds, name="cal_fold"), list(FEATURES), fold="cal_fold")
+    jobs = [{"trees": trees, "depth": MAX_DEPTH, "least": 1, "share": share, "seed": SEED + i, "leave_out": i}
+            for i in range(folds)]
+    members = []
+    for i, forest in enumerate(FO.fit(spark, sample, jobs)):
+        held = sample.fold == i
+        s = spark.createDataFrame(list(zip(sample.y[held].tolist(), forest.scores(sample.x[held]).tolist())),
+                                  "label int, s double")
+        lr = _sigmoid(s).stages[-1]
+        members.append((forest, float(lr.coefficients[0]), float(lr.intercept)))
+    return FO.Calibrated(members)
+
+
 def calibration_plan(train: DataFrame) -> tuple[str | None, int]:
     """(method, folds) by the reference's rule: no calibration with < 10 rows or
     one class (or a class under 2 rows); isotonic from 100 rows, else sigmoid;
