@@ -353,6 +353,22 @@ def test_toxicity_sample_keeps_rare_toxic_rows(spark):
     assert model.share == 0.01 and model.index.labels.sum() >= 10
 
 
+def test_toxicity_sample_is_bounded_where_ids_repeat(spark):
+    """Fourteen labelled ids with hundreds of different texts: the bound is on texts."""
+    texts = [f"text number {i} of many" for i in range(400)]
+    docs = docs_of(spark, texts + texts[:50], [i % 14 for i in range(450)])
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(14)], "doc_id long, toxic int")
+    rows, there = toxicity._sample(docs, labels, "doc_id", "text", "toxic", F.lit(True), 20)
+    assert rows.count() == 450
+    kept = toxicity._bounded(rows, there, 20).collect()
+    assert len(kept) == 20 == len({r["__text"] for r in kept}) and sum(r["__y"] for r in kept) == 10
+    assert {r["__id"] for r in kept if r["__y"]} <= {0, 1, 2}
+    model = toxicity.fit(docs, labels, F.lit(True), max_rows=20)
+    assert len(model.index.labels) == 15 and toxicity.score(docs, model, ["doc_id"]).count() == 450
+    every = toxicity._bounded(rows, there, 1000).collect()
+    assert len(every) == 400
+
+
 def test_toxicity_edges(spark):
     texts = [f"good words {i}" for i in range(60)] + [f"scum {i}" for i in range(20)]
     docs = docs_of(spark, [*texts, None, "", "scum " * 50_000])

@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Fit (labels are read here only): a sample of at most ``max_fit_rows`` labelled
-rows, the smallest hashes of doc_id; toxic rows may take half of it, or what the
-others leave, so rare ones are kept.  Repeated texts count once.  Terms are all
+Fit (labels are read here only): a sample of at most ``MAX_FIT_ROWS`` labelled
+texts, the smallest hashes of doc_id; toxic ones may take half of it, or what the
+others leave, so rare ones are kept.  Repeated texts count once, also where one
+id comes with many.  Terms are all
 words and the first four characters of longer words.  Weights are (1 + ln tf) *
 idf * strength, length 1.  The strength of a term grows with the G-squared
 statistic of its excess among toxic rows, up to 1 at the bound 2 ln(terms) +
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -49,6 +51,7 @@ LEAST_DENSE = 32       # and in more than so many
 DENSE = 16             # a term in more than one of so many examples is a row of a matrix
 TOGETHER = 64          # texts searched with one matrix product
 EVIDENCE = 3
+MODEL_PART_BYTES = 8 << 20
 
 _WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32
                     for c in bytes(range(256)).lower())
@@ -259,7 +262,7 @@ def _logit(p: float) -> float:
 def _sample(docs, labels, doc_id, text, label, fit_on, max_rows) -> tuple[DataFrame, list[int]]:
     """The fit rows (text, label, id) and all labelled ids by label, others first.
 
-    The labelled ids sent out are at most ``max_rows``.
+    The labelled ids sent out are at most ``max_rows``; their texts are bounded by ``_bounded``.
     """
     y = (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & fit_on)
                .groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("__y"))
@@ -278,14 +281,37 @@ def _sample(docs, labels, doc_id, text, label, fit_on, max_rows) -> tuple[DataFr
     return rows, there
 
 
+def _bounded(rows: DataFrame, there: list[int], max_rows: int) -> DataFrame:
+    """One row per distinct text of ``rows``, at most ``max_rows`` of them.
+
+    An id may come with many texts and a text with many ids: texts are chosen
+    by their hash and smallest id before any of them moves.
+    """
+    keyed = rows.withColumn("__h", F.xxhash64(F.coalesce("__text", F.lit(""))))
+    keys = written(keyed.groupBy("__h").agg(F.max("__y").alias("__y"), F.min("__id").alias("__id")),
+                   "toxicity-keys")
+    n = {r["__y"]: r["count"] for r in keys.groupBy("__y").count().collect()}
+    if sum(n.values()) > max_rows:
+        toxic = min(n.get(1, 0), max(max_rows // 2, max_rows - n.get(0, 0)))
+        first = [keys.where(F.col("__y") == k).orderBy(F.xxhash64("__id"), "__id", "__h").limit(m)
+                 for k, m in ((0, max_rows - toxic), (1, toxic))]
+        keys = written(first[0].unionByName(first[1]), "toxicity-keys")
+    chosen = F.broadcast(keys.select("__h", F.col("__id").alias("__least"), F.col("__y").alias("__any")))
+    return (keyed.join(chosen, "__h").groupBy("__h")
+                 .agg(F.min_by("__text", "__id").alias("__text"), F.max("__any").alias("__y"),
+                      F.min("__least").alias("__id")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_on, doc_id: str = "doc_id", text: str = "text",
         label: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> Model:
-    """Learn from labelled rows that meet ``fit_on`` (a condition on ``labels``)."""
+    """Learn from labelled rows that meet ``fit_on`` (a condition on ``labels``).
+
+    Terms are counted where the texts are; one task builds the index of the
+    bounded sample, and the driver only passes its bytes on.
+    """
     bounded_batches(docs.sparkSession)
     rows, there = _sample(docs, labels, doc_id, text, label, fit_on, max_rows)
-    rows = (rows.withColumn("__h", F.xxhash64(F.coalesce("__text", F.lit(""))))
-                .groupBy("__h").agg(F.min_by("__text", "__id").alias("__text"),
-                                    F.max("__y").alias("__y"), F.min("__id").alias("__id")))
+    rows = _bounded(rows, there, max_rows)
 
     def count(batches):
         known: dict[bytes, tuple] = {}
@@ -296,15 +322,28 @@ def fit(docs: DataFrame, labels: DataFrame, fit_on, doc_id: str = "doc_id", text
                 "h": pa.array([h.tobytes() for h, _ in got], pa.binary()),
                 "n": pa.array([n.tobytes() for _, n in got], pa.binary())})
 
+    def build(batches):
+        ids, y, h, n = [], [], [], []
+        for batch in batches:
+            ids += batch.column("id").to_pylist()
+            y += batch.column("y").to_pylist()
+            h += [np.frombuffer(x, np.int64) for x in batch.column("h").to_pylist()]
+            n += [np.frombuffer(x, np.int32) for x in batch.column("n").to_pylist()]
+        made = pickle.dumps(learnt(ids, y, h, n, there))
+        for part, at in enumerate(range(0, len(made), MODEL_PART_BYTES)):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()),
+                                              "bytes": pa.array([made[at:at + MODEL_PART_BYTES]], pa.binary())})
+
     counted = written(rows.select("__id", "__y", "__text")
                           .mapInArrow(count, "id long, y int, h binary, n binary"), "toxicity-sample")
-    ids, y, h, n = [], [], [], []
-    for r in counted.orderBy("id").toLocalIterator():     # the terms of the bounded sample
-        ids.append(r["id"])
-        y.append(r["y"])
-        h.append(np.frombuffer(r["h"], np.int64))
-        n.append(np.frombuffer(r["n"], np.int32))
-    return learnt(ids, y, h, n, there)
+    model = written(counted.repartition(1).sortWithinPartitions("id")
+                           .mapInArrow(build, "part int, bytes binary"), "toxicity-model")
+    if model.isEmpty():                     # no labelled row: nothing reached the task
+        return learnt([], [], [], [], there)
+    made = bytearray()
+    for r in model.orderBy("part").toLocalIterator():
+        made += r["bytes"]
+    return pickle.loads(made)
 
 
 def learnt(ids: list[int], y: list[int], h: list, n: list, there: list[int]) -> Model:
