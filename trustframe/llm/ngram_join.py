@@ -51,6 +51,7 @@ NUM, DEN = 90, 100
 PARTS, DIFFER = 3, 1
 BLOCK = 2048
 BROADCAST_IDS = 2_000_000
+PLACES = 1 << 15              # a signature holds its place modulo this
 _SUBSETS = list(combinations(range(PARTS), PARTS - DIFFER))
 # odd multipliers of the shingle hash
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD]
@@ -131,7 +132,7 @@ def sets(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 
 def _signatures(parts: Column, instance: Column) -> Column:
-    """Signatures of one instance; their lowest bit is that of the instance."""
+    """Signatures of one instance: a hash, the place in this list (``PLACES``), the instance's lowest bit."""
     def of(i: Column) -> Column:
         return F.array(*(F.xxhash64(instance, i, F.lit(o), *(F.get(parts, i * PARTS + p) for p in s))
                          for o, s in enumerate(_SUBSETS)))
@@ -139,7 +140,8 @@ def _signatures(parts: Column, instance: Column) -> Column:
     every = F.flatten(F.transform(
         F.sequence(F.lit(0), F.floor(F.size(parts) / PARTS).cast("int") - 1), of))
     bit = instance.bitwiseAND(F.lit(1)).cast("long")
-    marked = F.transform(every, lambda s: F.shiftleft(F.shiftright(s, 1), 1).bitwiseOR(bit))
+    marked = F.transform(every, lambda s, i: F.shiftleft(F.shiftright(s, 16), 16).bitwiseOR(
+        F.shiftleft(i.bitwiseAND(F.lit(PLACES - 1)).cast("long"), 1)).bitwiseOR(bit))
     return F.when(F.size(parts) > 0, marked).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -153,6 +155,13 @@ def postings(rows: DataFrame) -> DataFrame:
                  .withColumn("pivot", F.min("node").over(shared)).where("n > 1"))
 
 
+def _only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` of the given distinct nodes, where they lie if the nodes are counted to be few."""
+    nodes = written(nodes, "needed")
+    few = nodes.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+
+
 def _parts_of(sig: Column, band: Column, low: Column, high: Column) -> Column:
     """The parts a set has in the instance of a signature."""
     same = sig.bitwiseAND(F.lit(1)) == band.bitwiseAND(F.lit(1)).cast("long")
@@ -167,7 +176,9 @@ def _star_pairs(shared: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b) of members and smallest members that can link by their sizes and parts."""
     pairs = (shared.where("node <> pivot").groupBy(F.col("node").alias("a"), "pivot")
                    .agg(F.min("sig").alias("sig")))
-    side = rows.select("node", "n_shingles", "band", "low", "high")
+    pairs = written(pairs, "met")
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("pivot")).distinct()
+    side = _only(rows, need).select("node", "n_shingles", "band", "low", "high")
     a = side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"),
                     F.struct("band", "low", "high").alias("pa"))
     b = side.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("nb"),
@@ -183,8 +194,8 @@ def _star_pairs(shared: DataFrame, rows: DataFrame) -> DataFrame:
 def _block_pairs(members: DataFrame) -> DataFrame:
     """(a, b) of members of one posting, different roots, whose parts differ little enough.
 
-    ``members``: sig, n, pivot, place (of the signature in its set's list),
-    high (whether the set is in the instance's lower band), node, root, size, parts.
+    ``members``: sig, n, pivot, high (whether the set is in the instance's lower
+    band), node, root, size, parts.
     A pair comes once, from the first signature it shares in the higher of its
     bands' instances, and not with the pivot, which it has met.
     """
@@ -194,19 +205,19 @@ def _block_pairs(members: DataFrame) -> DataFrame:
                      .withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
                      .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
                      .select("sig", F.least("mine", "other").alias("i"),
-                             F.greatest("mine", "other").alias("j"), "mine", "place", "high", "node",
-                             "root", "size", "parts"))
+                             F.greatest("mine", "other").alias("j"), "mine", "high", "node", "root",
+                             "size", "parts"))
     key = ["sig", "i", "j"]
 
     def near(rows: pa.Table):
-        node, root, size, mine, place = (rows.column(c).to_numpy() for c in (
-            "node", "root", "size", "mine", "place"))
+        node, root, size, mine = (rows.column(c).to_numpy() for c in ("node", "root", "size", "mine"))
+        place = rows.column("sig")[0].as_py() >> 1 & PLACES - 1
         high = np.array(rows.column("high").to_pylist(), bool)
         apart = rows.column("i")[0] != rows.column("j")[0]
         parts = rows.column("parts").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         for x in range(len(node) - 1):
             later = slice(x + 1, None)
-            fits = (root[later] != root[x]) & (place[later] == place[x]) & ~(high[later] & high[x])
+            fits = (root[later] != root[x]) & ~(high[later] & high[x])
             if apart:
                 fits &= mine[later] != mine[x]
             at = np.flatnonzero(fits) + x + 1
@@ -215,7 +226,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
             at, same = at[few], same[few].reshape(few.sum(), parts.shape[1] // PARTS, PARTS)
             if len(at):
                 agree = np.stack([same[:, :, list(s)].all(axis=2) for s in _SUBSETS], axis=2)
-                hits = node[at[agree.reshape(len(at), -1).argmax(axis=1) == place[x]]]
+                hits = node[at[agree.reshape(len(at), -1).argmax(axis=1) % PLACES == place]]
                 if len(hits):
                     yield np.minimum(hits, node[x]), np.maximum(hits, node[x])
 
@@ -247,7 +258,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, doc_id: str,
     """The pairs whose whole shingle sets are similar enough."""
     pairs = written(pairs, "candidates")
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = written(rows.join(need, "node", "left_semi").select("node", "doc_id", "set_id"), "held")
+    held = written(_only(rows.select("node", "doc_id", "set_id"), need), "held")
     ids = held.select("doc_id").distinct()
     if held.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -278,7 +289,7 @@ def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str = "doc
     ``rows``: node, doc_id, set_id, n_shingles, band, low and high of every row;
     ``nodes``: the one node that stands for each distinct set.
     """
-    shared = written(postings(rows.join(nodes.select("node"), "node", "left_semi")), "postings")
+    shared = written(postings(_only(rows, nodes.select("node"))), "postings")
     stars = written(_verified(_star_pairs(shared, rows), rows, docs, doc_id, text), "stars")
     roots = components(stars, "a", "b").withColumnRenamed("root", "found")
     of = Window.partitionBy("sig")
@@ -289,14 +300,12 @@ def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str = "doc
     rest = written(rest.select("sig", "n", "pivot", "node", "root"), "open")
     if rest.isEmpty():
         return stars
-    members = rest.join(rows.select("node", F.col("n_shingles").alias("size"), "band", "low",
-                                    "high"), "node")
+    members = rest.join(_only(rows, rest.select("node").distinct()).select(
+        "node", F.col("n_shingles").alias("size"), "band", "low", "high"), "node")
     upper = F.col("sig").bitwiseAND(F.lit(1)) != F.col("band").bitwiseAND(F.lit(1)).cast("long")
     parts = _parts_of(F.col("sig"), F.col("band"), F.col("low"), F.col("high"))
-    listed = _signatures(parts, F.col("band") + upper.cast("int"))
-    pairs = _block_pairs(members.select(
-        "sig", "n", "pivot", (F.array_position(listed, F.col("sig")) - 1).alias("place"),
-        upper.alias("high"), "node", "root", "size", parts.alias("parts")))
+    pairs = _block_pairs(members.select("sig", "n", "pivot", upper.alias("high"), "node", "root",
+                                        "size", parts.alias("parts")))
     return stars.unionByName(written(_verified(pairs, rows, docs, doc_id, text), "rest"))
 
 
