@@ -116,3 +116,17 @@ def test_pings_are_normalised_and_kept_once(spark, path):
     rows = {r["id"]: (r["extension_id"], r["version"]) for r in got.read().collect()}
     assert rows == {1: ("h1", "1.0"), 2: ("e2", "1.1"), 3: (None, None)}
     assert C.unique_installs(got.read()).first()[0] == 2 and got.total().first()[0] == 3
+
+
+def test_numbered_rows_go_on_from_the_largest_id(spark, sf_dir, path):
+    calls = td.api_calls(spark, sf_dir)
+    same_second = calls.withColumn("timestamp", F.lit("2024-03-01 10:00:00").cast("timestamp_ntz"))
+    C.append_log(calls, path, "old")
+    top = calls.agg(F.max("id")).first()[0]
+    assert C.append_log(same_second.limit(50).drop("id").withColumn("id", F.lit(7).cast("long")), path, "a", number=True)
+    later = same_second.limit(30).withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(F.col("id") % 3))
+    C.append_log(later, path, "b", number=True)
+    new = [r["id"] for r in C.call_log(spark, path).read().where(F.col("id") > top).orderBy("id").collect()]
+    assert new == list(range(top + 1, top + 81))
+    last = C.call_log(spark, path).read().where(F.col("id") > top + 50).orderBy("id").collect()
+    assert [r["timestamp"] for r in last] == sorted(r["timestamp"] for r in last)

@@ -292,6 +292,7 @@ def call_log_rows(scored: DataFrame, endpoint: str = "analyze_user") -> DataFram
     ``event_id`` where the caller has one; otherwise it holds the call's second
     in the upper bits and a hash of account, endpoint and time below, so a
     second call for an account gets a new id and newer calls sort later.
+    ``append_log(..., number=True)`` replaces them by the log's own sequence.
     """
     def opt(c, t):
         return F.col(c) if c in scored.columns else F.lit(None).cast(t)
@@ -336,9 +337,13 @@ def _utc_clock(df: DataFrame) -> DataFrame:
     return df
 
 
-def append_log(df: DataFrame, path: str, token: str | None = None) -> bool:
-    """Append calls to the day-partitioned log, once per ``token`` (a new one by default)."""
-    return call_log(df.sparkSession, path).append(_utc_clock(df), token or uuid.uuid4().hex)
+def append_log(df: DataFrame, path: str, token: str | None = None, number: bool = False) -> bool:
+    """Append calls to the day-partitioned log, once per ``token`` (a new one by default).
+
+    ``number`` gives the rows ids that go on from the log's largest, by time.
+    """
+    log, rows = call_log(df.sparkSession, path), _utc_clock(df)
+    return log.append(log.numbered(rows) if number else rows, token or uuid.uuid4().hex)
 
 
 def append_pings(raw: DataFrame, path: str, token: str | None = None) -> bool:

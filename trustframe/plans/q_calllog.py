@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import calllog as C
 from ..operators import scoring as S
+from ..operators import sketches as K
 from ..session import scratch_path
 from ..sources import testdata as td
 from .oracle_fixtures import with_fixtures
@@ -115,6 +117,16 @@ def slow_hours(spark, sf_dir):
     return C.slow_hours(C.rt_trend(_calls(spark, sf_dir), AS_OF, digits=6))
 
 
+# the log with four times the latencies: about half of its hours are above the target
+_SLOW_SQL = _RT_TREND_SQL.replace("AVG(response_time_ms)", "AVG(response_time_ms * 4)")
+
+
+@_q("slow_hours_loaded", ["api_calls"], f"SELECT * FROM ({_SLOW_SQL}) x WHERE avg_ms > 200")
+def slow_hours_loaded(spark, sf_dir):
+    calls = _calls(spark, sf_dir).withColumn("response_time_ms", F.col("response_time_ms") * 4)
+    return C.slow_hours(C.rt_trend(calls, AS_OF, digits=6))
+
+
 def _last_sql(col, n=500):
     return f"""SELECT id, {col} FROM api_calls WHERE {col} IS NOT NULL ORDER BY id DESC LIMIT {n}"""
 
@@ -257,6 +269,46 @@ def risk_share(spark, sf_dir):
     return s.select("risk_level", "count", r6("share").alias("share"))
 
 
+# ---- describe from per-day sketches (A3 at scale) -------------------------------
+
+_SKETCHED = ("response_time_ms", "bot_probability", "image_risk_score")
+
+
+def _sketch_sql() -> str:
+    """One pass over all rows with the sketch's buckets."""
+    parts = ", ".join(f"""
+  min(CASE WHEN cum > floor({p} * (n - 1)) THEN bucket END) AS lo{i},
+  min(CASE WHEN cum > ceil({p} * (n - 1)) THEN bucket END) AS hi{i}""" for i, p in enumerate((0.1, 0.5, 0.9)))
+
+    def rep(b):
+        return (f"greatest(min, least(max, CASE WHEN {b} = 0 THEN 0.0 ELSE sign({b}) * pow({K.GROWTH!r}, "
+                f"abs({b}) - {K.SHIFT}) * {2 / (K.GROWTH + 1)!r} END))")
+    out = ", ".join(f"""
+  ROUND({rep(f'lo{i}')} + ({rep(f'hi{i}')} - {rep(f'lo{i}')})
+        * ({p} * ("count" - 1) - floor({p} * ("count" - 1))), 6) AS p{round(p * 100)}"""
+                    for i, p in enumerate((0.1, 0.5, 0.9)))
+    each = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM api_calls" for c in _SKETCHED)
+    return f"""
+, u AS ({each})
+, h AS (SELECT feature, CASE WHEN v = 0 THEN 0 ELSE CAST(sign(v) AS BIGINT)
+          * CAST(ceil(ln(abs(v)) / {math.log(K.GROWTH)!r}) + {K.SHIFT} AS BIGINT) END AS bucket, COUNT(*) AS c
+        FROM u WHERE v IS NOT NULL GROUP BY 1, 2)
+, b AS (SELECT *, SUM(c) OVER (PARTITION BY feature ORDER BY bucket) AS cum, SUM(c) OVER (PARTITION BY feature) AS n FROM h)
+, q AS (SELECT feature, {parts} FROM b GROUP BY feature)
+, m AS (SELECT feature, COUNT(v) AS "count", AVG(v) AS mean, STDDEV_SAMP(v) AS std, MIN(v) AS min, MAX(v) AS max
+        FROM u WHERE v IS NOT NULL GROUP BY feature)
+SELECT feature, "count", ROUND(mean, 6) AS mean, ROUND(std, 6) AS std, ROUND(min, 6) AS min, ROUND(max, 6) AS max, {out}
+FROM m JOIN q USING (feature)"""
+
+
+@_q("calls_describe_sketch", ["api_calls"], _sketch_sql())
+def calls_describe_sketch(spark, sf_dir):
+    """Statistics of the call log out of one sketch per day."""
+    days = K.sketch(_calls(spark, sf_dir).withColumn("day", F.to_date("timestamp")), _SKETCHED, ("day",))
+    d = K.describe(K.merge(days))
+    return d.select("feature", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "max", "p10", "p50", "p90")])
+
+
 # ---- call-log sink projections (S8 / B3, S9) ----------------------------------
 
 @_q("log_calls_projection", ["scored"], """SELECT id, 'analyze_user' AS endpoint,

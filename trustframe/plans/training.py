@@ -77,8 +77,11 @@ def weighted(df: DataFrame) -> DataFrame:
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """The table in as few partitions as its rows need; tree levels run one job each."""
-    return df.coalesce(max(1, -(-df.count() // FIT_ROWS_PER_PARTITION)))
+    """The table in as few partitions as its rows need; tree levels run one job each.
+
+    The rows move, so what comes before keeps its own parallelism.
+    """
+    return df.repartition(max(1, -(-df.count() // FIT_ROWS_PER_PARTITION)))
 
 
 def p_bot(_frame: DataFrame | None = None, prob_col: str = "probability") -> F.Column:

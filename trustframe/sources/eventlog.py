@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import materialize
 from . import commits
 
 COMMITS = "_commits"
@@ -62,6 +63,24 @@ class EventLog:
         lines = self._partitions_of(attempt)
         return commits.publish(self.spark, commit, "".join(json.dumps(x) + "\n" for x in lines))
 
+    def numbered(self, df: DataFrame, order: str = "timestamp") -> DataFrame:
+        """``df`` with ids of its own: on from the log's largest, rising by ``order``.
+
+        Rows are cut into ranges of ``order``; a row's id is the log's largest,
+        plus the rows of the ranges before, plus its place in its range.  For
+        one writer at a time: two that number at once take the same ids.
+        """
+        largest = self.partitions().agg(F.max("max_id")).first()[0] or 0
+        ranges = materialize(df.drop("id").repartitionByRange(order)
+                               .withColumn("_range", F.spark_partition_id()))
+        held = ranges.groupBy("_range").agg(F.count("*").alias("_rows"))
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        offset = held.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+        place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+        return (ranges.join(F.broadcast(offset), "_range")         # a row per range
+                      .withColumn("id", F.lit(largest) + F.col("_before") + place)
+                      .drop("_range", "_before"))
+
     def _check_columns(self, df: DataFrame) -> None:
         got = {f.name: f.dataType for f in df.schema.fields}
         want = {f.name: f.dataType for f in self.schema.fields}
