@@ -29,10 +29,11 @@ def class_totals(hist: DataFrame) -> DataFrame:
     return hist.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
 
 
-def pr_curve(ls: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def pr_curve(ls: DataFrame, label: str = "label", score: str = "score",
+             n_buckets: int | None = None) -> DataFrame:
     """Per distinct score s: tp/fp of the rule ``score >= s``, precision, recall, F1."""
     h = materialize(score_histogram(ls, label, score))  # read three times below
-    cum = running_sums(h, "score", ["pos", "neg"], descending=True)
+    cum = running_sums(h, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
     tot = class_totals(h)
     P = tot.select("P").scalar()
     tp, fp = F.col("tp"), F.col("fp")

@@ -49,9 +49,9 @@ def _below(splits: Column, heads: Column, step: int, v: Column) -> Column:
 
 
 def with_ranges(df: DataFrame, order: str, groups: tuple[str, ...] = (), descending: bool = False,
-                per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                per_range: int = ROWS_PER_RANGE, n_buckets: int | None = None) -> DataFrame:
     """``df`` with ``_b``, the ordered range of the row in its group."""
-    n = ranges_for(df.count(), per_range)
+    n = n_buckets or ranges_for(df.count(), per_range)
     kind = f"array<{df.schema[order].dataType.simpleString()}>"
     points = [(*(r[g] for g in groups), sorted(set(r["_splits"] or [])))
               for r in _split_points(df, order, groups, n)]
@@ -73,15 +73,17 @@ def with_ranges(df: DataFrame, order: str, groups: tuple[str, ...] = (), descend
 
 def running_sums(df: DataFrame, order: str, value_cols: list[str], *,
                  descending: bool = False, groups: tuple[str, ...] = (),
-                 per_range: int = ROWS_PER_RANGE, prefix: str = "cum_") -> DataFrame:
+                 per_range: int = ROWS_PER_RANGE, n_buckets: int | None = None,
+                 prefix: str = "cum_") -> DataFrame:
     """Add inclusive running sums ``cum_<v>`` of ``value_cols`` in ``order`` order.
 
+    ``n_buckets`` sets the number of ranges; by default it follows from the rows.
     ``groups`` restart the sums per group (the group count must be small,
     e.g. a feature name); rows with equal ``order`` in a group must be
     pre-combined by the caller.
     """
     v = F.col(order)
-    b = with_ranges(df, order, groups, descending, per_range)
+    b = with_ranges(df, order, groups, descending, per_range, n_buckets)
     totals = b.groupBy(*groups, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*groups, "_b", *[

@@ -179,7 +179,7 @@ def best_params(cv) -> dict:
     return {p.name: v for p, v in cv.getEstimatorParamMaps()[best].items()}
 
 
-def wide_candidates(n: int) -> list[dict]:
+def wide_draws(n: int) -> list[dict]:
     """``n`` draws of trees, depth, least rows of a child and share of features."""
     rnd = random.Random(SEED)
     return [{"trees": rnd.randrange(*WIDE_RANGES["numTrees"]), "depth": rnd.randrange(*WIDE_RANGES["maxDepth"]),
@@ -188,15 +188,31 @@ def wide_candidates(n: int) -> list[dict]:
             for i in range(n)]
 
 
+def wide_candidates(n: int, rf: RandomForestClassifier) -> list[dict]:
+    """The same draws as parameters of MLlib's forest."""
+    return [{rf.numTrees: d["trees"], rf.maxDepth: d["depth"], rf.minInstancesPerNode: d["least"],
+             rf.featureSubsetStrategy: f"{d['share']:.4f}"} for d in wide_draws(n)]
+
+
 @dataclass
 class Search:
-    """Best forest of a search, its settings, and every candidate with its F1 per fold."""
-    model: FO.Forest
+    """Best forest of a search, its settings, and every candidate with its F1 (per fold, or the mean)."""
+    model: FO.Forest | PipelineModel
     params: dict | None
     results: list[tuple[dict, list[float]]]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df)
+        out = self.model.transform(df)
+        return out if isinstance(self.model, FO.Forest) else out.withColumn("score", p_bot())
+
+
+def _wide_large(folds: DataFrame, k: int, n_iter: int) -> Search:
+    """The search with MLlib's distributed trees, for tables that no worker should hold."""
+    pipe, rf = _forest_pipeline(BASELINE_TREES, scaled=True)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=wide_candidates(n_iter, rf), evaluator=_f1_bot(),
+                        foldCol="fold", numFolds=k, parallelism=8, seed=SEED).fit(packed(weighted(folds)))
+    results = [({p.name: v for p, v in m.items()}, [f]) for m, f in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
+    return Search(cv.bestModel, best_params(cv), results)
 
 
 def _known(spark, folder: str | None) -> dict[str, list[float]]:
@@ -214,7 +230,8 @@ def wide_forest(train: DataFrame, n_iter: int = WIDE_ITER, results: str | None =
     is a row of one job.  Imputing and scaling are left out: the features have
     no gaps, and a tree's cuts do not depend on scale.  With ``results``, a
     folder on shared storage, finished candidates are kept and a search that is
-    started again goes on after them.  At most ``forest.FIT_ROWS`` rows.
+    started again goes on after them.  Beyond ``forest.FIT_ROWS`` rows MLlib
+    searches.
     """
     spark = train.sparkSession
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -224,8 +241,11 @@ def wide_forest(train: DataFrame, n_iter: int = WIDE_ITER, results: str | None =
         return Search(FO.fit(spark, FO.sample_of(train, list(FEATURES)), [plain])[0], None, [])
     small = min(counts.values())
     k = S.n_folds(small, n)
-    sample = FO.sample_of(S.fold_column(train, k, label="label" if small >= 2 else None), list(FEATURES), fold="fold")
-    cands = wide_candidates(min(n_iter, n))
+    folds = S.fold_column(train, k, label="label" if small >= 2 else None)
+    if n > FO.FIT_ROWS:
+        return _wide_large(folds, k, n_iter)
+    sample = FO.sample_of(folds, list(FEATURES), fold="fold")
+    cands = wide_draws(min(n_iter, n))
     state = hashlib.sha256(sample.x.tobytes() + sample.y.tobytes() + sample.fold.tobytes()).hexdigest()
     name = [hashlib.sha256(f"{state}{json.dumps(c, sort_keys=True)}".encode()).hexdigest() for c in cands]
     done = _known(spark, results)
