@@ -315,7 +315,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ``root`` is one node of the component (null where a set stands alone),
     ``component_id`` the smallest doc_id reachable over links, the own one
     included.  Repeated rows share it; a component whose ids are all null has a
-    null one.  An empty table gives an empty result.
+    null one.  An empty table gives an empty result.  Other columns of ``docs``
+    are not read, whatever their names.
     """
     every = written(sets(docs, [doc_id], text).withColumnRenamed(doc_id, "doc_id")
                     .withColumn("row", F.monotonically_increasing_id()), "sets")

@@ -3,7 +3,9 @@
 A is a byte-level BPE (``tokenizers`` JSON file) over a space and the text, B a
 ``sentencepiece`` model with byte fallback over the text, to which it adds that
 space itself.  The tokens' bytes, joined, must give the space and the text for
-both; texts where they do not, null and empty ones have no tokens.
+both; texts where they do not, null and empty ones have no tokens: counts are
+zero and the list of groups is empty.  Repeated rows count each; an empty table
+gives an empty result; a kept column named like an added one gives way to it.
 
 Method, per text: a dictionary from cumulative byte end to token index for each
 side; the set intersection of their keys, sorted, cuts both id lists into
