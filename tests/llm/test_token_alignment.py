@@ -69,7 +69,8 @@ def expected(groups_of):
 COLS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 TEXTS = [None, "", " ", "a", "  two  spaces ", " lead", "trail ", "tab\there \n\n new\r\nline \x0b x", "naïve café – ﬁ ½",
          "日本語 テキスト 🙂🙂 👩‍👩‍👧 x", "<|endoftext|> <s> </s> <unk> <0x0A> ▁ ▁▁a", "\x00 nul \x1f unit\x85 next　wide",
-         "I'll don't they've 's", "a" * 5000, "ab " * 3000, "🙂" * 400, "don't stop " * 2000, "same words", "same words"]
+         "I'll don't they've 's", "a" * 5000, "ab " * 3000, "one\ntwo\n\nthree \nfour\n five\n", "\nlead", "\n", "x\n's y\n're\n\tz",
+         "x\u2028y z\nw\x00\nv", "🙂" * 400, "don't stop " * 2000, "same words", "same words"]
 
 
 def test_table(spark, sf_dir, plain):

@@ -12,9 +12,9 @@ side; the set intersection of their keys, sorted, cuts both id lists into
 groups; the links of a group are all its pairs of an A and a B occurrence,
 kept as distinct id pairs with their number.
 
-This runs on parts of a text, cut before each single space between two other
-characters: the A pattern ends a match there, no B piece reads across it
-(checked when the model is loaded), so both sides have a token end there and
+This runs on parts of a text, cut before each single space or line end between
+two other characters: the A pattern ends a match there, no B piece reads across
+it (checked when the model is loaded), so both sides have a token end there and
 the groups of the parts are those of the text.  Parts repeat, so each worker
 remembers the alignments of the last ones (a bounded number).
 
@@ -50,8 +50,8 @@ BATCH_PARTS = 500
 # rows of the count table that are broadcast, 16 bytes each
 BROADCAST_PAIRS = 4_000_000
 SPACE_MARK = "▁"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"^ |\s |(?<= )\s| $")                # a space that is no cut
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_ODD = re.compile(r"\s\s|^\s|\s$")                      # white space that may be no cut
 _COUNTS = struct.Struct("4q")
 _BYTE_ENTRY = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -88,8 +88,8 @@ class Aligner:
             of_byte = _BYTE_ENTRY.fullmatch(piece) if self.b.is_byte(i) else None
             self.b_bytes.append(bytes((int(of_byte[1], 16),)) if of_byte
                                 else piece.replace(SPACE_MARK, " ").encode())
-            if SPACE_MARK in piece.lstrip(SPACE_MARK):
-                raise ValueError(f"piece {i} reads across a space: texts cannot be cut there")
+            if SPACE_MARK in piece.lstrip(SPACE_MARK) or "\n" in piece:
+                raise ValueError(f"piece {i} reads across a cut: texts cannot be cut there")
         self.stride = len(self.b_bytes)
         self.memo: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
@@ -97,7 +97,7 @@ class Aligner:
     def groups(self, some: list[str]) -> list[list[tuple] | None]:
         """(A ids, B ids) of the groups of each part, None if its bytes do not join to it."""
         out: list = [None] * len(some)
-        alone = [i for i, p in enumerate(some) if p[0].isspace() or p[-1].isspace()]
+        alone = [i for i, p in enumerate(some) if len(p) < 2 or p[1].isspace() or p[-1].isspace()]
         plain = sorted(set(range(len(some))) - set(alone))
         for at in range(0, len(plain), BATCH_PARTS):
             now = plain[at:at + BATCH_PARTS]
@@ -113,13 +113,17 @@ class Aligner:
 
     def _groups(self, some: list[str]) -> list[list[tuple]] | None:
         """Groups of parts that stand side by side; None unless all their bytes join."""
-        whole = (" " + " ".join(some)).encode()
-        a = self.a.encode_batch_fast([whole.decode()], add_special_tokens=False)[0].ids
-        b = [i for ids in self.b.encode(some, num_threads=1) for i in ids]
+        text = "".join(some)
+        whole = text.encode()
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        b = []
+        for p, ids in zip(some, self.b.encode([p.removeprefix(" ") for p in some], num_threads=1)):
+            # the space that B adds stands for the part's own, or is one too many before a line end
+            b += ids if p[0] == " " else ids[1:]
         a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if not b"".join(a_bytes) == whole == b"".join(b_bytes):
             return None
-        stops = iter(accumulate(len(p.encode()) + 1 for p in some))
+        stops = iter(accumulate(len(p.encode()) for p in some))
         out, now, stop = [], [], next(stops)
         for end, i, k, j, m in cuts(accumulate(map(len, a_bytes)), accumulate(map(len, b_bytes))):
             now.append((a[i:k], b[j:m]))
@@ -168,14 +172,18 @@ class Aligner:
 
 
 def parts(text: bytes) -> list[str]:
-    """Strings whose tokens, one after the other, are those of ``text``; [] if none are due."""
+    """The space and the text, cut where both sides have a token end; [] if no tokens are due."""
     try:
         whole = text.decode()
     except UnicodeDecodeError:
         return []
     if not whole:
         return []
-    return _CUT.split(whole) if _ODD.search(whole) else whole.split(" ")
+    if "\x00" in whole or _ODD.search(whole):
+        return _CUT.split(" " + whole)
+    marked = whole.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+    marked[0] = " " + marked[0]
+    return marked
 
 
 def cuts(a_ends: Iterable[int], b_ends: Iterable[int]):

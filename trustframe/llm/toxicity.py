@@ -323,27 +323,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_on, doc_id: str = "doc_id", text
                 "n": pa.array([n.tobytes() for _, n in got], pa.binary())})
 
     def build(batches):
-        ids, y, h, n = [], [], [], []
+        rows = []
         for batch in batches:
-            ids += batch.column("id").to_pylist()
-            y += batch.column("y").to_pylist()
-            h += [np.frombuffer(x, np.int64) for x in batch.column("h").to_pylist()]
-            n += [np.frombuffer(x, np.int32) for x in batch.column("n").to_pylist()]
-        made = pickle.dumps(learnt(ids, y, h, n, there))
-        for part, at in enumerate(range(0, len(made), MODEL_PART_BYTES)):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()),
-                                              "bytes": pa.array([made[at:at + MODEL_PART_BYTES]], pa.binary())})
+            rows += zip(*(batch.column(c).to_pylist() for c in ("id", "y", "h", "n")))
+        rows.sort(key=lambda r: r[0])
+        ids, y, h, n = zip(*rows) if rows else ((), (), (), ())
+        made = pickle.dumps(learnt(list(ids), list(y), [np.frombuffer(x, np.int64) for x in h],
+                                   [np.frombuffer(x, np.int32) for x in n], there))
+        for at in range(0, len(made), MODEL_PART_BYTES):
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([made[at:at + MODEL_PART_BYTES]], pa.binary())})
 
     counted = written(rows.select("__id", "__y", "__text")
                           .mapInArrow(count, "id long, y int, h binary, n binary"), "toxicity-sample")
-    model = written(counted.repartition(1).sortWithinPartitions("id")
-                           .mapInArrow(build, "part int, bytes binary"), "toxicity-model")
-    if model.isEmpty():                     # no labelled row: nothing reached the task
-        return learnt([], [], [], [], there)
+    # the bounded sample in one task, whose output keeps its order
     made = bytearray()
-    for r in model.orderBy("part").toLocalIterator():
+    for r in counted.coalesce(1).mapInArrow(build, "bytes binary").toLocalIterator():
         made += r["bytes"]
-    return pickle.loads(made)
+    return pickle.loads(made) if made else learnt([], [], [], [], there)
 
 
 def learnt(ids: list[int], y: list[int], h: list, n: list, there: list[int]) -> Model:
