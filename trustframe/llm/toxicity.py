@@ -150,7 +150,13 @@ class BlockMaxIndex:
             self.dense[k, self.at[s]] = self.weight[s]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "row_of")}
+        """Weights travel in single precision: two thirds of the bytes."""
+        kept = {k: v for k, v in self.__dict__.items() if k not in ("dense", "row_of")}
+        return kept | {"weight": self.weight.astype(np.float32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.weight = self.weight.astype(float)
 
     def search_all(self, queries: list[tuple], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         if not hasattr(self, "dense"):
@@ -254,6 +260,26 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+class Packed:
+    """A model as the bytes that its task made: workers unpack it, the driver only passes it on."""
+
+    def __init__(self, made: bytes):
+        self.made = made
+
+    def __getstate__(self):
+        return {"made": self.made}
+
+    def model(self) -> Model:
+        if "unpacked" not in self.__dict__:
+            self.unpacked = pickle.loads(self.made)
+        return self.unpacked
+
+    def __getattr__(self, name: str):
+        if name.startswith("__") or name in ("made", "unpacked"):
+            raise AttributeError(name)
+        return getattr(self.model(), name)
+
+
 def _logit(p: float) -> float:
     p = min(max(p, 1e-4), 1 - 1e-4)
     return math.log(p / (1 - p))
@@ -303,7 +329,7 @@ def _bounded(rows: DataFrame, there: list[int], max_rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_on, doc_id: str = "doc_id", text: str = "text",
-        label: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> Model:
+        label: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> Model | Packed:
     """Learn from labelled rows that meet ``fit_on`` (a condition on ``labels``).
 
     Terms are counted where the texts are; one task builds the index of the
@@ -339,7 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_on, doc_id: str = "doc_id", text
     made = bytearray()
     for r in counted.coalesce(1).mapInArrow(build, "bytes binary").toLocalIterator():
         made += r["bytes"]
-    return pickle.loads(made) if made else learnt([], [], [], [], there)
+    return Packed(bytes(made)) if made else learnt([], [], [], [], there)
 
 
 def learnt(ids: list[int], y: list[int], h: list, n: list, there: list[int]) -> Model:
