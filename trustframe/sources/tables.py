@@ -134,7 +134,9 @@ def load_run(run_dir: str, spark: SparkSession, default_threshold: float = DEFAU
     run_dir = _saved_at(spark, run_dir, version)
     from pyspark.ml import PipelineModel
     from pyspark.ml.regression import IsotonicRegressionModel
-    kinds = {"PipelineModel": PipelineModel, "IsotonicRegressionModel": IsotonicRegressionModel}
+    from ..plans.training import GrownForest
+    kinds = {"PipelineModel": PipelineModel, "IsotonicRegressionModel": IsotonicRegressionModel,
+             "GrownForest": GrownForest}
     schema = _json_of(spark, f"{run_dir}/schema")
     parts = [tuple(kinds[k].load(f"{run_dir}/model/{i}/{name}") if k else None
                    for name, k in zip(("base", "calibrator"), pair))
