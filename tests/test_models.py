@@ -60,3 +60,7 @@ def test_importance_finds_the_two_features(parts, spark):
     tweets = [mean[c] for c in mean if "tweet" in c]
     assert max(tweets) > 0 and max(mean.values()) in [*tweets, mean["has_url"]]
     assert mean["verified"] <= max(tweets)
+
+
+def test_training_tables_take_a_task_per_core_at_most():
+    assert [T.fit_partitions(n, 12) for n in (0, 1, 2_000, 2_001, 120_000, 4_320_000)] == [1, 1, 1, 2, 12, 22]
