@@ -10,6 +10,7 @@ from .numeric import col
 
 # fixed values: the characters Python's str.strip() removes
 WHITE_SPACE = (r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+NOT_WHITE_SPACE = WHITE_SPACE.replace("[", "[^", 1)
 
 
 def strip_ws(x) -> Column:

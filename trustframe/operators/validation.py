@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_ws
+from ..functions.text import NOT_WHITE_SPACE
 
 # ---- fixed values: required inputs, defaults and messages -------------------
 REQUIRED = ("followers_count", "following_count", "tweet_count", "listed_count", "account_age_days",
@@ -45,6 +45,7 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def validate_text(df: DataFrame, text: str = "text") -> DataFrame:
-    blank = F.length(strip_ws(F.coalesce(F.col(text), F.lit("")))) == 0
+    """Blank: no character that ``strip_ws`` leaves; the search ends at the first one."""
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(NOT_WHITE_SPACE)
     return df.withColumns({"is_valid": ~blank,
                            "reject_reason": F.when(blank, F.lit(MSG_EMPTY_TEXT))})
