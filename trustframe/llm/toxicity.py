@@ -31,6 +31,7 @@ import hashlib
 import math
 import pickle
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ SOFTEN = 0.02
 PRIOR = 1.0
 NEUTRAL = 0.05         # least strength of a term
 LEAST_DENSE = 32       # and in more than so many
-DENSE = 16             # a term in more than one of so many examples is a row of a matrix
+DENSE = 24             # a term in more than one of so many examples is a column of a matrix
 TOGETHER = 64          # texts searched with one matrix product
 EVIDENCE = 3
 MODEL_PART_BYTES = 8 << 20
@@ -69,18 +70,17 @@ def _stem(word: bytes) -> bytes | None:
 
 def hashed(words: Counter, known: dict[bytes, tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 64-bit hashes of the terms of counted words, and their counts."""
-    at, n = [], []
-    for w, k in words.items():
-        adds = known.get(w)
-        if adds is None:
-            if len(known) >= 300_000:
-                known.clear()
-            adds = known[w] = tuple(
-                int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)
-                for t in (w, _stem(w)) if t)
-        at += adds
-        n += [k] * len(adds)
-    h, inverse = np.unique(np.array(at, dtype=np.int64), return_inverse=True)
+    adds = list(map(known.get, words))
+    if None in adds:
+        if len(known) >= 300_000:
+            known.clear()
+        for i, w in enumerate(words):
+            if adds[i] is None:
+                adds[i] = known[w] = tuple(
+                    int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)
+                    for t in (w, _stem(w)) if t)
+    n = np.repeat(np.fromiter(words.values(), np.int64, len(adds)), np.fromiter(map(len, adds), np.int64, len(adds)))
+    h, inverse = np.unique(np.fromiter(chain.from_iterable(adds), np.int64, len(n)), return_inverse=True)
     return h, np.bincount(inverse, n, len(h)).astype(np.int32)
 
 
@@ -139,53 +139,71 @@ class BlockMaxIndex:
         return self.search_all([(terms, w)], k)[0]
 
     def _matrix(self) -> None:
-        """Weights of the terms that many examples hold, made where it is used first."""
+        """Weights of the terms that many examples hold, by example, made where it is used first."""
         n = np.diff(self.cuts)
         common = np.flatnonzero(n > max(len(self.labels) // DENSE, LEAST_DENSE))
         self.row_of = np.full(len(n), -1, np.int32)
         self.row_of[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), -(-len(self.labels) // BLOCK) * BLOCK))
+        self.dense = np.zeros((-(-len(self.labels) // BLOCK) * BLOCK, len(common)), self.weight.dtype)
+        self.slot = np.full(len(self.dense), -1, np.int32)
         for k, t in enumerate(common):
             s = slice(self.cuts[t], self.cuts[t + 1])
-            self.dense[k, self.at[s]] = self.weight[s]
+            self.dense[self.at[s], k] = self.weight[s]
 
     def __getstate__(self):
-        """Weights travel in single precision: two thirds of the bytes."""
-        kept = {k: v for k, v in self.__dict__.items() if k not in ("dense", "row_of")}
+        """Weights travel, and are used after it, in single precision: two thirds of the bytes."""
+        kept = {k: v for k, v in self.__dict__.items() if k not in ("dense", "row_of", "slot")}
         return kept | {"weight": self.weight.astype(np.float32)}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self.weight = self.weight.astype(float)
-
     def search_all(self, queries: list[tuple], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         if not hasattr(self, "dense"):
             self._matrix()
         out = []
         for first in range(0, len(queries), TOGETHER):
             part = queries[first:first + TOGETHER]
-            q = np.zeros((len(part), len(self.dense)))
+            q = np.zeros((len(part), self.dense.shape[1]))
             for j, (terms, w) in enumerate(part):
                 row = self.row_of[terms]
                 q[j, row[row >= 0]] = w[row >= 0]
-            scores = q @ self.dense
-            for score, (terms, w) in zip(scores, part):
-                rare = self.row_of[terms] < 0
-                out.append(self._best(score, terms[rare], w[rare], k))
+            scores = q.astype(self.dense.dtype) @ self.dense.T
+            out += [self._best(*x, k) for x in zip(scores, q, *zip(*part))]
         return out
 
-    def _best(self, score: np.ndarray, terms: np.ndarray, w: np.ndarray, k: int):
-        """The k best once the postings of ``terms`` are added to ``score``."""
-        low, n = self.cuts[terms], self.cuts[terms + 1] - self.cuts[terms]
-        spot = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        np.add.at(score, self.at[spot], np.repeat(w, n) * self.weight[spot])
+    def _best(self, score: np.ndarray, q: np.ndarray, terms: np.ndarray, w: np.ndarray, k: int):
+        """The k best; ``score`` holds the sums over the common terms, weighed by ``q``, in the weights' precision.
+
+        All products are positive, so a sum is off by less than a single rounding of itself per
+        term: all that come so close to the k-th best are computed again in full.
+        """
+        rare = np.flatnonzero(self.row_of[terms] < 0)
+        low = self.cuts[terms[rare]]
+        n = self.cuts[terms[rare] + 1] - low
+        ends = np.cumsum(n)
+        spot = np.repeat(low - ends + n, n)
+        spot += np.arange(len(spot))
+        at, adds = self.at.take(spot), np.repeat(w[rare].astype(score.dtype), n)
+        adds *= self.weight.take(spot)
+        np.add.at(score, at, adds)
         blocks = len(score) // BLOCK
-        top = score.reshape(blocks, BLOCK).max(axis=1)
+        by_block = score.reshape(blocks, BLOCK)
+        top = by_block.max(axis=1)
         # k blocks reach the k-th largest maximum, so no other block holds one of the k best
-        least = np.partition(top, blocks - k)[blocks - k] if blocks > k else 0.0
-        hit = np.flatnonzero((score > 0) & (score >= least - 1e-9))
-        best = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
-        return best, score[best]
+        least = float(np.partition(top, blocks - k)[blocks - k]) if blocks > k else 0.0
+        near = 1 - (len(terms) + 8) * float(np.finfo(np.float32).eps)
+        some = np.flatnonzero(top >= least * near)
+        b, c = np.nonzero((by_block[some] > 0) & (by_block[some] >= least * near))
+        hit = some[b] * BLOCK + c
+        if len(hit) > k:                              # the k-th best of all, not only of the blocks' best
+            kth = float(np.partition(score[hit], len(hit) - k)[len(hit) - k])
+            hit = hit[score[hit] >= kth * near]
+        exact = self.dense[hit] @ q
+        self.slot[hit] = np.arange(len(hit))
+        mine = np.flatnonzero(self.slot.take(at) >= 0)
+        np.add.at(exact, self.slot[at[mine]],
+                  w[rare[np.searchsorted(ends, mine, "right")]] * self.weight[spot[mine]])
+        self.slot[hit] = -1
+        best = np.lexsort((hit, -np.round(exact, 12)))[:k]
+        return hit[best], exact[best]
 
 
 class Model:
