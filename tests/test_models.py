@@ -64,3 +64,18 @@ def test_importance_finds_the_two_features(parts, spark):
 
 def test_training_tables_take_a_task_per_core_at_most():
     assert [T.fit_partitions(n, 12) for n in (0, 1, 2_000, 2_001, 120_000, 4_320_000)] == [1, 1, 1, 2, 12, 22]
+
+
+def test_scoring_runs_in_all_cores_on_accounts_derived_once(spark, sf_dir):
+    """Trees cost far more than a row's bytes tell, and a sample and its counts read the accounts many times."""
+    acc, read = td.scored_accounts(spark, sf_dir), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    members, summary = T.train_production(acc.mapInArrow(seen, acc.schema), n_iter=1, folds=2, trees=4)
+    assert read.value == acc.count() == summary["n_samples"]
+    out = T.score_accounts(acc, members, summary["optimal_threshold"])
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
