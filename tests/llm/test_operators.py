@@ -607,3 +607,29 @@ def test_block_max_search_decides_close_cosines_in_full():
         got_i, got_c = index.nearest(q, 15)
         assert [(-round(float(c), 12), int(i)) for c, i in zip(got_c, got_i)] == want
     assert index.dense.dtype == toxicity.np.float32
+
+
+def test_toxicity_looks_a_word_up_once_for_a_group_of_texts():
+    """Terms and counts of each text are those counted text by text; the remembered words are asked once a group."""
+    rnd = random.Random(5)
+    words = ["a", "über", "Ünder", "shorter", "shorts", "taiĺs", *(f"w{i}ord" for i in range(300))]
+    texts = [" ".join(rnd.choices(words, k=rnd.randrange(1, 60))).encode() for _ in range(100)] + [b"", b" .. ", b"unseen"]
+    counted = [toxicity.hashed(toxicity.word_counts(t), {}) for t in texts]
+    model = toxicity.learnt(list(range(60)), [i % 3 == 0 for i in range(60)], *map(list, zip(*counted[:60])), [40, 20])
+    whole = model.scores(texts)
+    asked = []
+
+    class Known(dict):
+        def get(self, word, *default):
+            asked.append(word)
+            return dict.get(self, word, *default)
+
+    model = pickle.loads(pickle.dumps(model))
+    model.known = Known()
+    again = model.scores(texts)
+    assert len(asked) == len(set(asked)) == len({w for t in texts for w in toxicity.word_counts(t)})
+    assert [round(s, 4) for s, _ in again] == [round(s, 4) for s, _ in whole]
+    assert again == model.scores(texts)                        # now all words are remembered
+    for (at, n), (h, m) in zip(model.terms(texts), counted):
+        there = [(x, k) for x, k in zip(h.tolist(), m.tolist()) if x in set(model.hashes.tolist())]
+        assert list(zip(model.hashes[at].tolist(), n.tolist())) == there

@@ -30,8 +30,8 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
-from collections import Counter
-from itertools import chain
+from collections import Counter, defaultdict
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,35 +50,44 @@ PRIOR = 1.0
 NEUTRAL = 0.05         # least strength of a term
 LEAST_DENSE = 32       # and in more than so many
 DENSE = 24             # a term in more than one of so many examples is a column of a matrix
-TOGETHER = 64          # texts searched with one matrix product
+TOGETHER = 256         # texts searched with one matrix product
 EVIDENCE = 3
+KNOWN_WORDS = 300_000  # words whose terms a worker remembers
 MODEL_PART_BYTES = 8 << 20
 
 _WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32
                     for c in bytes(range(256)).lower())
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(_WORD_BYTES).split()
+
+
 def word_counts(text: bytes) -> Counter:
-    return Counter(text.translate(_WORD_BYTES).split())
+    return Counter(words_of(text))
 
 
 def _stem(word: bytes) -> bytes | None:
     """A term for the first four characters of a longer word (marked by ``^``)."""
+    if word.isascii():
+        return b"^" + word[:4] if len(word) > 4 else None
     w = word.decode("utf-8", "replace")
     return b"^" + w[:4].encode() if len(w) > 4 else None
 
 
+def _term_hashes(terms) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=8).digest() for t in terms]), "<i8")
+
+
 def hashed(words: Counter, known: dict[bytes, tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 64-bit hashes of the terms of counted words, and their counts."""
     adds = list(map(known.get, words))
     if None in adds:
-        if len(known) >= 300_000:
+        if len(known) >= KNOWN_WORDS:
             known.clear()
         for i, w in enumerate(words):
             if adds[i] is None:
-                adds[i] = known[w] = tuple(
-                    int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)
-                    for t in (w, _stem(w)) if t)
+                adds[i] = known[w] = tuple(_term_hashes(t for t in (w, _stem(w)) if t).tolist())
     n = np.repeat(np.fromiter(words.values(), np.int64, len(adds)), np.fromiter(map(len, adds), np.int64, len(adds)))
     h, inverse = np.unique(np.fromiter(chain.from_iterable(adds), np.int64, len(n)), return_inverse=True)
     return h, np.bincount(inverse, n, len(h)).astype(np.int32)
@@ -145,15 +154,32 @@ class BlockMaxIndex:
         self.row_of = np.full(len(n), -1, np.int32)
         self.row_of[common] = np.arange(len(common))
         self.dense = np.zeros((-(-len(self.labels) // BLOCK) * BLOCK, len(common)), self.weight.dtype)
-        self.slot = np.full(len(self.dense), -1, np.int32)
+        self.flag = np.zeros(len(self.dense), bool)
         for k, t in enumerate(common):
             s = slice(self.cuts[t], self.cuts[t + 1])
             self.dense[self.at[s], k] = self.weight[s]
 
     def __getstate__(self):
         """Weights travel, and are used after it, in single precision: two thirds of the bytes."""
-        kept = {k: v for k, v in self.__dict__.items() if k not in ("dense", "row_of", "slot")}
-        return kept | {"weight": self.weight.astype(np.float32)}
+        kept = {k: v for k, v in self.__dict__.items() if k not in ("dense", "row_of", "flag", "pairs")}
+        return kept | {"at": np.ascontiguousarray(self.at), "weight": self.weight.astype(np.float32)}
+
+    def __setstate__(self, state: dict) -> None:
+        """Example and weight of a posting lie side by side, so that a term's are read as one piece."""
+        self.__dict__.update(state)
+        pairs = np.empty((len(self.at), 2), np.int32)
+        pairs[:, 0], pairs[:, 1] = self.at, self.weight.view(np.int32)
+        self.at, self.weight = pairs[:, 0], pairs.view(np.float32)[:, 1]
+        self.pairs = memoryview(pairs.view(np.int64).ravel())
+
+    def _postings(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and weights of the terms whose postings are from ``low`` to ``high``."""
+        lists = map(slice, low.tolist(), high.tolist())
+        if not hasattr(self, "pairs"):
+            spot = np.concatenate([np.zeros(0, np.int64), *(np.arange(s.start, s.stop) for s in lists)])
+            return self.at[spot], self.weight[spot]
+        got = b"".join(map(self.pairs.__getitem__, lists))
+        return np.frombuffer(got, np.int32)[::2].astype(np.intp), np.frombuffer(got, np.float32)[1::2]
 
     def search_all(self, queries: list[tuple], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         if not hasattr(self, "dense"):
@@ -176,13 +202,10 @@ class BlockMaxIndex:
         term: all that come so close to the k-th best are computed again in full.
         """
         rare = np.flatnonzero(self.row_of[terms] < 0)
-        low = self.cuts[terms[rare]]
-        n = self.cuts[terms[rare] + 1] - low
-        ends = np.cumsum(n)
-        spot = np.repeat(low - ends + n, n)
-        spot += np.arange(len(spot))
-        at, adds = self.at.take(spot), np.repeat(w[rare].astype(score.dtype), n)
-        adds *= self.weight.take(spot)
+        low, high = self.cuts[terms[rare]], self.cuts[terms[rare] + 1]
+        at, weight = self._postings(low, high)
+        adds = np.repeat(w[rare].astype(score.dtype), high - low)
+        adds *= weight
         np.add.at(score, at, adds)
         blocks = len(score) // BLOCK
         by_block = score.reshape(blocks, BLOCK)
@@ -197,11 +220,11 @@ class BlockMaxIndex:
             kth = float(np.partition(score[hit], len(hit) - k)[len(hit) - k])
             hit = hit[score[hit] >= kth * near]
         exact = self.dense[hit] @ q
-        self.slot[hit] = np.arange(len(hit))
-        mine = np.flatnonzero(self.slot.take(at) >= 0)
-        np.add.at(exact, self.slot[at[mine]],
-                  w[rare[np.searchsorted(ends, mine, "right")]] * self.weight[spot[mine]])
-        self.slot[hit] = -1
+        self.flag[hit] = True
+        mine = np.flatnonzero(self.flag.take(at))
+        self.flag[hit] = False
+        np.add.at(exact, np.searchsorted(hit, at[mine]),
+                  w[rare[np.searchsorted(np.cumsum(high - low), mine, "right")]] * weight[mine])
         best = np.lexsort((hit, -np.round(exact, 12)))[:k]
         return hit[best], exact[best]
 
@@ -212,21 +235,54 @@ class Model:
     def __init__(self, hashes: np.ndarray, weight: np.ndarray, share: float, index: BlockMaxIndex):
         self.hashes, self.weight, self.share, self.index = hashes, weight, share, index
         self.curve, self.bare = (0.0, 1.0), share
-        self.known: dict[bytes, tuple] = {}
-
-    def vector(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and weights of the known terms, length 1."""
-        if not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        known = self.hashes[at] == h
-        at = at[known]
-        w = (1 + np.log(n[known])) * self.weight[at]
+        self.known: dict[bytes, int] = {}
+        self.stems: dict[bytes, int] = {}
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the terms with these hashes, -1 where there is none."""
+        out = np.full(len(h), -1)
+        if len(self.hashes):
+            by = np.argsort(h)                       # neighbours are looked for in the same places
+            at = np.minimum(np.searchsorted(self.hashes, h[by]), len(self.hashes) - 1)
+            out[by] = np.where(self.hashes[at] == h[by], at, -1)
+        return out
+
+    def _learn(self, words: list[bytes]) -> list[int]:
+        """The terms of new words, kept for the next texts: the word's number + 1 and, 32 bits higher, its stem's."""
+        if len(self.known) >= KNOWN_WORDS:
+            self.known.clear()
+            self.stems.clear()
+        own = [_stem(w) for w in words]
+        new = list({t for t in own if t and t not in self.stems})
+        at = (self.numbers(_term_hashes(chain(words, new))) + 1).tolist()
+        self.stems.update(zip(new, at[len(words):]))
+        both = [k | self.stems[t] << 32 if t else k for k, t in zip(at, own)]
+        self.known.update(zip(words, both))
+        return both
+
+    def terms(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted numbers of the model's terms in each text, and their counts; a word is looked up once for all."""
+        number = defaultdict(count().__next__)
+        found = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts)]
+        words = list(number)
+        both = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(both < 0)
+        if len(new):
+            both[new] = self._learn([words[i] for i in new.tolist()])
+        own, stem, out = both & 0xFFFFFFFF, both >> 32, []
+        for w in found:
+            t = np.concatenate((own[w], stem[w]))
+            out.append(np.unique(t[t > 0] - 1, return_counts=True))
+        return out
+
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of counted terms, length 1."""
+        w = (1 + np.log(n)) * self.weight[at]
         return at, w / max(math.sqrt(float(w @ w)), 1e-300)
 
     def votes(self, counted: list[tuple]) -> list[tuple[float | None, list]]:
-        """Distance-weighted toxic share of each text's neighbours, and the first of them."""
-        found = self.index.search_all([self.vector(h, n) for h, n in counted], NEIGHBOURS)
+        """Distance-weighted toxic share of the neighbours of each text's terms, and the first of them."""
+        found = self.index.search_all([self.vector(at, n) for at, n in counted], NEIGHBOURS)
         return [self._vote(i, cos) for i, cos in found]
 
     def _vote(self, i: np.ndarray, cos: np.ndarray) -> tuple[float | None, list]:
@@ -268,9 +324,8 @@ class Model:
     def scores(self, texts: list[bytes]) -> list[tuple[float, list]]:
         out = []
         for first in range(0, len(texts), TOGETHER):
-            part = [hashed(word_counts(t), self.known) for t in texts[first:first + TOGETHER]]
             out += [(self.bare if v is None else self._curved(v), near)
-                    for v, near in self.votes(part)]
+                    for v, near in self.votes(self.terms(texts[first:first + TOGETHER]))]
         return out
 
     def _curved(self, vote: float) -> float:
@@ -410,7 +465,7 @@ def learnt(ids: list[int], y: list[int], h: list, n: list, there: list[int]) ->
     del term, w
     model = Model(hashes, weight, there[1] / sum(there) if sum(there) else 0.0, index)
     times = tuple(all_rows / max(m, 1) for all_rows, m in zip(there, (n0, n1)))
-    model.calibrate([(h[k], n[k], y[k]) for k in range(0, len(ids), 4)], times)
+    model.calibrate([(np.searchsorted(hashes, h[k]), n[k], y[k]) for k in range(0, len(ids), 4)], times)
     return model
 
 
