@@ -633,3 +633,12 @@ def test_toxicity_looks_a_word_up_once_for_a_group_of_texts():
     for (at, n), (h, m) in zip(model.terms(texts), counted):
         there = [(x, k) for x, k in zip(h.tolist(), m.tolist()) if x in set(model.hashes.tolist())]
         assert list(zip(model.hashes[at].tolist(), n.tolist())) == there
+
+
+def test_toxicity_workers_do_not_keep_the_model_twice():
+    """A model that was sent is the model, without the bytes that it came as."""
+    counted = [toxicity.hashed(toxicity.word_counts(f"w{i % 7} x{i}".encode()), {}) for i in range(40)]
+    model = toxicity.learnt(list(range(40)), [i % 2 for i in range(40)], *map(list, zip(*counted)), [20, 20])
+    packed = toxicity.Packed(pickle.dumps(model))
+    sent = pickle.loads(pickle.dumps(packed))
+    assert isinstance(sent, toxicity.Model) and sent.scores([b"w3 x3", b""]) == packed.scores([b"w3 x3", b""])

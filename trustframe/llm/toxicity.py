@@ -185,8 +185,9 @@ class BlockMaxIndex:
         if not hasattr(self, "dense"):
             self._matrix()
         out = []
-        for first in range(0, len(queries), TOGETHER):
-            part = queries[first:first + TOGETHER]
+        some = TOGETHER if self.weight.dtype == np.float32 else TOGETHER // 4       # while the model is made
+        for first in range(0, len(queries), some):
+            part = queries[first:first + some]
             q = np.zeros((len(part), self.dense.shape[1]))
             for j, (terms, w) in enumerate(part):
                 row = self.row_of[terms]
@@ -334,13 +335,13 @@ class Model:
 
 
 class Packed:
-    """A model as the bytes that its task made: workers unpack it, the driver only passes it on."""
+    """A model as the bytes that its task made: the driver only passes them on, workers load the model itself."""
 
     def __init__(self, made: bytes):
         self.made = made
 
-    def __getstate__(self):
-        return {"made": self.made}
+    def __reduce__(self):
+        return pickle.loads, (self.made,)
 
     def model(self) -> Model:
         if "unpacked" not in self.__dict__:
