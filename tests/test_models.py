@@ -79,3 +79,46 @@ def test_scoring_runs_in_all_cores_on_accounts_derived_once(spark, sf_dir):
     assert read.value == acc.count() == summary["n_samples"]
     out = T.score_accounts(acc, members, summary["optimal_threshold"])
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_members_score_a_row_in_one_pass(parts):
+    """Each pass sends the rows to Python and bins them anew."""
+    train, test = parts
+    members = T.calibrated_forest(train, "sigmoid", trees=4)
+    out = T.predict_calibrated(members, test)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for i, (base, _) in enumerate(members):
+        own = {r["id"]: r["s"] for r in base.transform(test).select("id", T.p_bot().alias("s")).collect()}
+        assert {r["id"]: r["s"] for r in out.select("id", F.col(f"_s{i}").alias("s")).collect()} == own
+
+
+def test_search_and_calibration_share_their_folds(spark, sf_dir, monkeypatch):
+    made, fold_column = [], S.fold_column
+    monkeypatch.setattr(S, "fold_column", lambda df, k, **kw: made.append(k) or fold_column(df, k, **kw))
+    acc = td.accounts(spark, sf_dir)
+    _, summary = T.train_production(acc, n_iter=1, trees=4)
+    assert made == [T.CAL_FOLDS]
+    # other folds for the search than for the calibration: each its own
+    _, other = T.train_production(acc, n_iter=1, folds=2, trees=4)
+    assert made[1:] == [2, T.CAL_FOLDS] and other["test_rows"] == summary["test_rows"]
+
+
+def test_accounts_are_derived_once_for_training_and_scoring(spark, sf_dir, monkeypatch):
+    from trustframe.plans import q_models as Q
+    read, accounts, train = spark.sparkContext.accumulator(0), td.accounts, T.train_production
+
+    def counted(*a):
+        out = accounts(*a)
+
+        def seen(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+        return out.mapInArrow(seen, out.schema)
+
+    monkeypatch.setattr(td, "accounts", counted)
+    monkeypatch.setattr(T, "train_production", lambda acc: train(acc, n_iter=1, trees=4))
+    monkeypatch.setattr(Q, "_FITTED", {})
+    rows = Q.score_accounts(spark, sf_dir).collect()
+    n = accounts(spark, sf_dir).count()
+    assert read.value == n and 0 < len(rows) <= n
