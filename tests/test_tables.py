@@ -5,6 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from trustframe.operators import sampling as S
 from trustframe.operators.labels import drop_target, require_columns
 from trustframe.plans import training as T
 from trustframe.schemas import ACCOUNTS_SCHEMA, FEATURES
@@ -66,3 +67,16 @@ def test_boosting_fits_a_stratified_subsample(spark, sf_dir, monkeypatch):
     assert abs(seen["rows"] - n // 2) <= 1 and abs(seen["bots"] - share * (n // 2)) <= 1
     assert model.stages[0].getInputCols() == list(FEATURES)
     assert data.filter(F.col("label").isNull()).count() == 0
+
+
+def test_boosting_fits_all_rows(spark, monkeypatch):
+    """No row is left out unless the caller bounds the fit, however many there are."""
+    n = S.SUBSAMPLE_ROWS + 500
+    data = spark.range(n).select("id", (F.col("id") % 4 == 0).cast("double").alias("label"),
+                                 (F.col("id") % 7).cast("double").alias("x"))
+    seen = []
+    packed = T.packed
+    monkeypatch.setattr(T, "packed", lambda df: seen.append(df.count()) or packed(df))
+    model = T.gbt(data, {"maxIter": 1, "maxDepth": 1, "subsamplingRate": 1.0})
+    root = model.stages[-1].trees[0]._call_java("rootNode").impurityStats()
+    assert seen == [n] and root.rawCount() == n

@@ -374,14 +374,14 @@ def wide_forest(train: DataFrame, n_iter: int = WIDE_ITER, results: str | None =
 
 # ---- T5: boosted trees -------------------------------------------------------------
 
-def gbt(train: DataFrame, params: dict | None = None, rows: int = S.SUBSAMPLE_ROWS):
+def gbt(train: DataFrame, params: dict | None = None, rows: int | None = None):
     """Boosted trees with the positive class up-weighted by n_human / n_bot.
 
-    Fitted on at most ``rows`` rows in the class ratio of all; every column but
-    target and id is an input.
+    Fitted on all rows, or on at most ``rows`` in the class ratio of all if the
+    caller bounds them; every column but target and id is an input.
     """
     p = dict(GBT_PARAMS, **(params or {}))
-    train = S.stratified_subsample(train, rows)
+    train = train if rows is None else S.stratified_subsample(train, rows)
     bal = train.agg(F.count_if(F.col("label") == 0).alias("h"), F.count_if(F.col("label") == 1).alias("b")).first()
     spw = round(bal["h"] / bal["b"], 2) if bal["b"] else 1.0
     data = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(spw)).otherwise(F.lit(1.0)))
